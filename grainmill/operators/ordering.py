@@ -1,9 +1,13 @@
 """Ordered prefix sums and row numbers that never put one part into one task.
 
-Rows are cut into buckets by an order-preserving function of the order key. Bucket totals are small
-and get their own prefix sum (through a coarser level if there is one), and each row adds its
-bucket's offset to a sum over its own bucket. With a unique integer key and ``bits=(12, 20)`` the
-windows hold at most 2**12 rows, 2**20 bucket totals and, for keys below 2**52, 2**20 coarse totals.
+Rows are cut into buckets by an order-preserving function of the order key. A first pass writes the
+bucket totals, a narrow table, to the shared scratch folder. A prefix sum over those totals gives each
+bucket its offset, and each row adds that to a sum over its own bucket. The input is therefore read
+twice and shuffled once; stage it first if it is costly.
+
+With a unique integer key and ``bits=(12, 20)`` a window holds at most 2**12 rows, 2**20 bucket totals
+and, for keys below 2**52, 2**20 coarse totals. The number of bucket totals is known after the first
+pass: few of them take one window and a broadcast, many take the coarser level and a shuffled join.
 """
 
 from __future__ import annotations
@@ -12,6 +16,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from grainmill.session import stage_counted
+
+ONE_WINDOW = 1 << 20  # bucket totals one window may sort
+BROADCAST_BUCKETS = 100_000  # bucket offsets that may be broadcast, a few MB
+
 
 def key_buckets(key: Column, bits: Sequence[int] = (12, 20)) -> list[Column]:
     """Bucket expressions, fine to coarse, of an integer key."""
@@ -60,7 +69,6 @@ def prefix_sums(
     buckets: list[Column],
     keep: Column | None = None,
     carry: Sequence[str] = (),
-    few_parts: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``sums``: the sum over the rows before this one in its part.
 
@@ -70,8 +78,6 @@ def prefix_sums(
     ``keep`` is a condition on the new columns (and ``carry`` columns, constant within a part) that
     once false stays false for the rest of the part. It is tested on bucket offsets first, so rows
     past the last bucket that can still hold a kept row are dropped before they are shuffled.
-    ``few_parts`` states that the number of parts has a fixed bound, which lets that test be
-    broadcast.
     """
     carry = list(carry)
     names = [f"__b{i}" for i in range(len(buckets))]
@@ -80,25 +86,29 @@ def prefix_sums(
         *[b.alias(n) for b, n in zip(buckets, names)],
         *[v.alias(f"__v_{s}") for s, v in sums.items()],
     )
-    totals = rows.groupBy(*part, *carry, *names).agg(
-        *[F.sum(f"__v_{s}").alias(f"__v_{s}") for s in sums]
+    totals, n_buckets = stage_counted(
+        rows.groupBy(*part, *carry, *names).agg(*[F.sum(f"__v_{s}").alias(f"__v_{s}") for s in sums]),
+        "bucket-totals",
     )
-    offsets = _bucket_offsets(totals, part, carry, names, sums)
+    levels = names if n_buckets > ONE_WINDOW else names[:1]
+    offsets = _bucket_offsets(totals, part, carry, levels, sums)
+    small = n_buckets <= BROADCAST_BUCKETS
     if keep is not None:
-        last = (
-            offsets.select(*part, *carry, "__b0", *[F.col(f"__o_{s}").alias(s) for s in sums])
-            .where(keep)
-            .groupBy(*part)
-            .agg(F.max("__b0").alias("__last"))
-        )
-        rows = rows.join(F.broadcast(last) if few_parts else last, part).where("__b0 <= __last")
+        live = offsets.select(
+            *part, *carry, *levels, *[F.col(f"__o_{s}") for s in sums], *[F.col(f"__o_{s}").alias(s) for s in sums]
+        ).where(keep)
+        if small:
+            offsets = live
+        else:
+            last = live.groupBy(*part).agg(F.max("__b0").alias("__last"))
+            rows = rows.join(last, part).where("__b0 <= __last")
     offsets = offsets.select(*part, "__b0", *[f"__o_{s}" for s in sums])
     w = (
         Window.partitionBy(*part, "__b0")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = rows.join(offsets, [*part, "__b0"]).select(
+    out = rows.join(F.broadcast(offsets) if small else offsets, [*part, "__b0"]).select(
         *df.columns,
         *[(_before(w, f"__v_{s}", F.lit(0)) + F.col(f"__o_{s}")).alias(s) for s in sums],
     )
@@ -114,14 +124,12 @@ def row_numbers(
     )
 
 
-def first_n_per_part(
-    df: DataFrame, part: list[str], key: str, caps: Column, few_parts: bool = True
-) -> DataFrame:
+def first_n_per_part(df: DataFrame, part: list[str], key: str, caps: Column) -> DataFrame:
     """The first ``caps`` rows of each part by key. ``caps`` may depend on part columns; NULL = all."""
     capped = df.withColumn("__cap", caps)
     out = row_numbers(
         capped, part, key, "__rn",
         keep=F.col("__cap").isNull() | (F.col("__rn") < F.col("__cap")),
-        carry=["__cap"], few_parts=few_parts,
+        carry=["__cap"],
     )
     return out.select(*df.columns)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _local_scratch: dict[str, str] = {}
 
@@ -45,12 +45,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, with another session's settings if given.
 
     Used where a costly result is read more than once (encoded documents) or where a loop would
     grow the plan (tokenizer training). The files outlive any executor.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """:func:`stage`, and the number of rows written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return staged, seen.get["n"]
