@@ -74,10 +74,9 @@ def _ranked_pairs(words: DataFrame) -> DataFrame:
 
 
 def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    w = "w"
-    for pair, symbol in merges:
-        w = f"replace({w}, '{pair}', '{symbol}')"
-    return words.selectExpr(f"{w} as w", "cnt")
+    # One expression whatever the batch size, so the generated code is compiled once.
+    steps = ", ".join(f"struct('{pair}' as p, '{symbol}' as s)" for pair, symbol in merges)
+    return words.selectExpr(f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s)) as w", "cnt")
 
 
 def _safe_batch(ranked: list, spelled, known: dict[str, int], room: int, one_by_one: bool) -> list[str]:
