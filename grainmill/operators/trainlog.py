@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.constants import CHECKPOINT_EVERY, GRAD_ACCUM, LOG_EVERY
 from grainmill.operators.epochs import boundary
 from grainmill.operators.ordering import key_buckets, prefix_sums
+from grainmill.session import stage
 
 
 def every_nth(step: Column, n: int) -> Column:
@@ -71,22 +72,23 @@ def epoch_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def _steps_before(log: DataFrame, accum: int) -> DataFrame:
-    """Optimizer steps of a run before each of its epochs: one row per epoch."""
-    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return epoch_totals(log, accum).select(
-        "run", "epoch", F.coalesce(F.sum("epoch_steps").over(w), F.lit(0)).alias("steps_before")
+def _numbered_epochs(log: DataFrame, accum: int) -> DataFrame:
+    """:func:`epoch_totals` plus ``steps_before``, the run's optimizer steps before each epoch."""
+    totals = stage(epoch_totals(log, accum), "epoch-totals")
+    return prefix_sums(
+        totals, ["run"], ["epoch"], {"steps_before": F.col("epoch_steps")}, key_buckets(F.col("epoch"))
     )
 
 
-def global_steps(log: DataFrame, accum: int = GRAD_ACCUM) -> DataFrame:
+def global_steps(log: DataFrame, accum: int = GRAD_ACCUM, epochs: DataFrame | None = None) -> DataFrame:
     """:func:`running` plus ``step``, the run's optimizer step after each batch, carried across epochs.
 
     A skipped batch on an accumulation boundary takes no step.
     """
+    epochs = _numbered_epochs(log, accum) if epochs is None else epochs
     return (
         running(log, accum)
-        .join(_steps_before(log, accum), ["run", "epoch"])
+        .join(epochs.select("run", "epoch", "steps_before"), ["run", "epoch"])
         .withColumn("step", F.col("steps_before") + F.col("epoch_steps"))
         .withColumn("stepped", _takes_step(accum))
         .drop("steps_before")
@@ -113,16 +115,16 @@ def checkpoints(
     The base recipe stores the micro-batch loss divided by the accumulation factor in periodic ones;
     the cpt recipe stores the running mean. Epoch ends store the epoch mean.
     """
-    steps = global_steps(log, accum)
+    ends = _numbered_epochs(log, accum)
+    steps = global_steps(log, accum, ends)
     periodic_loss = F.col("loss") / accum if recipe == "base" else mean_loss("counted")
     periodic = steps.where(F.col("stepped") & every_nth(F.col("step"), every)).select(
         "run", "epoch", "batch", "step", F.lit("periodic").alias("kind"), periodic_loss.alias("loss")
     )
-    ends = epoch_totals(log, accum)
     mean = F.col("total") / (F.col("seen") if recipe == "base" else F.greatest("counted", F.lit(1)))
-    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end_rows = ends.select(
-        "run", "epoch", (F.col("seen") - 1).alias("batch"), F.sum("epoch_steps").over(w).alias("step"),
+        "run", "epoch", (F.col("seen") - 1).alias("batch"),
+        (F.col("steps_before") + F.col("epoch_steps")).alias("step"),
         F.lit("epoch_end").alias("kind"), mean.alias("loss"),
     )
     return periodic.unionByName(end_rows)
@@ -137,8 +139,8 @@ def latest_checkpoint(manifest: DataFrame) -> DataFrame:
 
 def epoch_series(log: DataFrame) -> DataFrame:
     """Mean loss per epoch and its change from the epoch before."""
-    w = Window.partitionBy("run").orderBy("epoch")
-    return epoch_summary(log).select(
-        "run", "epoch", F.col("mean_seen").alias("loss"),
-        (F.col("mean_seen") - F.lag("mean_seen").over(w)).alias("delta"),
+    series = epoch_summary(log).select("run", "epoch", F.col("mean_seen").alias("loss"))
+    previous = series.select("run", (F.col("epoch") + 1).alias("epoch"), F.col("loss").alias("prev"))
+    return series.join(previous, ["run", "epoch"], "left").select(
+        "run", "epoch", "loss", (F.col("loss") - F.col("prev")).alias("delta")
     )
