@@ -91,13 +91,13 @@ def _word_encoder(vocab_broadcast):
 
 @F.arrow_udf(IDS)
 def _byte_ids(text: pa.Array) -> pa.Array:
-    table = np.array(BYTE_IDS, dtype=np.int32)
-    sizes = np.array([0 if t is None else len(t) for t in text.cast(pa.binary()).to_pylist()], dtype=np.int64)
-    joined = b"".join(t for t in text.cast(pa.binary()).to_pylist() if t is not None)
-    values = table[np.frombuffer(joined, dtype=np.uint8)]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    raw = text.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+    values = np.array(BYTE_IDS, dtype=np.int32)[data[offsets[0] : offsets[-1]]]
     return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=text.is_null()
+        pa.array(offsets - offsets[0], pa.int32()), pa.array(values, pa.int32()), mask=text.is_null()
     )
 
 

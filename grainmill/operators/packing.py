@@ -25,7 +25,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, overlap: int = 1, doc: str = "
     """
     n = F.size("ids").cast("bigint")
     L = F.lit(window).cast("bigint")
-    first = F.expr(f"greatest(0L, (start + {window - overlap}) div {window} - {overlap})")
+    first = F.expr(f"greatest(0L, (start + {window - overlap}) div {window} - 1)")
     cut = F.transform(
         F.sequence(first, F.expr(f"(start + size(ids) - 1) div {window}")),
         lambda k: F.struct(

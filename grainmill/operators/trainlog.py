@@ -52,13 +52,18 @@ def running_mean(log: DataFrame) -> DataFrame:
     )
 
 
+def _seconds(interval: Column) -> Column:
+    units = (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))
+    return sum((F.date_part(F.lit(u), interval).cast("double") * n for u, n in units), F.lit(0.0))
+
+
 def epoch_totals(log: DataFrame, accum: int = GRAD_ACCUM) -> DataFrame:
     return log.groupBy("run", "epoch").agg(
         F.count("*").alias("seen"),
         F.count_if(~F.col("skipped")).alias("counted"),
         F.sum(_counted_loss()).alias("total"),
         F.count_if(_takes_step(accum)).alias("epoch_steps"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("micros"),
+        _seconds(F.max("ts") - F.min("ts")).alias("secs"),
     )
 
 
@@ -68,7 +73,7 @@ def epoch_summary(log: DataFrame) -> DataFrame:
         "run", "epoch", "seen", "counted",
         (F.col("total") / F.col("seen")).alias("mean_seen"),
         (F.col("total") / F.greatest("counted", F.lit(1))).alias("mean_counted"),
-        (F.col("micros") / 1e6).alias("secs"),
+        "secs",
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 from grainmill.functions.arrays import append_token
 from grainmill.operators.mixture import budget_prefix
 from grainmill.operators.recipes import RECIPES, prepare
-from grainmill.sources.files import filesystem
 
 
 def prepared_ids(raw: DataFrame, recipe: str, codec) -> DataFrame:
@@ -32,8 +31,7 @@ def write_prepared(raw_stream: DataFrame, recipe: str, codec, out: str, checkpoi
 
 def _read_state(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """State left by the batch before ``batch_id``; empty before the first."""
-    f, p = filesystem(f"{path}/batch_id={batch_id - 1}")
-    if batch_id == 0 or not f.get_file_info(p).is_file and not f.get_file_info([p])[0].type.value == 3:
+    if batch_id == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id - 1}")
 
