@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.functions.text import one_line, prompt, prompt_with_step, strip
 from grainmill.operators import mixture, recipes
@@ -331,10 +331,9 @@ def first_n_across_configs(spark, d):
 SHARE = 0.5
 
 
-def half_of_tokens(prepared: DataFrame, extra: int) -> Column:
-    """A one-value subquery: it runs within the plan that uses it."""
+def half_of_tokens(prepared: DataFrame, extra: int) -> int:
     n = F.sum(ByteCodec().n_tokens(F.col("text")) + extra)
-    return prepared.agg(F.floor(n * SHARE).cast("bigint").alias("total")).scalar()
+    return prepared.agg(F.floor(n * SHARE).cast("bigint").alias("total")).first()["total"]
 
 
 def build(spark: SparkSession, d: str, recipe: str, codec=None, **kw):

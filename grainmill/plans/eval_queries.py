@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from grainmill.operators import candidates, scoring, trainlog
 from grainmill.plans.catalog import CANDIDATES, GENERATIONS, LOG, query, rounded
+from grainmill.session import stage
 from grainmill.sources import tables
 
 GEN = f"with {GENERATIONS}"
@@ -162,13 +163,18 @@ def greedy_item(spark, d):
 LOGS = f"with {LOG}"
 
 
+def staged_log(spark, d) -> DataFrame:
+    """The numbered log as a table, for operators that read it several times."""
+    return stage(tables.batch_log(spark, d), "batch-log")
+
+
 @query(
     "running_loss",
     f"""{LOGS} select run, epoch, batch, seen, counted, round(total / seen + 1e-9, 6) as mean_seen,
           round(total / nullif(counted, 0) + 1e-9, 6) as mean_counted from running""",
 )
 def running_loss(spark, d):
-    return trainlog.running_mean(tables.batch_log(spark, d)).select(
+    return trainlog.running_mean(staged_log(spark, d)).select(
         "run", "epoch", "batch", "seen", "counted",
         rounded("mean_seen"), rounded("mean_counted"),
     )
@@ -200,7 +206,7 @@ def epoch_summary(spark, d):
     f"{LOGS} select run, epoch, batch, cast(step as bigint) as step, stepped from stepping",
 )
 def global_steps(spark, d):
-    return trainlog.global_steps(tables.batch_log(spark, d)).select("run", "epoch", "batch", "step", "stepped")
+    return trainlog.global_steps(staged_log(spark, d)).select("run", "epoch", "batch", "step", "stepped")
 
 
 @query(
@@ -208,7 +214,7 @@ def global_steps(spark, d):
     f"{LOGS} select run, epoch, batch, cast(step as bigint) as step from stepping where stepped and step % 50 = 0",
 )
 def every_nth_step(spark, d):
-    steps = trainlog.global_steps(tables.batch_log(spark, d))
+    steps = trainlog.global_steps(staged_log(spark, d))
     return steps.where(F.col("stepped") & trainlog.every_nth(F.col("step"), 50)).select("run", "epoch", "batch", "step")
 
 
@@ -218,7 +224,7 @@ def every_nth_step(spark, d):
           round(total / counted + 1e-9, 6) as mean_counted from stepping where stepped and step % 100 = 0""",
 )
 def progress_rows(spark, d):
-    return trainlog.progress_rows(tables.batch_log(spark, d)).select(
+    return trainlog.progress_rows(staged_log(spark, d)).select(
         "run", "epoch", "batch", "step",
         rounded("mean_seen"), rounded("mean_counted"),
     )
@@ -240,7 +246,7 @@ MANIFEST_COLUMNS = "run, epoch, batch, step, kind, round(loss + 1e-9, 6) as loss
 
 
 def _manifest(spark, d, recipe: str) -> DataFrame:
-    return trainlog.checkpoints(tables.batch_log(spark, d), recipe, every=50)
+    return trainlog.checkpoints(staged_log(spark, d), recipe, every=50)
 
 
 @query("checkpoints", f"{MANIFEST_BASE} select {MANIFEST_COLUMNS} from manifest")
@@ -268,6 +274,6 @@ def latest_checkpoint(spark, d):
           round(mean_seen - lag(mean_seen) over (partition by run order by epoch) + 1e-9, 6) as delta from summary""",
 )
 def epoch_series(spark, d):
-    return trainlog.epoch_series(tables.batch_log(spark, d)).select(
+    return trainlog.epoch_series(staged_log(spark, d)).select(
         "run", "epoch", rounded("loss"), rounded("delta")
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.operators.recipes import CONFIG_SHIFT
+from grainmill.sources.files import size_in_bytes
 
 TEXT_SCHEMA = T.StructType([
     T.StructField("ord", T.LongType()), T.StructField("text", T.StringType()),
@@ -89,8 +90,23 @@ def union_raw(*parts: DataFrame) -> DataFrame:
 PLAIN_SOURCES = ["tinystories", "wikipedia", "bookcorpus", "openwebmath"]
 
 
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Redistribute the rows of an input too small to have a row group per task.
+
+    A row group is the unit of a Parquet scan, so all work up to the first shuffle on a small file runs
+    in one task. Inputs that fill every task are left as they are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if size_in_bytes(path) < tasks * ROW_GROUP_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name == "documents" else df
 
 
 def plain_source() -> Column:
