@@ -55,6 +55,7 @@ def source_offsets(kept: DataFrame) -> DataFrame:
     per = kept.groupBy("source", "pos").agg(
         F.sum("n_tokens").alias("src_tokens"), F.count("*").alias("src_docs")
     )
+    # One row per source comes together here; a recipe's registry fixes how many there are.
     w = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
         "source", "src_tokens", "src_docs",

@@ -101,7 +101,12 @@ def test_length_filter_runs_in_the_scan_stage_below_encoding(spark):
 def test_no_window_without_keys_and_no_cross_join(spark, name):
     plan = plan_of(queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "Exchange SinglePartition" not in plan
+    # one task may only merge the partial rows of a global aggregate, or the row per source
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = lines[i + 1]
+            assert "partial_" in below and "keys=[]" in below or re.search(r"keys=\[source#\d+L?, pos", below)
 
 
 def test_entry(spark):
