@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from grainmill.constants import MIN_FREQUENCY, VOCAB_SIZE
 from grainmill.functions.text import pretokens
 from grainmill.operators.vocabulary import BYTE_IDS, N_SPECIAL, Vocabulary
-from grainmill.session import stage
+from grainmill.session import stage, stage_counted
 
 CANDIDATES = 256  # best pairs looked at per round; a batch never needs more
+WORDS_PER_TASK = 8_000
 RESTAGE = 256  # merges between two rewrites of the word table to the shared folder
 _BASE = 0x100
 MAX_VOCAB = 0xD800 - _BASE  # one character per symbol, below the surrogates
@@ -125,10 +126,12 @@ def train(
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size is at most {MAX_VOCAB}")
-    tasks = lines.sparkSession.sparkContext.defaultParallelism
-    rounds = _round_session(lines.sparkSession, tasks)
+    spark = lines.sparkSession
     counts = word_counts(lines, line).select(_as_symbols(F.col("w")).alias("w"), "cnt")
-    words = stage(counts.where(F.length("w") >= 2).repartition(tasks, "w"), "bpe-words", reader=rounds)
+    counted, n_words = stage_counted(counts.where(F.length("w") >= 2), "bpe-words")
+    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
+    rounds = _round_session(spark, tasks)
+    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
     held: list[DataFrame] = []
     since_stage = 0
     pieces = Vocabulary().pieces

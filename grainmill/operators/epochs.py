@@ -36,14 +36,13 @@ def shuffle_epochs(
     ).select("epoch", "window_id", "idx")
 
 
-def shard_ranks(indexed: DataFrame, world: int) -> DataFrame:
+def shard_ranks(indexed: DataFrame, world: int, n_windows: int) -> DataFrame:
     """Give every rank the same number of windows: the list is repeated from its start until it divides,
     and rank ``r`` takes every ``world``-th entry. Adds ``rank`` and ``slot`` (place within the rank)."""
-    n = indexed.groupBy("epoch").agg(F.count("*").alias("n"))  # one row per epoch
-    padded = F.expr(f"(n + {world - 1}) div {world} * {world}")
+    padded = -(-n_windows // world) * world
+    repeats = F.sequence(F.col("idx"), F.lit(padded - 1).cast("bigint"), F.lit(n_windows).cast("bigint"))
     return (
-        indexed.join(F.broadcast(n), "epoch")
-        .withColumn("pos", F.explode(F.sequence(F.col("idx"), padded - 1, F.col("n"))))
+        indexed.withColumn("pos", F.explode(repeats))
         .select(
             "epoch", "window_id", "idx",
             (F.col("pos") % world).cast("int").alias("rank"),

@@ -95,7 +95,7 @@ def epoch_plan(
 ) -> DataFrame:
     """``(epoch, window_id, idx, rank, slot, batch, place, group, is_boundary)``."""
     indexed = epochs.shuffle_epochs(window_ids, n_epochs, seed, hash_name)
-    return epochs.accumulation(epochs.batches(epochs.shard_ranks(indexed, world), batch_size))
+    return epochs.accumulation(epochs.batches(epochs.shard_ranks(indexed, world, window_ids.count()), batch_size))
 
 
 def write_epoch_plan(plan: DataFrame, windows: DataFrame, path: str) -> None:

@@ -41,7 +41,7 @@ def scan_config(spark, d):
 
 @query("scan_incremental", "select doc_id, source, cast(length(text) as int) as chars from documents")
 def scan_incremental(spark, d):
-    schema = tables.table(spark, d, "documents").schema
+    schema = tables.TABLE_SCHEMAS["documents"]
     out = scratch_path(spark, "scan")
     stream = tables.scan_stream(spark, d, schema, glob="documents.parquet")
     (

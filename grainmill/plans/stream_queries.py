@@ -17,7 +17,7 @@ from grainmill.streaming import incremental
 
 def _text_stream(spark, d):
     """The plain-text sources as arriving files, in the common raw shape."""
-    schema = tables.table(spark, d, "documents").schema
+    schema = tables.TABLE_SCHEMAS["documents"]
     docs = tables.scan_stream(spark, d, schema, glob="documents.parquet")
     named = docs.select(tables.plain_source().alias("name"), F.col("doc_id").alias("ord"), "text")
     return tables.raw_rows(named, F.col("name"), "text")
@@ -67,7 +67,7 @@ def stream_budget(spark, d):
        from log group by run, epoch""",
 )
 def stream_loss(spark, d):
-    schema = tables.table(spark, d, "events").schema
+    schema = tables.TABLE_SCHEMAS["events"]
     log = tables.scan_stream(spark, d, schema, glob="events.parquet").select(
         (F.col("user_id") % 2).alias("run"), F.expr("event_id div 1024").alias("epoch"),
         F.col("value").alias("loss"), (F.col("event_type") == "error").alias("skipped"),

@@ -190,9 +190,9 @@ FILE_SQL = f"""{PACKED} select cast(pos // 65536 as bigint) as block, count(*) a
 def token_file(spark, d):
     """The token stream written as int32 shards and scanned back in byte ranges."""
     path = scratch_path(spark, "shards")
-    write_shards(build(spark, d, "base").stream(), path, shard_tokens=100_000)
+    write_shards(build(spark, d, "base").stream(), path)
     return (
-        read_shards(spark, path, range_tokens=30_000)
+        read_shards(spark, path)
         .groupBy(F.expr("pos div 65536").alias("block"))
         .agg(
             F.count("*").alias("n_tokens"),

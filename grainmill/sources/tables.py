@@ -44,7 +44,7 @@ def scan(
 
 
 def scan_stream(
-    spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
     """The same files as an incremental scan."""
     reader = spark.readStream.schema(schema)
@@ -90,6 +90,12 @@ def union_raw(*parts: DataFrame) -> DataFrame:
 PLAIN_SOURCES = ["tinystories", "wikipedia", "bookcorpus", "openwebmath"]
 
 
+TABLE_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
@@ -105,7 +111,7 @@ def spread(df: DataFrame, path: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
+    df = spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
     return spread(df, path) if name == "documents" else df
 
 

@@ -141,13 +141,15 @@ class TokenWriter(DataSourceArrowWriter):
 def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write documents ``(start, ids, doc_no)`` as int32 shards in stream order.
 
-    Every task gets whole shards of a fixed size, however long documents or sources are.
+    Every task gets whole shards of a fixed size, however long documents or sources are, and there are
+    as many tasks as shards, whatever the session's shuffle setting.
     """
     docs.sparkSession.dataSource.register(TokenShards)
+    n_shards = (docs.agg(F.max("start")).first()[0] or 0) // shard_tokens + 1
     (
         pieces(docs, shard_tokens, overlap=0)
         .select(F.col("window_id").alias("shard"), "s", "piece")
-        .repartition("shard")
+        .repartition(n_shards, "shard")
         .sortWithinPartitions("shard", "s")
         .write.format("token_shards")
         .mode("append")

@@ -68,7 +68,7 @@ def test_rank_shards_wrap(spark, many_buckets, n, world):
     for e in (0, 1):
         order = [r["window_id"] for r in indexed.where(F.col("epoch") == e).orderBy("idx").collect()]
         assert sorted(order) == list(range(n))
-        got = epochs.shard_ranks(indexed, world).where(F.col("epoch") == e).orderBy("rank", "slot").collect()
+        got = epochs.shard_ranks(indexed, world, n).where(F.col("epoch") == e).orderBy("rank", "slot").collect()
         by_rank = {r: [x["window_id"] for x in got if x["rank"] == r] for r in range(world)}
         assert by_rank == shards_by_loop(order, world)
 
