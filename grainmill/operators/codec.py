@@ -1,7 +1,7 @@
 """Encoding documents to token ids and back.
 
 Pre-tokenizing runs in the JVM. The Arrow function receives arrays of pre-tokens, looks each distinct
-one up once per batch, and merges only those not in the worker's cache. Decoding is all Column
+one up once per batch, and merges only those not in the task's cache. Decoding is all Column
 expressions.
 """
 
@@ -18,7 +18,7 @@ from grainmill.functions.text import pretokens, pretokens_atomic
 from grainmill.operators.vocabulary import BYTE_IDS, N_SPECIAL, Vocabulary
 
 IDS = T.ArrayType(T.IntegerType())
-CACHE_PIECES = 1_000_000  # distinct pre-tokens a worker remembers before it starts over
+CACHE_PIECES = 1_000_000  # distinct pre-tokens a task remembers before it starts over
 
 
 def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
