@@ -10,7 +10,7 @@ from grainmill.constants import BATCH_SIZE, EPOCHS, VOCAB_SIZE, WINDOW
 from grainmill.functions.arrays import append_token
 from grainmill.operators import epochs, mixture, packing, recipes
 from grainmill.operators.bpe_train import train
-from grainmill.operators.codec import BpeCodec, ByteCodec
+from grainmill.operators.codec import ByteCodec
 from grainmill.operators.ordering import key_buckets, prefix_sums
 from grainmill.operators.vocabulary import Vocabulary
 from grainmill.session import stage
@@ -55,20 +55,22 @@ class TokenBuild:
 
 
 def token_build(
-    raw: DataFrame, recipe: str, total: int | Column, codec=None, compat: bool = True, stage_kept: bool = True
+    raw: DataFrame, recipe: str, total: int | Column, codec=None, compat: bool = True, stage_kept: bool = True,
+    cap: int | None = None,
 ) -> TokenBuild:
     """Format, filter, encode and cut every weighted source to its token budget.
 
     With a codec that counts tokens without encoding, only kept documents are ever encoded. With BPE,
     documents out of the budget's reach are dropped first and the rest is encoded once, to the shared
-    folder. ``compat=False`` repairs the misspelt weight and appends no second end token.
+    folder. ``compat=False`` repairs the misspelt weight and appends no second end token. ``cap`` also
+    limits the rows of each source, see :func:`grainmill.operators.recipes.prepare`.
     """
     spark = raw.sparkSession
     codec = codec or ByteCodec()
     r = recipes.RECIPES[recipe]
     append_end = r.append_end and compat
     budget = mixture.budgets(recipes.weights(spark, recipe, compat), total)
-    docs = mixture.attach_budget(recipes.prepare(raw, recipe), budget)
+    docs = mixture.attach_budget(recipes.prepare(raw, recipe, cap, compat), budget)
     extra = 1 if append_end else 0
     if codec.counts_without_encoding:
         n = codec.n_tokens(F.col("text")) + extra
@@ -112,7 +114,3 @@ def write_epoch_plan(plan: DataFrame, windows: DataFrame, path: str) -> None:
 
 def tokenizer_build(raw: DataFrame, vocab_size: int = VOCAB_SIZE) -> Vocabulary:
     return train(tokenizer_corpus(raw), vocab_size)
-
-
-def bpe_codec(raw: DataFrame, vocab: Vocabulary, special: str = "split") -> BpeCodec:
-    return BpeCodec(raw.sparkSession, vocab, special)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainmill.operators.codec import ByteCodec
-from grainmill.operators import mixture, recipes
-from grainmill.plans.catalog import BASE, GENERATIONS, LOG, RAW, kept_sql, query, rounded
+from grainmill.operators import recipes
+from grainmill.plans.catalog import BASE, RAW, kept_sql, query, rounded
 from grainmill.plans.corpus_queries import SHARE, build
-from grainmill.plans.eval_queries import SUMMARY
 from grainmill.plans.token_queries import ENCODED, checksum
 from grainmill.session import scratch_path
 from grainmill.sources import tables

@@ -10,7 +10,7 @@ from grainmill.functions.text import one_line
 from grainmill.operators import bpe_train, codec, epochs, mixture, packing, recipes
 from grainmill.operators.vocabulary import Vocabulary
 from grainmill.plans.build import epoch_plan, training_windows
-from grainmill.plans.catalog import BASE, BYTE_ID, CPT, PLACED, RAW, bytes_of, kept_sql, query, rounded
+from grainmill.plans.catalog import BASE, BYTE_ID, PLACED, RAW, bytes_of, kept_sql, query, rounded
 from grainmill.plans.corpus_queries import SHARE, build
 from grainmill.session import scratch_path, stage
 from grainmill.sources import tables
