@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import content_sort, fair_mix, rendezvous
+from grainmill.llm import bpe_codec, content_sort, fair_mix, quality_rules, rendezvous
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,25 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.apply_rules(docs).select("doc_id", *counts, "base_failed", "kept")
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_codec.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), ranks_path())
+    return bpe_codec.decode_documents(encoded, ranks_path(), digests=True)
+
+
 @query
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(documents(spark, sf_dir)).select(
