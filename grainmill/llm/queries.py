@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe_codec, content_sort, fair_mix, quality_rules, rendezvous
+from grainmill.llm import bpe_codec, content_sort, fair_mix, quality_rules, rendezvous, secret_scan
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,54 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == list(secret_scan.KINDS).index(k)))
+    return secret_scan.secrets(documents(spark, sf_dir)).select(
+        "doc_id", *[count(k).cast("bigint").alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+def _secret_sql() -> str:
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    tests = {
+        "assign": "length(value) >= 8", "access": "length(m) >= 16",
+        "blob": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')",
+    }
+    scans = "\nunion all\n".join(
+        f"""select rid, {n} as kind, '{name}' as name, '{role}' as role,
+  cast(sum(length(g) + length(m)) over (partition by rid order by i) - length(m) as bigint) as start,
+  cast(sum(length(g) + length(m)) over (partition by rid order by i) as bigint) as stop, m, value
+from (select rid, unnest(regexp_extract_all(text, {quote(p)})) as m,
+  unnest(regexp_extract_all(text, {quote(p)}, {2 if name == 'assign' else 0})) as value,
+  unnest(string_split_regex(text, {quote(p)})[:-2]) as g,
+  unnest(range(len(regexp_extract_all(text, {quote(p)})))) as i from t)
+qualify {tests.get(name, 'true')}"""
+        for n, (name, (p, role, _)) in enumerate(secret_scan.KINDS.items())
+    )
+    completes = " or ".join(
+        f"(a.role = '{r}' and b.role in ({', '.join(repr(o) for o in others)}))" for r, others in secret_scan.COMPLETES.items()
+    )
+    reach, base = secret_scan.REACH, len(secret_scan.BASE)
+    return f"""with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+parts as ({scans}),
+kept as (select * from parts where kind < {base} union all
+  select * from parts a where kind >= {base} and exists (select 1 from parts b where a.rid = b.rid and ({completes})
+    and (b.start between a.stop and a.stop + {reach} or b.stop between a.start - {reach} and a.start))),
+per as (select rid, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
+  count(*) filter (where kind = 2) as n_hex,
+  string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (where kind < {base}) as base,
+  string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) as spans from kept group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join per using (rid)"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
