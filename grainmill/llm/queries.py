@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe_codec, content_sort, fair_mix, quality_rules, rendezvous, secret_scan
+from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, quality_rules, rendezvous, secret_scan, substring_dedup
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,26 @@ def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, keep_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+SQL["op7_substring_dedup"] = f"""with w as (select doc_id, {WORDS_SQL} as w from documents),
+grams as (select doc_id, i, w[i:i + {substring_dedup.SPAN - 1}] as g
+  from (select doc_id, w, unnest(range(1, len(w) - {substring_dedup.SPAN - 2})) as i from w)),
+firsts as (select g, min(doc_id) as least from grams group by g),
+gone as (select distinct doc_id, unnest(range(i, i + {substring_dedup.SPAN})) as i
+  from grams join firsts using (g) where least < doc_id),
+each as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w),
+rest as (select doc_id, count(*) as n, string_agg(x, ' ' order by i) as kept
+  from each anti join gone using (doc_id, i) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from w left join rest using (doc_id)"""
+
+
 @query
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir), keep="largest")
@@ -159,3 +179,8 @@ SQL["op8_content_sort"] = """with t as (select doc_id, coalesce(text, '') as tex
 g as (select *, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,
   row_number() over (partition by text order by doc_id desc nulls last) as place from t)
 select doc_id, keep_id, cast(group_size as bigint) as group_size, place = 1 as kept, sha256(text) as text_sha256 from g"""
+
+
+@query
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_groups(documents(spark, sf_dir))
