@@ -92,7 +92,7 @@ def _branches(node: Column, tokens: Column) -> Column:
 
 def candidates(signed: DataFrame) -> DataFrame:
     """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike."""
-    thin = signed.select("id", F.expr("transform(tokens, x -> cast(x & 255 as tinyint))").alias("bytes"))
+    thin = signed.select("id", F.expr("transform(tokens, x -> cast((x & 255) - 128 as tinyint))").alias("bytes"))
     thin = stage(thin, "sketches")
     roots = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     members = signed.select("id", "tokens", roots.alias("tree")).select(
@@ -161,7 +161,7 @@ def _sets(ident: str, text: str):
 
 def _confirm(percent: int):
     def run(key: tuple, pairs: pa.Table, hubs: pa.Table) -> pa.Table:
-        hub_sets = [np.frombuffer(x, np.uint64) for x in hubs.column("shingles").to_pylist()]
+        hub_sets = [np.frombuffer(x, np.uint64) for x in hubs.column("shingles_at").to_pylist()]
         good = []
         for other, data in zip(pairs.column("other").to_pylist(), pairs.column("shingles").to_pylist()):
             s = np.frombuffer(data, np.uint64)
@@ -188,8 +188,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).withColumn("slot", F.pmod(F.xxhash64("other"), F.ceil(F.col("deg") / PAIRS_A_TASK)).cast("int")).drop("deg")
     hubbed = stage(hubbed, "pairs")
     asked = hubbed.join(sets.withColumnRenamed("id", "other"), "other")
-    hubs = hubbed.select("hub", "slot").distinct().join(sets.withColumnRenamed("id", "hub"), "hub")
-    return asked.groupBy("hub", "slot").cogroup(hubs.groupBy("hub", "slot")).applyInArrow(
+    hubs = hubbed.select(F.col("hub").alias("at"), F.col("slot").alias("part")).distinct()
+    hubs = hubs.join(sets.select(F.col("id").alias("at"), F.col("shingles").alias("shingles_at")), "at")
+    return asked.groupBy("hub", "slot").cogroup(hubs.groupBy("at", "part")).applyInArrow(
         _confirm(percent), "a bigint, b bigint"
     )
 
