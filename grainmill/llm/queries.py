@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, quality_rules, rendezvous, secret_scan, substring_dedup
+from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, line_dedup, quality_rules, rendezvous, secret_scan, substring_dedup
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +184,47 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, place = 1 as k
 @query
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(documents(spark, sf_dir))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+def _line_sql() -> str:
+    edits, least = line_dedup.EDITS, line_dedup.MIN_CHARS
+    # Some third of the shorter line occurs in the longer one, moved by at most the number of edits.
+    thirds = " or ".join(
+        f"substr(b.line, a.chars // 3 * {i} + 1 + {move}, a.chars // 3) = substr(a.line, a.chars // 3 * {i} + 1, a.chars // 3)"
+        for i in range(3) for move in range(-edits, edits + 1)
+    )
+    return f"""with each as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+  from documents where text is not null
+),
+worded as (select * from each where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+lines as (select line, min((doc_id, pos)) as first, length(line) as chars from worded group by line),
+sized as (select * from lines where chars >= {least}),
+close as (
+  select greatest(a.first, b.first) as first
+  from sized a join (select *, unnest(range(chars - {edits}, chars + 1)) as other from sized) b on a.chars = b.other
+  where (a.chars < b.chars or a.line < b.line) and ({thirds}) and levenshtein(a.line, b.line) <= {edits}
+),
+gone as (
+  select doc_id, pos from worded join lines using (line)
+  where (doc_id, pos) <> first or first in (select first from close)
+),
+kept as (
+  select doc_id, count(*) as n, string_agg(line, chr(10) order by pos) as kept
+  from each anti join gone using (doc_id, pos) group by doc_id
+)
+select d.doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines,
+  cast(coalesce(len(string_split(text, chr(10))) - coalesce(n, 0), 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join kept using (doc_id)"""
+
+
+SQL["op10_line_dedup"] = _line_sql()
