@@ -27,55 +27,74 @@ BLOCK_BYTES = 12 << 20  # text in a row block
 PART_BYTES = 12 << 20  # text whose windows meet in one task
 NO_ID = np.iinfo(np.int64).max
 
-PACKED = "part int, row_block int, role int, n int, keys binary, more binary, ids binary"
-INDEX, PROBE, WINDOW = range(3)
-
+SPARE_BITS = 14  # a shortened hash meets a wrong one in one of 2**14 probes; hits are compared as windows
 
-def _split(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Edges of the parts in ascending keys."""
-    step = (1 << 64) // parts
-    return np.searchsorted(keys, np.array([i * step for i in range(1, parts)], dtype=np.uint64))
+# keys and more: the hash and its second half; low and high: ranks among the identifiers, which are in names.
+NAMES = ["part", "row_block", "role", "n", "keys", "more", "low", "high", "names"]
+PACKED = "part int, row_block int, role int, n int, " + ", ".join(f"{c} binary" for c in NAMES[4:])
+INDEX, PROBE, WINDOW = range(3)
 
 
-def _rows(row_block: int, role: int, parts: int, keys: np.ndarray, ids: np.ndarray, more: np.ndarray | None) -> list[tuple]:
-    edges = np.concatenate([[0], _split(keys, parts), [len(keys)]])
+def _rows(
+    row_block: int, role: int, parts: int, bits: int, keys: np.ndarray, low: np.ndarray | None, high: np.ndarray | None,
+    more: np.ndarray | None = None,
+) -> list[tuple]:
+    """Rows of ascending ``keys`` of so many bits with identifiers, one row for each part that has any."""
+    step = (1 << bits) // parts + 1
+    inner = np.searchsorted(keys, np.array([i * step for i in range(1, parts)], dtype=np.uint64))
+    edges = np.concatenate([[0], inner, [len(keys)]])
     out = []
     for part in range(parts):
         a, b = edges[part], edges[part + 1]
         if b > a:
+            given = [x[a:b] for x in (low, high) if x is not None]
+            names = np.unique(np.concatenate(given))
+            ranks = [b"" if x is None else A.pack(np.searchsorted(names, x[a:b])) for x in (low, high)]
             extra = A.pack(more[a:b]) if more is not None else b""
-            out.append((part, row_block, role, int(b - a), A.pack(keys[a:b], True), extra, A.pack(ids[a:b])))
+            out.append((part, row_block, role, int(b - a), A.pack(keys[a:b], True), extra, *ranks,
+                        np.array([len(names)], np.int64).tobytes() + A.pack(names, True)))
     return out
 
 
+def _keys(row: dict) -> np.ndarray:
+    return A.unpack(row["keys"], row["n"], True)
+
+
+def _ids(row: dict, which: str) -> np.ndarray:
+    count = int(np.frombuffer(row["names"][:8], np.int64)[0])
+    names = A.unpack(row["names"][8:], count, True).view(np.int64)
+    return names[A.unpack(row[which], row["n"]).astype(np.int64)]
+
+
 def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 4 + [pa.binary()] * 3
-    names = ["part", "row_block", "role", "n", "keys", "more", "ids"]
-    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 5
+    names = NAMES
+    columns = list(zip(*rows)) if rows else [[]] * 9
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 class _Texts:
     """Words of the documents of a row block."""
 
-    def __init__(self, table: pa.Table | pa.RecordBatch, text: str, ident: str, span: int):
+    def __init__(self, table: pa.Table | pa.RecordBatch, text: str, ident: str, span: int, bits: int):
         self.texts = A.text_bytes(table.column(text))
         self.words, self.first = A.word_hashes(self.texts)
         ids = table.column(ident)
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         self.owner = np.repeat(self.ids, np.diff(self.first))
-        self.span, self.block = span, (span + 1) // 2
+        self.span, self.block, self.bits = span, (span + 1) // 2, bits
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of the block-long window from each word on, whether it is whole, whether it is an aligned block)."""
         ok = A.whole(self.first, self.block) & (self.owner != NO_ID)
         place = np.arange(self.first[-1]) - np.repeat(self.first[:-1], np.diff(self.first))
-        return A.windows(self.words, self.block), ok, ok & (place % self.block == 0)
+        h = A.windows(self.words, self.block) >> np.uint64(64 - self.bits)
+        return h, ok, ok & (place % self.block == 0)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = A.whole(self.first, self.span) & (self.owner != NO_ID)
-        return A.windows(self.words, self.span), A.windows(self.words, self.span, A.BASE_B), ok
+        return A.windows(self.words, self.span), A.windows(self.words, self.span, A.BASE_B) >> np.uint64(32), ok
 
 
 def _extreme(keys: np.ndarray, ids: np.ndarray, largest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -86,41 +105,43 @@ def _extreme(keys: np.ndarray, ids: np.ndarray, largest: bool) -> tuple[np.ndarr
     return keys[at], ids[at]
 
 
-def _probe_rows(parts: int, text: str, ident: str, row_block: str, span: int):
+def _probe_rows(parts: int, bits: int, text: str, ident: str, row_block: str, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch.column(row_block).to_numpy()
             for block in np.unique(blocks):
-                part = batch.filter(pa.array(blocks == block))
-                t = _Texts(part, text, ident, span)
+                t = _Texts(batch.filter(pa.array(blocks == block)), text, ident, span, bits)
                 h, ok, aligned = t.grams()
-                rows = _rows(int(block), INDEX, parts, *_extreme(h[aligned], t.owner[aligned], False), None)
-                rows += _rows(int(block), PROBE, parts, *_extreme(h[ok], t.owner[ok], True), None)
+                keys, ids = _extreme(h[aligned], t.owner[aligned], False)
+                rows = _rows(int(block), INDEX, parts, bits, keys, ids, None)
+                keys, ids = _extreme(h[ok], t.owner[ok], True)
+                rows += _rows(int(block), PROBE, parts, bits, keys, None, ids)
                 yield from _table(rows).to_batches()
 
     return run
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """Which probes of each row block meet an index entry of a smaller document, and which entries are met so."""
-    rows = table.to_pylist()
-    got = {r: [(x["row_block"], A.unpack(x["keys"], x["n"], True), A.unpack(x["ids"], x["n"]).view(np.int64))
-               for x in rows if x["role"] == r] for r in (INDEX, PROBE)}
-    if not got[INDEX] or not got[PROBE]:
-        return _table([])
-    join = lambda role: (np.concatenate([k for _, k, _ in got[role]]), np.concatenate([i for _, _, i in got[role]]))
-    index, least = _extreme(*join(INDEX), False)
-    probe, most = _extreme(*join(PROBE), True)
-    out, part = [], rows[0]["part"]
-    for role, keys, ids in ((PROBE, index, least), (INDEX, probe, most)):
-        for block, k, own in got[role]:
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = keys[at] == k
-            hit &= (ids[at] < own) if role == PROBE else (ids[at] > own)
-            if hit.any():
-                k, found = k[hit], ids[at][hit]
-                out.append((part, block, role, len(k), A.pack(k, True), b"", A.pack(found)))
-    return _table(out)
+def _hits(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Which probes of each row block meet an entry of a smaller document, and which entries are met so."""
+        rows = table.to_pylist()
+        got = {r: [(x["row_block"], _keys(x), _ids(x, "low" if r == INDEX else "high")) for x in rows if x["role"] == r]
+               for r in (INDEX, PROBE)}
+        if not got[INDEX] or not got[PROBE]:
+            return _table([])
+        join = lambda role, i: np.concatenate([x[i] for x in got[role]])
+        index, least = _extreme(join(INDEX, 1), join(INDEX, 2), False)
+        probe, most = _extreme(join(PROBE, 1), join(PROBE, 2), True)
+        out = []
+        for role, keys, ids in ((PROBE, index, least), (INDEX, probe, most)):
+            for block, k, own in got[role]:
+                at, hit = _found(keys, k)
+                hit &= (ids[at] < own) if role == PROBE else (ids[at] > own)
+                if hit.any():
+                    out += _rows(block, role, 1, bits, k[hit], ids[at][hit], None)
+        return _table(out)
+
+    return run
 
 
 def _answers(table: pa.Table, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,26 +149,48 @@ def _answers(table: pa.Table, role: int) -> tuple[np.ndarray, np.ndarray, np.nda
     rows = [x for x in table.to_pylist() if x["role"] == role]
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([A.unpack(x["keys"], x["n"], True) for x in rows])
+    keys = np.concatenate([_keys(x) for x in rows])
     more = np.concatenate([A.unpack(x["more"], x["n"]) if x["more"] else np.zeros(x["n"], np.uint64) for x in rows])
-    ids = np.concatenate([A.unpack(x["ids"], x["n"]).view(np.int64) for x in rows])
+    ids = np.concatenate([_ids(x, "low") for x in rows])
     order = np.argsort(keys, kind="stable")
     return keys[order], more[order], ids[order]
 
 
 def _found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value its place in ascending keys, and whether it is there."""
+    """For each value its first place in ascending keys, and whether it is there."""
     if not len(keys):
         return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
     return at, keys[at] == values
 
 
-def _extend(parts: int, text: str, ident: str, span: int):
+def _found_pairs(keys: np.ndarray, more: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs; places with equal first halves follow each other."""
+    at, same = _found(keys, a)
+    at = at.copy()
+    while (off := same & (more[at] != b if len(more) else False)).any():
+        after = np.minimum(at + 1, len(keys) - 1)
+        goes_on = off & (after > at) & (keys[after] == a)
+        at = np.where(goes_on, after, at)
+        same = same & (~off | goes_on)
+    return at, same
+
+
+def _runs(a: np.ndarray, b: np.ndarray, ids: np.ndarray):
+    """Distinct ascending pairs with their smallest and largest identifiers."""
+    order = np.lexsort((ids, b, a))
+    a, b, ids = a[order], b[order], ids[order]
+    if not len(a):
+        return a, b, ids, ids
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[new], b[new], ids[new], ids[np.concatenate([new[1:], [len(a)]]) - 1]
+
+
+def _extend(parts: int, bits: int, text: str, ident: str, span: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return _table([])
-        t = _Texts(docs, text, ident, span)
+        t = _Texts(docs, text, ident, span, bits)
         h, ok, aligned = t.grams()
         keys, _, least = _answers(answers, PROBE)
         at, hit = _found(keys, h)
@@ -158,18 +201,11 @@ def _extend(parts: int, text: str, ident: str, span: int):
         # A window belongs to a hit that begins at most span - block words after it.
         n = len(hit)
         ends = np.concatenate([[0], np.cumsum(hit)])
-        reach = span - t.block + 1
-        near = ends[np.minimum(np.arange(n) + reach, n)] > ends[:-1]
+        near = ends[np.minimum(np.arange(n) + span - t.block + 1, n)] > ends[:-1]
         a, b, fits = t.spans()
         pick = near & fits
-        order = np.lexsort((t.owner[pick], b[pick], a[pick]))
-        a, b, ids = a[pick][order], b[pick][order], t.owner[pick][order]
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        last = np.concatenate([new[1:], [len(a)]])[: len(new)] - 1
-        # The largest identifier tells whether the answer concerns this row block, the smallest is what it offers.
-        rows = _rows(int(key[0].as_py()), WINDOW, parts, a[new], ids[new], b[new])
-        most = _rows(int(key[0].as_py()), PROBE, parts, a[new], ids[last], b[new])
-        return _table(rows + most)
+        a, b, low, high = _runs(a[pick], b[pick], t.owner[pick])
+        return _table(_rows(int(key[0].as_py()), WINDOW, parts, 64, a, low, high, b))
 
     return run
 
@@ -177,60 +213,30 @@ def _extend(parts: int, text: str, ident: str, span: int):
 def _repeats(table: pa.Table) -> pa.Table:
     """Windows of each row block that also start in a smaller document, with the smallest."""
     rows = table.to_pylist()
-    offers = _pairs([x for x in rows if x["role"] == WINDOW])
-    if offers is None:
+    if not rows:
         return _table([])
-    a, b, ids = offers
-    order = np.lexsort((ids, b, a))
-    a, b, ids = a[order], b[order], ids[order]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    a, b, least = a[new], b[new], ids[new]
+    got = [(x["row_block"], _keys(x), A.unpack(x["more"], x["n"]), _ids(x, "low"), _ids(x, "high")) for x in rows]
+    a, b, least, _ = _runs(*[np.concatenate([x[i] for x in got]) for i in (1, 2, 3)])
     out = []
-    for x in rows:
-        if x["role"] != PROBE:
-            continue
-        k, m, own = _pairs([x])
-        at = _pair_places(a, b, k, m)
+    for block, k, m, _, own in got:
+        at, _ = _found_pairs(a, b, k, m)
         hit = least[at] < own
         if hit.any():
-            out.append((x["part"], x["row_block"], WINDOW, int(hit.sum()), A.pack(k[hit], True), A.pack(m[hit]),
-                        A.pack(least[at][hit])))
+            out += _rows(block, WINDOW, 1, 64, k[hit], least[at][hit], None, m[hit])
     return _table(out)
 
 
-def _pairs(rows: list[dict]):
-    if not rows:
-        return None
-    return (
-        np.concatenate([A.unpack(x["keys"], x["n"], True) for x in rows]),
-        np.concatenate([A.unpack(x["more"], x["n"]) for x in rows]),
-        np.concatenate([A.unpack(x["ids"], x["n"]).view(np.int64) for x in rows]),
-    )
-
-
-def _pair_places(a: np.ndarray, b: np.ndarray, k: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Places of pairs (k, m) among the ascending pairs (a, b), all of which are there."""
-    at = np.searchsorted(a, k)
-    while (wrong := b[at] != m).any():  # equal first hashes, rare
-        at = at + wrong
-    return at
-
-
 def _remove(text: str, ident: str, span: int, keep_text: bool, others: list[str]):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        t = _Texts(docs, text, ident, span)
+        t = _Texts(docs, text, ident, span, 64)
         n = int(t.first[-1])
         gone = np.zeros(n, bool)
         if n and answers.num_rows:
             a, b, fits = t.spans()
             keys, more, least = _answers(answers, WINDOW)
-            at, same = _found(keys, a)
-            hit = np.zeros(n, bool)
-            while same.any():  # equal first hashes follow each other
-                hit |= same & (more[at] == b) & (least[at] < t.owner)
-                at = np.minimum(at + 1, len(keys) - 1)
-                same &= (keys[at] == a) & ~hit & (more[at - 1] != b)
+            at, hit = _found_pairs(keys, more, a, b)
             hit &= fits
+            hit[hit] = least[at[hit]] < t.owner[hit]
             edge = np.zeros(n + span, np.int64)
             starts = np.flatnonzero(hit)
             np.add.at(edge, starts, 1)
@@ -271,16 +277,17 @@ def remove_repeats(
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     parts = max(1, -(-size // PART_BYTES))
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
     others = [c for c in docs.columns if c != text_col]
     ident, text, block = hidden(docs, "ident", "text", "row_block")
     keyed = docs.select(
         *others, F.col(id_col).cast("bigint").alias(ident), F.col(text_col).alias(text),
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias(block),
     ).repartition(blocks, block)
-    probes = keyed.mapInArrow(_probe_rows(parts, text, ident, block, span), PACKED)
-    hits = probes.groupBy("part").applyInArrow(_hits, PACKED)
+    probes = keyed.mapInArrow(_probe_rows(parts, bits, text, ident, block, span), PACKED)
+    hits = probes.groupBy("part").applyInArrow(_hits(bits), PACKED)
     spans = keyed.groupBy(block).cogroup(hits.groupBy("row_block")).applyInArrow(
-        _extend(parts, text, ident, span), PACKED
+        _extend(parts, bits, text, ident, span), PACKED
     )
     repeats = spans.groupBy("part").applyInArrow(_repeats, PACKED)
     out = T.StructType(
