@@ -11,16 +11,15 @@ What is shuffled once is the text by document; the index and probe rows are two
 
 from __future__ import annotations
 
-from functools import lru_cache
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
-
-from grainmill.llm.common import hidden, shuffle_partitions
-from grainmill.session import stage
+from grainmill.llm.common import shuffle_partitions
+from grainmill.session import stage, stage_counted
 
 EDITS = 2
 MIN_CHARS = 24  # shorter lines are compared for equality only
-CROWDED = 100  # lines under one key from which on the key is refined
+CROWDED_BITS = 45  # of 64 that lines under a key set; some 80 lines, from which on the key is refined
+CROWDED = 100  # the same for refined keys, which are counted
 LEVELS = 3  # refinements of crowded keys
 BAND = 2 * EDITS + 1
 
@@ -41,21 +40,22 @@ def _segment(length: Column, i: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
 
 
-def _piece(line: Column, base: Column | None, length: Column, i: int, start: Column, size: Column) -> Column:
-    piece = line.substr(start, size)
-    key = [length, F.lit(i), piece] if base is None else [base, length, F.lit(i), piece]
-    rest = F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, F.length(line)))
-    return F.struct(F.xxhash64(*key).alias("key"), rest.alias("rest"))
+def _piece(line: Column, base: list[Column], length: Column, i: int, start: Column, size: Column, rest: bool) -> Column:
+    key = F.xxhash64(*base, length, F.lit(i), line.substr(start, size)).alias("key")
+    if not rest:
+        return F.struct(key)
+    left = F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, F.length(line)))
+    return F.struct(key, left.alias("rest"))
 
 
-def index_keys(line: Column, base: Column | None = None) -> Column:
-    """(key, rest) of the segments under which a line is indexed."""
+def index_keys(line: Column, base: list[Column] = [], rest: bool = False) -> Column:  # noqa: B006
+    """Keys of the segments under which a line is indexed; with ``rest`` also the line without the segment."""
     length = F.length(line)
-    return F.array(*[_piece(line, base, length, i, *_segment(length, i)) for i in range(EDITS + 1)])
+    return F.array(*[_piece(line, base, length, i, *_segment(length, i), rest) for i in range(EDITS + 1)])
 
 
-def probe_keys(line: Column, base: Column | None = None) -> Column:
-    """(key, rest) of the substrings that a segment of a line at most EDITS shorter can match.
+def probe_keys(line: Column, base: list[Column] = [], rest: bool = False) -> Column:  # noqa: B006
+    """Keys of the substrings that a segment of a line at most EDITS shorter can match.
 
     A segment before which fewer than ``i`` edits lie moves by less than that many places, and the same counts from
     the end, so twelve substrings are enough for two edits.
@@ -68,74 +68,58 @@ def probe_keys(line: Column, base: Column | None = None) -> Column:
             back = EDITS - i
             low, high = max(-i, less - back), min(i, less + back)
             out += [
-                F.when((length >= EDITS + 1) & (start + shift >= 1), _piece(line, base, length, i, start + shift, size))
+                F.when((length >= EDITS + 1) & (start + shift >= 1), _piece(line, base, length, i, start + shift, size, rest))
                 for shift in range(low, high + 1)
             ]
     return F.array(*out)
 
 
-def _exploded(lines: DataFrame, keys: Column, rest: bool) -> DataFrame:
-    rows = lines.select("line_id", F.explode(keys).alias("k")).where("k is not null")
-    return rows.select("k.key", "line_id", *(["k.rest"] if rest else []))
+def _keys(lines: DataFrame, keys: Column) -> DataFrame:
+    return lines.select("line_id", F.explode(keys).alias("k")).where("k is not null").select("k.*", "line_id")
 
 
-def candidate_pairs(lines: DataFrame, text_of) -> DataFrame:
-    """(a, b) with a < b: identifiers of lines that share a key. ``text_of`` gives (line_id, line) for some line_ids."""
-    index, probe = _exploded(lines, index_keys(F.col("line")), False), _exploded(lines, probe_keys(F.col("line")), False)
-    pairs = None
-    for level in range(LEVELS + 1):
-        crowd = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        counted = index.withColumn("crowd", crowd)
-        few = counted if level == LEVELS else counted.where(F.col("crowd") <= CROWDED)
-        met = few.select("key", F.col("line_id").alias("x")).join(probe.select("key", F.col("line_id").alias("y")), "key")
-        met = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if level == LEVELS:
-            break
-        if level == 0:
-            crowded = counted.where(F.col("crowd") > CROWDED)
-            hot = crowded.select("key").distinct()
-            ids = crowded.select("line_id").unionByName(probe.join(hot, "key", "left_semi").select("line_id")).distinct()
-            again = text_of(ids)
-            index_rest = _exploded(again, index_keys(F.col("line")), True).join(hot, "key", "left_semi")
-            probe_rest = _exploded(again, probe_keys(F.col("line")), True).join(hot, "key", "left_semi")
-        else:
-            hot = counted.where(F.col("crowd") > CROWDED).select("key").distinct()
-            index_rest, probe_rest = (
-                rows.join(hot, "key", "left_semi") for rows in (index_rest, probe_rest)
-            )
-        index_rest = _refined(index_rest, index_keys)
-        probe_rest = _refined(probe_rest, probe_keys)
-        index, probe = index_rest.drop("rest"), probe_rest.drop("rest")
-    return pairs.distinct()
-
-
-def _refined(rows: DataFrame, keys) -> DataFrame:
-    more = rows.select("line_id", F.explode(keys(F.col("rest"), F.col("key"))).alias("k")).where("k is not null")
-    return more.select("k.key", "line_id", "k.rest")
+def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """Pairs of different lines under one key."""
+    met = index.select("key", F.col("line_id").alias("x")).join(probe.select("key", F.col("line_id").alias("y")), "key")
+    return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-# ---- edit distance ---------------------------------------------------------------------------------------------
+def crowded_keys(lines: DataFrame) -> tuple[DataFrame, int]:
+    """Keys under which many lines are indexed, and how many keys these are.
 
-@lru_cache(1)
-def band_steps() -> list[int]:
-    """One column of the banded bit-parallel recurrence, for every (VP, VN, matches): VP', VN' and D0 packed.
-
-    Bit k stands for the row k - EDITS below the diagonal; the band moves down one row a column.
+    Lines are told apart by six bits of their identifiers, one bit of a number for each; copies of a line count once.
     """
-    mask, out = (1 << BAND) - 1, []
-    for vp in range(1 << BAND):
-        for vn in range(1 << BAND):
-            for eq in range(1 << BAND):
-                x = eq | vn
-                d0 = (((x & vp) + vp) ^ vp | x) & mask
-                hp = (vn | ~(d0 | vp)) & mask
-                hn = d0 & vp
-                down = d0 >> 1
-                out.append(((hn | ~(down | hp)) & mask) << 2 * BAND | (down & hp) << BAND | d0)
-    return out
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_id", F.lit(64)).cast("int")))
+    counted = _keys(lines, index_keys(F.col("line"))).groupBy("key").agg(seen.alias("seen"))
+    return stage_counted(counted.where(F.bit_count("seen") >= CROWDED_BITS).select("key"), "crowded")
+
+
+def crowded_pairs(lines: DataFrame, crowded: DataFrame) -> list[DataFrame]:
+    """Pairs of lines that share a crowded key and, with it, a key of what is left of them."""
+    line, found = F.col("line"), []
+    sides = [
+        stage(_keys(lines, keys(line, [], True)).join(crowded, "key", "left_semi").distinct(), "shared")
+        for keys in (index_keys, probe_keys)
+    ]
+    for level in range(1, LEVELS + 1):
+        rest, base = F.col("rest"), [F.col("key")]
+        sides = [
+            stage(_keys(rows, keys(rest, base, True)), "refined") for rows, keys in zip(sides, (index_keys, probe_keys))
+        ]
+        index, probe = sides
+        counts = index.groupBy("key").agg(F.countDistinct("line_id").alias("n")).where(F.col("n") > CROWDED).select("key")
+        crowded, n = stage_counted(counts, "crowded")
+        last = level == LEVELS or not n
+        met = _met(index if last else index.join(crowded, "key", "left_anti"), probe)
+        found.append(stage(met.distinct(), "pairs"))
+        if last:
+            break
+        sides = [rows.join(crowded, "key", "left_semi") for rows in sides]
+    return found
 
 
+# ---- edit distance ---------------------------------------------------------------------------------------------
+
 def banded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two strings whose lengths differ by at most EDITS; right where it is at most EDITS.
 
@@ -143,29 +127,39 @@ def banded_distance(a: Column, b: Column) -> Column:
     """
     longer = F.when(F.length(a) >= F.length(b), F.struct(a.alias("p"), b.alias("t"))).otherwise(
         F.struct(b.alias("p"), a.alias("t")))
-    steps = F.lit(band_steps())
+    mask = (1 << BAND) - 1
     bits = 2 * BAND
 
     def run(box: Column) -> Column:
         p, t, m, n = box["p"], box["t"], F.size(box["p"]), F.size(box["t"])
         ahead = m - n
-        start = F.lit((((1 << BAND) - (1 << EDITS)) << BAND)).cast("long")  # VP: rows below the first; VN: none
+        # Packed: distance so far, VP and VN. Bit k stands for the row k - EDITS from the diagonal; the band moves
+        # down by one row a column. At first VP holds the rows below the first.
+        start = F.lit((((1 << BAND) - (1 << EDITS)) << BAND)).cast("int")
 
         def column(acc: Column, j: Column) -> Column:
-            c = F.get(t, j)
-            eq = None
+            c, eq = F.get(t, j), None
             for k in range(BAND):
                 bit = F.when(F.get(p, j - EDITS + k) == c, 1 << k).otherwise(0)
                 eq = bit if eq is None else eq + bit
-            at = F.shiftleft(acc.bitwiseAND((1 << bits) - 1), BAND) + eq
-            step = lambda s: (
-                F.shiftright(s, BAND)
-                + F.shiftleft(F.shiftright(acc, bits) + 1 - F.call_function("shiftright", s, ahead + EDITS).bitwiseAND(1), bits)
-            )
-            return _let(F.get(steps, at.cast("int")).cast("long"), step)
+            vp, vn = F.shiftright(acc, BAND).bitwiseAND(mask), acc.bitwiseAND(mask)
+
+            def carried(x: Column) -> Column:
+                sum_ = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp)
+                return _let(sum_.bitwiseOR(x).bitwiseAND(mask), moved)
+
+            def moved(d0: Column) -> Column:
+                hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)))
+                down = F.shiftright(d0, 1)
+                new_vp = d0.bitwiseAND(vp).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(mask)
+                new_vn = down.bitwiseAND(hp).bitwiseAND(mask)
+                far = F.shiftright(acc, bits) + 1 - F.call_function("shiftright", d0, ahead + EDITS).bitwiseAND(1)
+                return F.shiftleft(far, bits) + F.shiftleft(new_vp, BAND) + new_vn
+
+            return _let(eq.bitwiseOR(vn), carried).cast("int")
 
         total = F.aggregate(F.sequence(F.lit(0), n - 1), start, column)
-        return F.when(n == 0, m).otherwise((F.shiftright(total, bits) + ahead).cast("int"))
+        return F.when(n == 0, m).otherwise(F.shiftright(total, bits) + ahead)
 
     def middle(box: Column) -> Column:
         p, t = box["p"], box["t"]
@@ -237,9 +231,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "line_id", "line", F.struct("place", "pos").alias("first"))
 
     long_lines = first.where(F.col("chars") >= MIN_CHARS).select("line_id", "first")
-    pairs = candidate_pairs(
-        text_of(long_lines).select("line_id", "line"),
-        lambda ids: text_of(long_lines.join(ids, "line_id", "left_semi")).select("line_id", "line"))
+    compared = every.select(F.xxhash64("line").alias("line_id"), "line").where(F.length("line") >= MIN_CHARS)
+    crowded, n_crowded = crowded_keys(compared)
+    lines = text_of(long_lines).select("line_id", "line")
+    index, probe = (_keys(lines, keys(F.col("line"))) for keys in (index_keys, probe_keys))
+    pairs = _met(index.join(crowded, "key", "left_anti") if n_crowded else index, probe)
+    for more in crowded_pairs(compared, crowded) if n_crowded else []:
+        pairs = pairs.unionByName(more)
+    pairs = pairs.distinct()
     ends = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
     texts = text_of(long_lines.join(ends, "line_id", "left_semi"))
     side = lambda end: texts.select(
@@ -254,14 +253,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = keyed.select("place", "pos", "line_id", "check").join(doomed, ["line_id", "check"]).where(
         F.col("late") | (F.struct("place", "pos") != F.col("first")))
     removed = gone.groupBy("place").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    lines = F.split(text, "\n", -1)
+    parts = F.split(text, "\n", -1)
     joined = by_place.join(removed, "place", "left")
     none = F.array().cast("array<int>")
     new_text = F.when(F.col("removed").isNull(), text).otherwise(
-        _let(F.struct(lines.alias("l"), F.col("removed").alias("r")), lambda x: F.array_join(_without(x["l"], x["r"]), "\n")))
+        _let(F.struct(parts.alias("l"), F.col("removed").alias("r")), lambda x: F.array_join(_without(x["l"], x["r"]), "\n")))
     return joined.select(
         *[new_text.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in names],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
         F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"),
     )
 
