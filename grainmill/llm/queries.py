@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, line_dedup, quality_rules, rendezvous, secret_scan, substring_dedup
+from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, quality_rules, rendezvous, secret_scan, substring_dedup
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ from t left join per using (rid)"""
 SQL["op2_secret_scan"] = _secret_sql()
 
 
+@query
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(documents(spark, sf_dir))
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
