@@ -281,13 +281,13 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, plus ids and ends (bytes of the text up to the end of each id).
+def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (the text only with ``keep_text``), plus ids and ends (bytes up to the end of each id).
 
     NULL counts as empty and gives empty arrays. The rank file must lie at the same path on every worker, as an
     installed package does. Columns named ids and ends are replaced.
     """
-    others = [c for c in docs.columns if c not in (text_col, "ids", "ends")]
+    others = [c for c in docs.columns if c not in ("ids", "ends") and (keep_text or c != text_col)]
     schema = T.StructType([docs.schema[c] for c in others] + list(ENCODED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +299,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -
                 columns = [batch.column(c).slice(a, b - a) for c in others]
                 yield pa.RecordBatch.from_arrays([*columns, _lists(ids, first), _lists(ends, first)], [*others, "ids", "ends"])
 
-    return docs.select(*others, text_col).mapInArrow(run, schema)
+    return docs.select(*others, *([] if keep_text else [text_col])).mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, digests: bool = False) -> DataFrame:
-    """All columns of ``encoded`` but ids and ends, plus ``bytes``; with ``digests`` n_tokens, ids_sha256, decoded_sha256.
+def decode_documents(
+    encoded: DataFrame, ranks_path: str, digests: bool = False, keep_ids: bool = False
+) -> DataFrame:
+    """All columns of ``encoded`` but ends and, unless ``keep_ids``, ids, plus ``bytes``; with ``digests`` n_tokens, ids_sha256, decoded_sha256.
 
     Empty or NULL ids give empty bytes. With ``digests`` the bytes are left out, so that long tables stay narrow.
     """
-    others = [c for c in encoded.columns if c not in ("ids", "ends", "bytes")]
+    others = [c for c in encoded.columns if c not in ("ends", "bytes") and (keep_ids or c != "ids")]
     fields = [encoded.schema[c] for c in others]
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["bytes"]
     kinds = [T.LongType(), T.StringType(), T.StringType()] if digests else [T.BinaryType()]
@@ -334,4 +336,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, digests: bool = False)
                 new = [pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *new], [*others, *names])
 
-    return encoded.select(*others, "ids").mapInArrow(run, schema)
+    return encoded.select(*others, *([] if keep_ids else ["ids"])).mapInArrow(run, schema)

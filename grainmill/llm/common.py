@@ -68,6 +68,5 @@ def row_slots(df: DataFrame, part: str, order: list[Column], bits: Column, name:
     inner = Window.partitionBy(part, bucket).orderBy(*order)
     return (
         rows.join(offs, [part, bucket])
-        .withColumn(name, F.col(off) + F.row_number().over(inner) - 1)
-        .drop(bucket, off)
+        .select(*df.columns, (F.col(off) + F.row_number().over(inner) - 1).alias(name))
     )
