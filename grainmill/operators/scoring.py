@@ -94,9 +94,8 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 
 def masked_loss(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """Mean negative log-probability over targets that are not padding."""
-    return (
-        tokens.where(F.col("target") != PAD_ID)
-        .groupBy(*by)
-        .agg(F.avg(-F.col("logprob")).alias("loss"), F.count("*").alias("n_targets"))
+    """Mean negative log-probability over targets that are not padding; NULL and 0 for a group of padding only."""
+    real = F.col("target") != PAD_ID
+    return tokens.groupBy(*by).agg(
+        F.avg(F.when(real, -F.col("logprob"))).alias("loss"), F.count_if(real).alias("n_targets")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.constants import CHECKPOINT_EVERY, GRAD_ACCUM, LOG_EVERY
 from grainmill.operators.epochs import boundary
@@ -63,6 +63,8 @@ def epoch_totals(log: DataFrame, accum: int = GRAD_ACCUM) -> DataFrame:
         F.count_if(~F.col("skipped")).alias("counted"),
         F.sum(_counted_loss()).alias("total"),
         F.count_if(_takes_step(accum)).alias("epoch_steps"),
+        F.max("batch").alias("last_batch"),
+        F.min("ts").alias("began"),
         _seconds(F.max("ts") - F.min("ts")).alias("secs"),
     )
 
@@ -86,14 +88,15 @@ def _numbered_epochs(log: DataFrame, accum: int) -> DataFrame:
 
 
 def global_steps(log: DataFrame, accum: int = GRAD_ACCUM, epochs: DataFrame | None = None) -> DataFrame:
-    """:func:`running` plus ``step``, the run's optimizer step after each batch, carried across epochs.
+    """:func:`running` plus ``step``, the run's optimizer step after each batch, carried across epochs, and ``began``.
 
-    A skipped batch on an accumulation boundary takes no step.
+    A skipped batch on an accumulation boundary takes no step. The log holds each batch of a run once: where a resumed
+    run has written an epoch again, pass it through :func:`last_attempts` first.
     """
     epochs = _numbered_epochs(log, accum) if epochs is None else epochs
     return (
         running(log, accum)
-        .join(epochs.select("run", "epoch", "steps_before"), ["run", "epoch"])
+        .join(epochs.select("run", "epoch", "steps_before", "began"), ["run", "epoch"])
         .withColumn("step", F.col("steps_before") + F.col("epoch_steps"))
         .withColumn("stepped", _takes_step(accum))
         .drop("steps_before")
@@ -101,17 +104,25 @@ def global_steps(log: DataFrame, accum: int = GRAD_ACCUM, epochs: DataFrame | No
 
 
 def progress_rows(log: DataFrame, every: int = LOG_EVERY, accum: int = GRAD_ACCUM) -> DataFrame:
-    """The rows a training loop prints: one per ``every`` optimizer steps."""
+    """The rows a training loop prints: one per ``every`` optimizer steps, with the seconds since the epoch began."""
     return (
         global_steps(log, accum)
         .where(F.col("stepped") & every_nth(F.col("step"), every))
         .select(
             "run", "epoch", "batch", "step",
             mean_loss("seen").alias("mean_seen"), mean_loss("counted").alias("mean_counted"),
+            _seconds(F.col("ts") - F.col("began")).alias("secs"),
         )
     )
 
 
+def last_attempts(log: DataFrame) -> DataFrame:
+    """The log with each batch once: of batches written again after a resume, the one with the latest ``ts``."""
+    columns = [c for c in log.columns if c not in ("run", "epoch", "batch")]
+    latest = F.max_by(F.struct(*columns), F.col("ts")).alias("last")
+    return log.groupBy("run", "epoch", "batch").agg(latest).select("run", "epoch", "batch", "last.*").select(*log.columns)
+
+
 def checkpoints(
     log: DataFrame, recipe: str = "base", every: int = CHECKPOINT_EVERY, accum: int = GRAD_ACCUM
 ) -> DataFrame:
@@ -128,7 +139,7 @@ def checkpoints(
     )
     mean = F.col("total") / (F.col("seen") if recipe == "base" else F.greatest("counted", F.lit(1)))
     end_rows = ends.select(
-        "run", "epoch", (F.col("seen") - 1).alias("batch"),
+        "run", "epoch", F.col("last_batch").alias("batch"),
         (F.col("steps_before") + F.col("epoch_steps")).alias("step"),
         F.lit("epoch_end").alias("kind"), mean.alias("loss"),
     )
@@ -143,9 +154,7 @@ def latest_checkpoint(manifest: DataFrame) -> DataFrame:
 
 
 def epoch_series(log: DataFrame) -> DataFrame:
-    """Mean loss per epoch and its change from the epoch before."""
+    """Mean loss per epoch and its change from the run's epoch before, whatever that one's number. A row per epoch."""
     series = epoch_summary(log).select("run", "epoch", F.col("mean_seen").alias("loss"))
-    previous = series.select("run", (F.col("epoch") + 1).alias("epoch"), F.col("loss").alias("prev"))
-    return series.join(previous, ["run", "epoch"], "left").select(
-        "run", "epoch", "loss", (F.col("loss") - F.col("prev")).alias("delta")
-    )
+    before = F.lag("loss").over(Window.partitionBy("run").orderBy("epoch"))
+    return series.select("run", "epoch", "loss", (F.col("loss") - before).alias("delta"))

@@ -98,8 +98,8 @@ def output_previews(spark, d):
 
 @query(
     "masked_loss",
-    """select user_id as run, round(avg(value / 100) + 1e-9, 6) as loss, count(*) as n_targets
-       from events where event_id % 8 <> 0 group by user_id""",
+    """select user_id as run, round(avg(case when event_id % 8 <> 0 then value / 100 end) + 1e-9, 6) as loss,
+       count(*) filter (where event_id % 8 <> 0) as n_targets from events group by user_id""",
 )
 def masked_loss(spark, d):
     return scoring.masked_loss(tables.scored_tokens(spark, d), ["run"]).withColumn("loss", rounded("loss"))
@@ -221,12 +221,14 @@ def every_nth_step(spark, d):
 @query(
     "progress_rows",
     f"""{LOGS} select run, epoch, batch, cast(step as bigint) as step, round(total / seen + 1e-9, 6) as mean_seen,
-          round(total / counted + 1e-9, 6) as mean_counted from stepping where stepped and step % 100 = 0""",
+          round(total / counted + 1e-9, 6) as mean_counted, round(epoch_us(ts) / 1e6
+            - min(epoch_us(ts)) over (partition by run, epoch) / 1e6 + 1e-9, 6) as secs
+          from stepping qualify stepped and step % 100 = 0""",
 )
 def progress_rows(spark, d):
     return trainlog.progress_rows(staged_log(spark, d)).select(
         "run", "epoch", "batch", "step",
-        rounded("mean_seen"), rounded("mean_counted"),
+        rounded("mean_seen"), rounded("mean_counted"), rounded("secs"),
     )
 
 

@@ -57,7 +57,7 @@ class TokenShards(DataSource):
         return TokenReader(self.options["path"], int(self.options.get("range_tokens", RANGE_TOKENS)))
 
     def writer(self, schema, overwrite: bool) -> "TokenWriter":
-        return TokenWriter(self.options["path"])
+        return TokenWriter(self.options["path"], overwrite)
 
 
 class TokenReader(DataSourceReader):
@@ -74,6 +74,9 @@ class TokenReader(DataSourceReader):
         return [(f"{self.path}/{s['file']}", s["n"], s["first_pos"]) for s in listed]
 
     def partitions(self) -> list[TokenRange]:
+        """One for each shard file; a single plain file is cut into ranges."""
+        if not self.path.endswith(".bin"):
+            return [TokenRange(file, 0, n, first) for file, n, first in self._files()]
         return [
             TokenRange(file, at, min(self.range_tokens, n - at), first + at)
             for file, n, first in self._files()
@@ -94,10 +97,19 @@ class TokenReader(DataSourceReader):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Takes ``(shard, s, piece)`` rows, each shard whole in one task and in stream order."""
+    """Takes ``(shard, s, piece)`` rows, each shard whole in one task and in stream order.
 
-    def __init__(self, path: str):
+    A folder holds one token stream. Writing to a folder that has a manifest is refused unless overwriting; then the
+    new manifest replaces the old one in one step and the files of the old stream are deleted after it.
+    """
+
+    def __init__(self, path: str, overwrite: bool = False):
         self.path = path.rstrip("/")
+        f, base = filesystem(self.path)
+        manifest = f.get_file_info(f"{base}/manifest.json")
+        self.old = json.loads(read_text(f"{self.path}/manifest.json")) if manifest.is_file else []
+        if manifest.is_file and not overwrite:
+            raise ValueError(f"{self.path} holds a token stream; use mode overwrite to replace it")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
         f, base = filesystem(self.path)
@@ -130,6 +142,9 @@ class TokenWriter(DataSourceArrowWriter):
             listed.append({"shard": shard, "file": name, "n": n, "first_pos": pos})
             pos += n
         write_text(f"{self.path}/manifest.json", json.dumps(listed, indent=0))
+        f, base = filesystem(self.path)
+        for x in self.old:
+            f.delete_file(f"{base}/{x['file']}")
 
     def abort(self, messages: list[WrittenShards | None]) -> None:
         f, base = filesystem(self.path)
@@ -138,7 +153,7 @@ class TokenWriter(DataSourceArrowWriter):
                 f.delete_file(f"{base}/{name}")
 
 
-def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, overwrite: bool = False) -> None:
     """Write documents ``(start, ids, doc_no)`` as int32 shards in stream order.
 
     Every task gets whole shards of a fixed size, however long documents or sources are, and there are
@@ -152,7 +167,7 @@ def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
         .repartition(n_shards, "shard")
         .sortWithinPartitions("shard", "s")
         .write.format("token_shards")
-        .mode("append")
+        .mode("overwrite" if overwrite else "append")
         .save(path)
     )
 

@@ -131,3 +131,39 @@ def test_epoch_summary_seconds_and_series(spark):
     assert [r["secs"] for r in trainlog.epoch_summary(log).orderBy("epoch").collect()] == [9.0, 9.0]
     assert [r["delta"] for r in trainlog.epoch_series(log).orderBy("epoch").collect()] == [None, 10.0]
     assert trainlog.progress_rows(log, every=2, accum=4).count() == 2
+
+
+LOG_SCHEMA = "run bigint, epoch int, batch bigint, loss double, skipped boolean, ts timestamp"
+
+
+def log_of(spark, rows):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    return spark.createDataFrame([(1, e, b, x, False, start + timedelta(seconds=s)) for e, b, x, s in rows], LOG_SCHEMA)
+
+
+def test_masked_loss_keeps_groups_of_padding_only(spark):
+    df = spark.createDataFrame([(1, 0, -1.0), (1, 0, -2.0), (2, 5, -3.0)], "run bigint, target int, logprob double")
+    got = {r["run"]: (r["loss"], r["n_targets"]) for r in scoring.masked_loss(df, ["run"]).collect()}
+    assert got == {1: (None, 0), 2: (3.0, 1)}
+
+
+def test_epoch_end_names_its_last_batch(spark):
+    log = log_of(spark, [(0, b, 1.0, b) for b in (0, 1, 3)])
+    ends = trainlog.checkpoints(log).where("kind = 'epoch_end'").collect()
+    assert [r["batch"] for r in ends] == [3]
+
+
+def test_series_over_an_epoch_gap(spark):
+    log = log_of(spark, [(0, 0, 1.0, 0), (2, 0, 4.0, 9)])
+    assert [r["delta"] for r in trainlog.epoch_series(log).orderBy("epoch").collect()] == [None, 3.0]
+
+
+def test_progress_seconds_and_resumed_epochs(spark):
+    rows = [(0, b, 1.0, b) for b in range(4)] + [(1, b, 2.0, 10 + b) for b in range(2)] + [(1, b, 3.0, 50 + 2 * b) for b in range(4)]
+    log = trainlog.last_attempts(log_of(spark, rows))
+    assert log.count() == 8 and log.columns == ["run", "epoch", "batch", "loss", "skipped", "ts"]
+    got = trainlog.progress_rows(log, every=1, accum=2).orderBy("step").collect()
+    assert [(r["epoch"], r["batch"], r["step"], r["secs"]) for r in got] == [(0, 1, 1, 1.0), (0, 3, 2, 3.0), (1, 1, 3, 2.0), (1, 3, 4, 6.0)]
+    assert got[-1]["mean_seen"] == 3.0

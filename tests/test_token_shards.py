@@ -47,3 +47,19 @@ def test_files_a_failed_task_left_are_ignored(spark, tmp_path):
     write_shards(df, str(path), 500)
     np.zeros(10, dtype="<i4").tofile(path / "shard-00000000-deadbeef.bin")
     assert read_shards(spark, str(path)).count() == len(stream)
+
+
+def test_a_second_write_is_refused_or_replaces(spark, tmp_path):
+    first, stream = make_docs(spark, 3)
+    second, other = make_docs(spark, 4)
+    path = tmp_path / "tokens"
+    write_shards(first, str(path), 500)
+    with pytest.raises(Exception, match="holds a token stream"):
+        write_shards(second, str(path), 500)
+    assert [r["id"] for r in read_shards(spark, str(path)).orderBy("pos").collect()] == stream
+    write_shards(second, str(path), 500, overwrite=True)
+    back = read_shards(spark, str(path))
+    assert [r["id"] for r in back.orderBy("pos").collect()] == other
+    listed = {s["file"] for s in json.loads((path / "manifest.json").read_text())}
+    assert {f.name for f in path.glob("*.bin")} == listed
+    assert back.rdd.getNumPartitions() == len(listed)
