@@ -4,7 +4,7 @@ Word pairs and words have Good-Turing discounted counts; what discounting frees
 proportion to the lower order, with a weight that makes every history's probabilities add up to one exactly.
 
 Documents lie in row blocks of bounded size. Each block counts its words and pairs; counts meet by hash in parts, whose
-tables go back to the blocks, and only where they say more than a block's own counts. Of the blocks that share a pair
+tables go back to the blocks, one number for each key a block has sent. Of the blocks that share a pair
 one owns it and adds it to its history's sums, so that a history of any size is summed from one row for each block.
 The probability of a token is then found recursively: pair, else backoff weight times word, else the unknown word.
 """
@@ -95,17 +95,18 @@ class _Tokens:
         self.history_of[1:] = self.word_of[:-1]
         self.history_of[self.first[:-1]] = begin
 
-    def told(self, answers: pa.Table) -> None:
-        """Replace local counts by the totals of the answers; local ones are right where there is no answer."""
+    def told(self, answers: pa.Table, parts: int) -> None:
+        """Replace local counts by totals. An answer holds one value for each key of the part, in their order."""
         self.pair_own = self.pair_n > 0
+        word_edges, pair_edges = edges(self.words, parts), edges(self.pairs, parts)
         for row in answers.to_pylist():
             if row["role"] == HISTORY:
                 continue
-            keys, values = A.unpack(row["keys"], row["n"], True), A.unpack(row["values"], row["n"]).view(np.int64)
+            values = A.unpack(row["values"], row["n"]).view(np.int64)
             if row["role"] == WORD:
-                self.word_n[np.searchsorted(self.words, keys)] = values >> 1
-            elif row["role"] == PAIR:
-                at = np.searchsorted(self.pairs, keys)
+                self.word_n[word_edges[row["part"]] : word_edges[row["part"] + 1]] = values >> 1
+            else:
+                at = slice(pair_edges[row["part"]], pair_edges[row["part"] + 1])
                 self.pair_n[at], self.pair_own[at] = values >> 1, (values & 1) > 0
         at = np.searchsorted(self.words, END)
         starts = self.word_n[at] if at < len(self.words) else 0
@@ -113,14 +114,19 @@ class _Tokens:
         self.history_keys = np.concatenate([self.words, [START]])
 
 
-def _rows(block: int, role: int, parts: int, keys: np.ndarray, values: np.ndarray, more: bytes | None = None):
+def edges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of the hashes begins in ascending keys, and their number."""
     step = (1 << 64) // parts + 1
     inner = np.searchsorted(keys, np.array([i * step for i in range(1, parts)], dtype=np.uint64))
-    edges = np.concatenate([[0], inner, [len(keys)]])
+    return np.concatenate([[0], inner, [len(keys)]])
+
+
+def _rows(block: int, role: int, parts: int, keys: np.ndarray, values: np.ndarray):
+    at = edges(keys, parts)
     for part in range(parts):
-        a, b = edges[part], edges[part + 1]
+        a, b = at[part], at[part + 1]
         if b > a:
-            yield (part, block, role, int(b - a), A.pack(keys[a:b], True), A.pack(values[a:b]), more)
+            yield (part, block, role, int(b - a), A.pack(keys[a:b], True), A.pack(values[a:b]), None)
 
 
 def _table(rows: list[tuple], stats: list | None = None) -> pa.Table:
@@ -157,13 +163,10 @@ def _total(table: pa.Table) -> pa.Table:
     with_any = counts > 0
     np.minimum.at(owner, where[with_any], turn[with_any])
     out, start = [], 0
-    for i, (block, k, c) in enumerate(each):
+    for i, (block, k, _) in enumerate(each):
         at = where[start : start + len(k)]
         start += len(k)
-        total, own = totals[at], owner[at] == i
-        news = (total != c) | (own != (c > 0))
-        if news.any():
-            out.append((part, block, role, int(news.sum()), A.pack(k[news], True), A.pack((total * 2 + own)[news]), None))
+        out.append((part, block, role, len(k), None, A.pack(totals[at] * 2 + (owner[at] == i)), None))
     seen = totals[totals > 0]
     small = np.bincount(np.minimum(seen, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
     stats = [role, int(seen.sum()), len(seen), *map(int, small)]
@@ -239,7 +242,7 @@ def _sums(parts: int, model: Model):
         if not packed.num_rows:
             return _table([])
         t = _Tokens(unpacked(packed))
-        t.told(answers)
+        t.told(answers, parts)
         size = len(t.history_keys)
         at = t.pair_at[t.pair_own]
         history = t.history_of[at]
@@ -249,11 +252,10 @@ def _sums(parts: int, model: Model):
         asks[t.history_of[t.pair_n[t.pair_of] == 0]] = 1
         keep = t.history_n > 0
         order = np.flatnonzero(keep)[np.argsort(t.history_keys[keep])]
-        out, block, step = [], int(key[0].as_py()), (1 << 64) // parts + 1
-        keys = t.history_keys[order]
-        edges = np.concatenate([[0], np.searchsorted(keys, np.array([i * step for i in range(1, parts)], np.uint64)), [len(keys)]])
+        out, block = [], int(key[0].as_py())
+        at = edges(t.history_keys[order], parts)
         for part in range(parts):
-            i = order[edges[part] : edges[part + 1]]
+            i = order[at[part] : at[part + 1]]
             if len(i):
                 sums = pa.compress(np.stack([freed[i], lower[i]]).tobytes(), codec="zstd", asbytes=True)
                 out.append((part, block, HISTORY, len(i), A.pack(t.history_keys[i], True), A.pack(asks[i]), sums))
@@ -289,10 +291,10 @@ def _weigh(table: pa.Table) -> pa.Table:
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _score(model: Model):
+def _score(parts: int, model: Model):
     def run(key: tuple, packed: pa.Table, answers: pa.Table) -> pa.Table:
         t = _Tokens(unpacked(packed))
-        t.told(answers)
+        t.told(answers, parts)
         size = len(t.history_keys)
         freed, lower = np.ones(size), np.zeros(size)  # no answer: something is freed, and nobody asks
         order = np.argsort(t.history_keys)
@@ -356,7 +358,7 @@ def score_documents(
     sums = packed.groupBy("row_block").cogroup(told.groupBy("row_block")).applyInArrow(_sums(parts, model), PACKED)
     weights = sums.groupBy("part").applyInArrow(_weigh, PACKED)
     answers = told.unionByName(weights)
-    scored = packed.groupBy("row_block").cogroup(answers.groupBy("row_block")).applyInArrow(_score(model), SCORES)
+    scored = packed.groupBy("row_block").cogroup(answers.groupBy("row_block")).applyInArrow(_score(parts, model), SCORES)
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         "base_score", "score")
