@@ -12,10 +12,10 @@ def _shuffle_key(hash_name: str, seed: int) -> tuple[Column, Column]:
     """Key deciding a window's place in its epoch, and its leading 16 bits as the bucket."""
     if hash_name == "xxhash64":
         key = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("window_id"))
-        return key, F.shiftright("shuffle_key", 48)
+        return key
     if hash_name == "md5":
         key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("window_id").cast("string")))
-        return key, F.conv(F.substring("shuffle_key", 1, 4), 16, 10).cast("int")
+        return key
     raise ValueError(f"unknown hash {hash_name!r}")
 
 
@@ -24,15 +24,15 @@ def shuffle_epochs(
 ) -> DataFrame:
     """``(epoch, window_id, idx)``: a seeded permutation of all windows per epoch.
 
-    The key depends on seed, epoch and window only, so retries and repartitioning change nothing. Hash
-    prefixes spread windows evenly over 65,536 buckets.
+    The key depends on seed, epoch and window only, so retries and repartitioning change nothing. Ranges
+    of the hash spread windows evenly over tasks.
     """
-    key, bucket = _shuffle_key(hash_name, seed)
+    key = _shuffle_key(hash_name, seed)
     keyed = window_ids.select(
         F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "window_id"
     ).withColumn("shuffle_key", key)
     return prefix_sums(
-        keyed, ["epoch"], ["shuffle_key", "window_id"], {"idx": F.lit(1).cast("bigint")}, [bucket]
+        keyed, ["epoch"], ["shuffle_key", "window_id"], {"idx": F.lit(1).cast("bigint")}
     ).select("epoch", "window_id", "idx")
 
 

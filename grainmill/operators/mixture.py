@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.operators.ordering import key_buckets, prefix_sums
+from grainmill.operators.ordering import prefix_sums
 
 
 def budgets(weights: DataFrame, total: int | Column) -> DataFrame:
@@ -35,7 +35,7 @@ def within_budget() -> Column:
     return (F.col("cum_before") < F.col("budget")) | (F.col("docs_before") == 0)
 
 
-def budget_prefix(docs: DataFrame, n_tokens: Column, bits=(12, 20)) -> DataFrame:
+def budget_prefix(docs: DataFrame, n_tokens: Column) -> DataFrame:
     """The kept documents of each source.
 
     ``docs`` has ``(source, ord, budget, ...)``. Adds ``n_tokens``, ``cum_before`` and ``docs_before``.
@@ -45,7 +45,6 @@ def budget_prefix(docs: DataFrame, n_tokens: Column, bits=(12, 20)) -> DataFrame
     return prefix_sums(
         counted, ["source"], ["ord"],
         {"cum_before": F.col("n_tokens"), "docs_before": F.lit(1).cast("bigint")},
-        key_buckets(F.col("ord"), bits),
         keep=within_budget(), carry=["budget"],
     )
 

@@ -1,64 +1,46 @@
 """Ordered prefix sums and row numbers that never put one part into one task.
 
-Rows are cut into buckets by an order-preserving function of the order key. A first pass writes the
-bucket totals, a narrow table, to the shared scratch folder. A prefix sum over those totals gives each
-bucket its offset, and each row adds that to a sum over its own bucket. The input is therefore read
-twice and shuffled once; stage it first if it is costly.
-
-With a unique integer key and ``bits=(12, 20)`` a window holds at most 2**12 rows, 2**20 bucket totals
-and, for keys below 2**52, 2**20 coarse totals. The number of bucket totals is known after the first
-pass: few of them take one window and a broadcast, many take the coarser level and a shuffled join.
+Rows are cut into ranges of (part, order key) by cut points from a bounded sample, so keys may be dense or sparse,
+hashed, negative or text. A first pass writes keys and values, a narrow table, to the shared scratch folder; sums per
+range are taken from it and added up. Each row then adds its range's offset to a sum over its own range. The input is
+read twice and shuffled once, by range; stage it first if it is costly. Cut points change which rows meet in a task,
+never the result.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.session import stage_counted
-
-ONE_WINDOW = 1 << 20  # bucket totals one window may sort
-BROADCAST_BUCKETS = 100_000  # bucket offsets that may be broadcast, a few MB
-
-
-def key_buckets(key: Column, bits: Sequence[int] = (12, 20)) -> list[Column]:
-    """Bucket expressions, fine to coarse, of an integer key."""
-    out, shift = [], 0
-    for b in bits:
-        shift += b
-        out.append(F.shiftright(key.cast("bigint"), shift))
-    return out
-
-
-def _before(window, col: str, zero: Column) -> Column:
-    return F.coalesce(F.sum(col).over(window), zero)
-
-
-def _bucket_offsets(
-    totals: DataFrame, part: list[str], carry: list[str], names: list[str], sums: dict[str, Column]
-) -> DataFrame:
-    """Sums over all earlier buckets of the part, one row per bucket of the finest level in ``names``."""
-    head, coarser = names[0], names[1:]
-    w = (
-        Window.partitionBy(*part, *coarser[:1])
-        .orderBy(head)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = totals.select(
-        *part, *carry, *names,
-        *[_before(w, f"__v_{s}", F.lit(0)).alias(f"__o_{s}") for s in sums],
-    )
-    if not coarser:
-        return local
-    up = totals.groupBy(*part, *coarser).agg(*[F.sum(f"__v_{s}").alias(f"__v_{s}") for s in sums])
-    up = _bucket_offsets(up, part, [], coarser, sums).select(
-        *part, coarser[0], *[F.col(f"__o_{s}").alias(f"__u_{s}") for s in sums]
-    )
-    return local.join(up, [*part, coarser[0]]).select(
-        *part, *carry, *names,
-        *[(F.col(f"__o_{s}") + F.col(f"__u_{s}")).alias(f"__o_{s}") for s in sums],
+from grainmill.session import stage, stage_counted
+
+MIN_RANGES, MAX_RANGES = 16, 1024  # between them as many as shuffle partitions
+SAMPLE_PER_RANGE = 32  # keys the driver sees for each range: 32,768 at most
+BROADCAST_RANGES = 100_000  # offsets that may be broadcast, a few MB; there is at least one for each part
+
+
+def _range(rows: DataFrame, keys: list[str]) -> Column:
+    """Number of cut points at or below a row's key, found in two steps."""
+    spark = rows.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MAX_RANGES, max(MIN_RANGES, wanted))
+    sample = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLE_PER_RANGE * ranges)
+    seen = [list(r) for r in sample.orderBy(*keys).collect()]
+    cuts = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+    if not cuts:
+        return F.lit(0)
+    names = [f"k{i}" for i in range(len(keys))]
+    kind = ",".join(f"{n}:{rows.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+    given = lambda values: F.from_json(
+        F.lit(json.dumps([dict(zip(names, v)) for v in values])), f"array<struct<{kind}>>"
     )
+    key = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys)])
+    step = max(1, int(len(cuts) ** 0.5))
+    base = F.size(F.filter(given(cuts[step - 1 :: step]), lambda c: c <= key)) * step
+    return base + F.size(F.filter(F.slice(given(cuts), base + 1, F.lit(step)), lambda c: c <= key))
 
 
 def prefix_sums(
@@ -66,62 +48,46 @@ def prefix_sums(
     part: list[str],
     order: list[str],
     sums: dict[str, Column],
-    buckets: list[Column],
     keep: Column | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Add one column per entry of ``sums``: the sum over the rows before this one in its part.
 
-    ``buckets`` runs from fine to coarse; each is a non-decreasing function of ``order`` and each
-    coarser one of the finer. ``part`` columns must not be NULL.
+    ``part`` and ``order`` are integers or text, without NULL, and tell all rows apart.
 
-    ``keep`` is a condition on the new columns (and ``carry`` columns, constant within a part) that
-    once false stays false for the rest of the part. It is tested on bucket offsets first, so rows
-    past the last bucket that can still hold a kept row are dropped before they are shuffled.
+    ``keep`` is a condition on the new columns (and ``carry`` columns, constant within a part) that once false stays
+    false for the rest of the part. It is tested on the offsets of ranges first, so rows past the last range that can
+    still hold a kept row are dropped before they are shuffled.
     """
-    carry = list(carry)
-    names = [f"__b{i}" for i in range(len(buckets))]
-    rows = df.select(
-        "*",
-        *[b.alias(n) for b, n in zip(buckets, names)],
-        *[v.alias(f"__v_{s}") for s, v in sums.items()],
+    carry, value = list(carry), {s: f"__v_{s}" for s in sums}
+    rows = df.select("*", *[v.alias(value[s]) for s, v in sums.items()])
+    narrow = stage(rows.select(*dict.fromkeys([*part, *carry, *order, *value.values()])), "keys")
+    bucket = _range(narrow, [*part, *order])
+    totals, n = stage_counted(
+        narrow.groupBy(*part, *carry, bucket.alias("__range")).agg(*[F.sum(v).alias(v) for v in value.values()]),
+        "range-totals",
     )
-    totals, n_buckets = stage_counted(
-        rows.groupBy(*part, *carry, *names).agg(*[F.sum(f"__v_{s}").alias(f"__v_{s}") for s in sums]),
-        "bucket-totals",
+    earlier = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *part, *carry, "__range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(s) for s, v in value.items()]
     )
-    levels = names if n_buckets > ONE_WINDOW else names[:1]
-    offsets = _bucket_offsets(totals, part, carry, levels, sums)
-    small = n_buckets <= BROADCAST_BUCKETS
     if keep is not None:
-        live = offsets.select(
-            *part, *carry, *levels, *[F.col(f"__o_{s}") for s in sums], *[F.col(f"__o_{s}").alias(s) for s in sums]
-        ).where(keep)
-        if small:
-            offsets = live
-        else:
-            last = live.groupBy(*part).agg(F.max("__b0").alias("__last"))
-            rows = rows.join(last, part).where("__b0 <= __last")
-    offsets = offsets.select(*part, "__b0", *[f"__o_{s}" for s in sums])
-    w = (
-        Window.partitionBy(*part, "__b0")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        offsets = offsets.where(keep)
+    offsets = offsets.select(*part, "__range", *[F.col(s).alias(f"__o_{s}") for s in sums])
+    before = Window.partitionBy(*part, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__range", bucket).join(
+        F.broadcast(offsets) if n <= BROADCAST_RANGES else offsets, [*part, "__range"]
     )
-    out = rows.join(F.broadcast(offsets) if small else offsets, [*part, "__b0"]).select(
+    out = placed.select(
         *df.columns,
-        *[(_before(w, f"__v_{s}", F.lit(0)) + F.col(f"__o_{s}")).alias(s) for s in sums],
+        *[(F.coalesce(F.sum(v).over(before), F.lit(0)) + F.col(f"__o_{s}")).alias(s) for s, v in value.items()],
     )
     return out if keep is None else out.where(keep)
 
 
-def row_numbers(
-    df: DataFrame, part: list[str], key: str, name: str = "rn", bits: Sequence[int] = (12, 20), **kw
-) -> DataFrame:
-    """0-based position of each row in its part, ordered by a unique integer key."""
-    return prefix_sums(
-        df, part, [key], {name: F.lit(1).cast("bigint")}, key_buckets(F.col(key), bits), **kw
-    )
+def row_numbers(df: DataFrame, part: list[str], key: str, name: str = "rn", **kw) -> DataFrame:
+    """0-based position of each row in its part, ordered by a unique key."""
+    return prefix_sums(df, part, [key], {name: F.lit(1).cast("bigint")}, **kw)
 
 
 def first_n_per_part(df: DataFrame, part: list[str], key: str, caps: Column) -> DataFrame:

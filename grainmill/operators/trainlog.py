@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.constants import CHECKPOINT_EVERY, GRAD_ACCUM, LOG_EVERY
 from grainmill.operators.epochs import boundary
-from grainmill.operators.ordering import key_buckets, prefix_sums
+from grainmill.operators.ordering import prefix_sums
 from grainmill.session import stage
 
 
@@ -26,7 +26,7 @@ def running(log: DataFrame, accum: int = GRAD_ACCUM) -> DataFrame:
     """Adds, up to and including each batch of its epoch: batches ``seen``, batches ``counted`` (not
     skipped), ``total`` loss and optimizer steps ``epoch_steps``.
 
-    An epoch is cut into runs of 4,096 batches, so one long epoch is spread over tasks.
+    An epoch is cut into ranges of batches, so one long epoch is spread over tasks.
     """
     one = F.lit(1).cast("bigint")
     own = {
@@ -35,7 +35,7 @@ def running(log: DataFrame, accum: int = GRAD_ACCUM) -> DataFrame:
         "total": _counted_loss(),
         "epoch_steps": F.when(_takes_step(accum), 1).otherwise(0).cast("bigint"),
     }
-    before = prefix_sums(log, ["run", "epoch"], ["batch"], own, key_buckets(F.col("batch")))
+    before = prefix_sums(log, ["run", "epoch"], ["batch"], own)
     return before.select(*log.columns, *[(F.col(c) + v).alias(c) for c, v in own.items()])
 
 
@@ -83,7 +83,7 @@ def _numbered_epochs(log: DataFrame, accum: int) -> DataFrame:
     """:func:`epoch_totals` plus ``steps_before``, the run's optimizer steps before each epoch."""
     totals = stage(epoch_totals(log, accum), "epoch-totals")
     return prefix_sums(
-        totals, ["run"], ["epoch"], {"steps_before": F.col("epoch_steps")}, key_buckets(F.col("epoch"))
+        totals, ["run"], ["epoch"], {"steps_before": F.col("epoch_steps")}
     )
 
 

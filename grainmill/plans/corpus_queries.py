@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grainmill.functions.text import one_line, prompt, prompt_with_step, strip
 from grainmill.operators import mixture, recipes
 from grainmill.operators.codec import ByteCodec
-from grainmill.operators.ordering import first_n_per_part, prefix_sums, key_buckets
+from grainmill.operators.ordering import first_n_per_part, prefix_sums
 from grainmill.plans.build import token_build
 from grainmill.plans.catalog import (
     BASE, CONFIG_STEP, CPT, PLACED, RAW, kept_sql, query, sql_strip, weights_sql,
@@ -387,7 +387,7 @@ def cumulative_tokens(spark, d):
     docs = recipes.prepare(tables.raw_corpus(spark, d), "base").select(
         "source", "ord", (F.octet_length("text") + 1).cast("bigint").alias("n")
     )
-    before = prefix_sums(docs, ["source"], ["ord"], {"before": F.col("n")}, key_buckets(F.col("ord")))
+    before = prefix_sums(docs, ["source"], ["ord"], {"before": F.col("n")})
     return before.select("source", "ord", (F.col("before") + F.col("n")).alias("tokens_so_far"))
 
 

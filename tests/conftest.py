@@ -13,12 +13,12 @@ def spark():
     return local_session("8", 4)
 
 
-@pytest.fixture(params=[False, True], ids=["one-window", "levels"])
+@pytest.fixture(params=[False, True], ids=["broadcast", "shuffled"])
 def many_buckets(request, monkeypatch):
-    """Runs a test with few bucket totals and as if there were very many."""
+    """Runs a test with few ranges and as if there were too many to broadcast."""
     from grainmill.operators import ordering
 
     if request.param:
-        monkeypatch.setattr(ordering, "ONE_WINDOW", 0)
-        monkeypatch.setattr(ordering, "BROADCAST_BUCKETS", 0)
+        monkeypatch.setattr(ordering, "BROADCAST_RANGES", 0)
+        monkeypatch.setattr(ordering, "MIN_RANGES", 200)
     return request.param

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.operators.mixture import budget_prefix
-from grainmill.operators.ordering import first_n_per_part, key_buckets, prefix_sums, row_numbers
+from grainmill.operators.ordering import first_n_per_part, prefix_sums, row_numbers
 
 
 def rows_with_a_hot_part(n=3000, seed=1):
@@ -22,18 +22,35 @@ def plain_prefix(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [(12, 20), (3,), (2, 5, 9)])
-@pytest.mark.parametrize("tasks", [1, 5, 64])
-def test_prefix_sums_match_a_loop(spark, many_buckets, bits, tasks):
-    rows = rows_with_a_hot_part(400 if bits != (12, 20) else 3000)
-    df = spark.createDataFrame(rows, "p string, k bigint, v bigint").repartition(tasks)
-    got = prefix_sums(
-        df, ["p"], ["k"], {"s": F.col("v"), "n": F.lit(1).cast("bigint")}, key_buckets(F.col("k"), bits)
-    ).collect()
+@pytest.mark.parametrize("spread", ["dense", "sparse", "negative", "text"])
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_prefix_sums_match_a_loop(spark, many_buckets, spread, tasks):
+    rows = rows_with_a_hot_part()
+    change = {
+        "dense": lambda i, k: i, "sparse": lambda i, k: hash((k, 7)), "negative": lambda i, k: -k,
+        "text": lambda i, k: f"{k:x}",
+    }[spread]
+    rows = [(p, change(i, k), v) for i, (p, k, v) in enumerate(rows)]
+    kind = "string" if spread == "text" else "bigint"
+    df = spark.createDataFrame(rows, f"p string, k {kind}, v bigint").repartition(tasks)
+    got = prefix_sums(df, ["p"], ["k"], {"s": F.col("v"), "n": F.lit(1).cast("bigint")}).collect()
     assert {(r["p"], r["k"]): (r["s"], r["n"]) for r in got} == plain_prefix(rows)
     assert len(got) == len(rows)
 
 
+def test_no_join_or_window_on_the_part_alone(spark, many_buckets):
+    df = spark.createDataFrame(rows_with_a_hot_part(500), "p string, k bigint, v bigint")
+    out = prefix_sums(df, ["p"], ["k"], {"s": F.col("v")}, keep=F.col("s") < 400)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    rows = [x for x in plan if "hashpartitioning(p#" in x and "__range" not in x]
+    assert len(rows) <= 1  # the totals of ranges, one row for each range
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "p string, k bigint")
+    assert row_numbers(df, ["p"], "k").collect() == []
+
+
 def test_row_numbers_take_negative_keys(spark, many_buckets):
     keys = [-5000, -1, 0, 3, 4096, 1 << 40]
     df = spark.createDataFrame([(0, k) for k in reversed(keys)], "p int, k bigint")
