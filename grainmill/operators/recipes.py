@@ -16,7 +16,6 @@ from grainmill.constants import BASE_WEIGHTS, CPT_WEIGHTS, END, PROBLEM, STEP, S
 from grainmill.functions.text import strip
 from grainmill.operators.ordering import first_n_per_part
 
-MAX_SAMPLES = 10_000_000  # the usual row cap per source; pass it as ``cap`` to apply it
 CONFIG_SHIFT = 40  # sources made of several configs use ord = config position * 2**40 + row number
 
 

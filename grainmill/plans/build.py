@@ -55,14 +55,15 @@ class TokenBuild:
 
 def token_build(
     raw: DataFrame, recipe: str, total: int | Column, codec=None, compat: bool = True, stage_kept: bool = True,
-    cap: int | None = None,
+    cap: int | None = None, narrow: bool = False,
 ) -> TokenBuild:
     """Format, filter, encode and cut every weighted source to its token budget.
 
     With a codec that counts tokens without encoding, only kept documents are ever encoded. With BPE,
     documents out of the budget's reach are dropped first and the rest is encoded once, to the shared
     folder. ``compat=False`` repairs the misspelt weight and appends no second end token. ``cap`` also
-    limits the rows of each source, see :func:`grainmill.operators.recipes.prepare`.
+    limits the rows of each source, see :func:`grainmill.operators.recipes.prepare`. With ``narrow`` only the counts
+    of kept documents are built, without their text or ids.
     """
     spark = raw.sparkSession
     codec = codec or ByteCodec()
@@ -73,6 +74,8 @@ def token_build(
     extra = 1 if append_end else 0
     if codec.counts_without_encoding:
         n = codec.n_tokens(F.col("text")) + extra
+        if narrow:
+            docs, n = docs.withColumn("n_tokens", n).drop("text"), F.col("n_tokens")
     else:
         ids = codec.encode(F.col("text"))
         docs = _drop_beyond_reach(docs, codec.longest_piece).withColumn(
@@ -80,6 +83,8 @@ def token_build(
         )
         docs = stage(docs.drop("text"), "encoded")
         n = F.size("ids")
+        if narrow:
+            docs, n = docs.withColumn("n_tokens", n).drop("ids"), F.col("n_tokens")
     kept = mixture.budget_prefix(docs, n)
     if stage_kept:
         kept = stage(kept, "kept")

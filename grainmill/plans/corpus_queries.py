@@ -97,16 +97,12 @@ def corpus_lines(spark, d):
 
 @query(
     "tokenizer_corpus",
-    f"""with {RAW}, ranked as (
-          select *, row_number() over (partition by source order by ord) as rn from raw
-          where source in ('metamathqa', 'tinystories', 'gsm8k') or (source = 'arc' and ord < {CONFIG_STEP})
-        )
+    f"""with {RAW}
         select cast(case source when 'metamathqa' then 0 when 'tinystories' then 1 when 'gsm8k' then 2 else 3 end as int)
             as src_pos, source, ord,
           replace(concat_ws(' ', head, tail), chr(10), ' ') as line
-        from ranked
-        where rn <= case source when 'metamathqa' then 50001 when 'tinystories' then 20001
-                    when 'gsm8k' then 7001 else rn end""",
+        from raw
+        where source in ('metamathqa', 'tinystories', 'gsm8k') or (source = 'arc' and ord < {CONFIG_STEP})""",
 )
 def tokenizer_corpus(spark, d):
     return corpus_text.tokenizer_corpus(tables.raw_corpus(spark, d))
@@ -329,22 +325,30 @@ def first_n_across_configs(spark, d):
 # their budget and some run out.
 
 SHARE = 0.5
+WHOLE = 100  # a budget total no source reaches: the smallest weight is above a hundredth
 
 
-def half_of_tokens(prepared: DataFrame, extra: int) -> int:
+def share_of_tokens(prepared: DataFrame, extra: int, share: float) -> int:
     n = F.sum(ByteCodec().n_tokens(F.col("text")) + extra)
-    return prepared.agg(F.floor(n * SHARE).cast("bigint").alias("total")).first()["total"]
+    return prepared.agg(F.floor(n * share).cast("bigint").alias("total")).first()["total"]
 
 
-def build(spark: SparkSession, d: str, recipe: str, codec=None, **kw):
+def build(spark: SparkSession, d: str, recipe: str, codec=None, share: float = SHARE, **kw):
     raw = tables.raw_corpus(spark, d)
-    total = half_of_tokens(recipes.prepare(raw, recipe), 1 if recipe == "base" else 0)
+    total = share_of_tokens(recipes.prepare(raw, recipe), 1 if recipe == "base" else 0, share)
     return token_build(raw, recipe, total, codec, **kw)
 
 
+def recipe_budgets(spark: SparkSession, d: str, recipe: str):
+    """Budgets of a recipe's sources; nothing but the number of tokens is taken from the texts."""
+    prepared = recipes.prepare(tables.raw_corpus(spark, d), recipe)
+    total = share_of_tokens(prepared, 1 if recipe == "base" else 0, SHARE)
+    return mixture.budgets(recipes.weights(spark, recipe), total)
+
+
 @query("budgets", f"with {kept_sql('base', SHARE)} select pos, name, budget from budgets")
 def budgets(spark, d):
-    return build(spark, d, "base", stage_kept=False).budget.select("pos", "name", "budget")
+    return recipe_budgets(spark, d, "base").select("pos", "name", "budget")
 
 
 @query(
@@ -354,7 +358,7 @@ def budgets(spark, d):
 )
 def budget_join(spark, d):
     docs = recipes.prepare(tables.raw_corpus(spark, d), "base")
-    b = build(spark, d, "base", stage_kept=False).budget
+    b = recipe_budgets(spark, d, "base")
     return mixture.attach_budget(docs, b).select("source", "ord", "pos", "budget")
 
 
@@ -432,8 +436,7 @@ def build_report_cpt(spark, d):
         where name not in ({CPT_KNOWN})""",
 )
 def skipped_sources(spark, d):
-    b = build(spark, d, "cpt", stage_kept=False)
-    return mixture.skipped(b.budget, b.registry).select("pos", "name", "budget")
+    return mixture.skipped(recipe_budgets(spark, d, "cpt"), recipes.registry(spark, "cpt")).select("pos", "name", "budget")
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from grainmill.operators.codec import ByteCodec
 from grainmill.operators import recipes
 from grainmill.plans.catalog import BASE, RAW, kept_sql, query, rounded
-from grainmill.plans.corpus_queries import SHARE, build
-from grainmill.plans.token_queries import ENCODED, checksum
+from grainmill.plans.corpus_queries import SHARE, recipe_budgets
+from grainmill.plans.token_queries import ENCODED, digest
 from grainmill.session import scratch_path
 from grainmill.sources import tables
 from grainmill.streaming import incremental
@@ -26,7 +26,7 @@ def _text_stream(spark, d):
     "stream_prepare",
     f"""with {RAW}, {BASE}, {ENCODED}
         select source, ord, cast(count(*) + 1 as int) as n_tokens,
-          cast(sum(id * i) + 4 * (count(*) + 1) as bigint) as checksum
+          md5(string_agg(cast(id as varchar), ',' order by i) || ',4') as digest
         from encoded where source in ('tinystories', 'openwebmath') group by source, ord""",
 )
 def stream_prepare(spark, d):
@@ -35,7 +35,7 @@ def stream_prepare(spark, d):
         _text_stream(spark, d), "base", ByteCodec(), out, scratch_path(spark, "prepared-log")
     ).awaitTermination()
     ids = spark.read.schema("source string, ord bigint, ids array<int>").parquet(out)
-    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), checksum(F.col("ids")).alias("checksum"))
+    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
 
 
 @query(
@@ -44,7 +44,7 @@ def stream_prepare(spark, d):
         where source in ('tinystories', 'openwebmath')""",
 )
 def stream_budget(spark, d):
-    budgets = build(spark, d, "base", stage_kept=False).budget.where("name in ('tinystories', 'openwebmath')")
+    budgets = recipe_budgets(spark, d, "base").where("name in ('tinystories', 'openwebmath')")
     docs = recipes.prepare(_text_stream(spark, d), "base").select(
         "source", "ord", (F.octet_length("text") + 1).cast("bigint").alias("n_tokens")
     )

@@ -11,7 +11,7 @@ from grainmill.operators import bpe_train, codec, epochs, mixture, packing, reci
 from grainmill.operators.vocabulary import Vocabulary
 from grainmill.plans.build import epoch_plan, training_windows
 from grainmill.plans.catalog import BASE, BYTE_ID, PLACED, RAW, bytes_of, kept_sql, query, rounded
-from grainmill.plans.corpus_queries import SHARE, build
+from grainmill.plans.corpus_queries import WHOLE, build
 from grainmill.session import scratch_path, stage
 from grainmill.sources import tables
 from grainmill.sources.token_shards import read_shards, write_shards
@@ -21,11 +21,9 @@ VOCAB = 300
 WORLD = 3
 
 
-def checksum(ids: Column) -> Column:
-    """Sum of id times 1-based position: differs if any id or its place does."""
-    return F.aggregate(
-        F.transform(ids, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x
-    )
+def digest(ids: Column) -> Column:
+    """MD5 of the ids joined by commas; empty for no ids."""
+    return F.md5(F.array_join(ids.cast("array<string>"), ","))
 
 
 ENCODED = f"""encoded as (
@@ -38,26 +36,26 @@ ENCODED = f"""encoded as (
 @query(
     "encode_bytes",
     f"""with {RAW}, {BASE}, {ENCODED}
-        select source, ord, cast(count(*) as int) as n_tokens, cast(sum(id * i) as bigint) as checksum
+        select source, ord, cast(count(*) as int) as n_tokens, md5(string_agg(cast(id as varchar), ',' order by i)) as digest
         from encoded group by source, ord""",
 )
 def encode_bytes(spark, d):
     docs = recipes.prepare(tables.raw_corpus(spark, d), "base")
     ids = docs.select("source", "ord", codec.ByteCodec().encode(F.col("text")).alias("ids"))
-    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), checksum(F.col("ids")).alias("checksum"))
+    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
 
 
 @query(
     "append_end_token",
     f"""with {RAW}, {BASE}, {ENCODED}
         select source, ord, cast(count(*) + 1 as int) as n_tokens,
-          cast(sum(id * i) + 4 * (count(*) + 1) as bigint) as checksum
+          md5(string_agg(cast(id as varchar), ',' order by i) || ',4') as digest
         from encoded group by source, ord""",
 )
 def append_end(spark, d):
     docs = recipes.prepare(tables.raw_corpus(spark, d), "base")
     ids = docs.select("source", "ord", append_token(codec.ByteCodec().encode(F.col("text"))).alias("ids"))
-    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), checksum(F.col("ids")).alias("checksum"))
+    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
 
 
 @query("decode_bytes", "select doc_id, text from documents")
@@ -71,13 +69,13 @@ def decode_bytes(spark, d):
     "context_tail",
     f"""with {RAW}, {BASE}, {ENCODED}, sized as (select *, count(*) over (partition by source, ord) as n from encoded)
         select source, ord, cast(least(n, {WINDOW}) as int) as n_tokens,
-          cast(sum(id * (i - greatest(n - {WINDOW}, 0))) as bigint) as checksum
+          md5(string_agg(cast(id as varchar), ',' order by i)) as digest
         from sized where i > n - {WINDOW} group by source, ord, n""",
 )
 def context_tail(spark, d):
     docs = recipes.prepare(tables.raw_corpus(spark, d), "base")
     ids = docs.select("source", "ord", last_n(codec.ByteCodec().encode(F.col("text"))).alias("ids"))
-    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), checksum(F.col("ids")).alias("checksum"))
+    return ids.select("source", "ord", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
 
 
 # Cut at the first token of the sentence mark, whose byte id is the same in every vocabulary.
@@ -124,65 +122,65 @@ windowed as (
 complete as (
   select * from windowed where window_id < greatest((select n - 1 from size) // {WINDOW}, 0)
 )"""
-PACKED = f"with {kept_sql('base', SHARE)}, {PLACED}, {STREAM}"
+PACKED = f"with {kept_sql('base', WHOLE)}, {PLACED}, {STREAM}"
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    return training_windows(build(spark, d, "base"))
+    return training_windows(build(spark, d, "base", share=WHOLE))
 
 
 @query(
     "pack_windows",
     f"""{PACKED} select cast(window_id as bigint) as window_id, cast(count(*) as int) as n_tokens,
           count(distinct doc_no) as n_docs, min(doc_no) as first_doc, max(doc_no) as last_doc,
-          cast(sum(id * (pos - window_id * {WINDOW} + 1)) as bigint) as checksum
+          md5(string_agg(cast(id as varchar), ',' order by pos)) as digest
         from complete group by window_id""",
 )
 def pack_windows(spark, d):
     return windows(spark, d).select(
         "window_id", F.size("ids").alias("n_tokens"), "n_docs", "first_doc", "last_doc",
-        checksum(F.col("ids")).alias("checksum"),
+        digest(F.col("ids")).alias("digest"),
     )
 
 
 @query(
     "next_token_pairs",
     f"""{PACKED} select cast(window_id as bigint) as window_id,
-          cast(sum(case when pos - window_id * {WINDOW} < {WINDOW} then id * (pos - window_id * {WINDOW} + 1) else 0 end) as bigint) as x_checksum,
-          cast(sum(id * (pos - window_id * {WINDOW})) as bigint) as y_checksum
+          md5(string_agg(cast(id as varchar), ',' order by pos) filter (where pos - window_id * {WINDOW} < {WINDOW})) as x_digest,
+          md5(string_agg(cast(id as varchar), ',' order by pos) filter (where pos > window_id * {WINDOW})) as y_digest
         from complete group by window_id""",
 )
 def next_token_pairs(spark, d):
     pairs = packing.training_pairs(windows(spark, d))
     return pairs.select(
-        "window_id", checksum(F.col("x")).alias("x_checksum"), checksum(F.col("y")).alias("y_checksum")
+        "window_id", digest(F.col("x")).alias("x_digest"), digest(F.col("y")).alias("y_digest")
     )
 
 
 @query(
     "window_count",
-    f"""with {kept_sql('base', SHARE)} select
+    f"""with {kept_sql('base', WHOLE)} select
           cast(greatest((sum(n_tokens) - 1) // {WINDOW}, 0) as bigint) as n_windows from kept""",
 )
 def window_count(spark, d):
-    kept = build(spark, d, "base", stage_kept=False).kept
+    kept = build(spark, d, "base", share=WHOLE, stage_kept=False, narrow=True).kept
     return kept.agg(packing.window_count(F.sum("n_tokens"), WINDOW).alias("n_windows"))
 
 
 @query(
     "token_positions",
-    f"""with {kept_sql('base', SHARE)}, {PLACED}
+    f"""with {kept_sql('base', WHOLE)}, {PLACED}
         select source, ord, cast(start as bigint) as start, cast(start + n_tokens - 1 as bigint) as last from placed""",
 )
 def token_positions(spark, d):
-    placed = mixture.with_positions(build(spark, d, "base").kept)
+    placed = mixture.with_positions(build(spark, d, "base", share=WHOLE, narrow=True).kept)
     return placed.select("source", "ord", "start", (F.col("start") + F.col("n_tokens") - 1).alias("last"))
 
 
 # Token files
 
 FILE_SQL = f"""{PACKED} select cast(pos // 65536 as bigint) as block, count(*) as n_tokens,
-      cast(min(pos) as bigint) as first_pos, cast(sum(id * (pos % 65536 + 1)) as bigint) as checksum
+      cast(min(pos) as bigint) as first_pos, md5(string_agg(cast(id as varchar), ',' order by pos)) as digest
     from stream group by pos // 65536"""
 
 
@@ -190,21 +188,21 @@ FILE_SQL = f"""{PACKED} select cast(pos // 65536 as bigint) as block, count(*) a
 def token_file(spark, d):
     """The token stream written as int32 shards and scanned back in byte ranges."""
     path = scratch_path(spark, "shards")
-    write_shards(build(spark, d, "base").stream(), path)
+    write_shards(build(spark, d, "base", share=WHOLE).stream(), path)
     return (
         read_shards(spark, path)
         .groupBy(F.expr("pos div 65536").alias("block"))
         .agg(
             F.count("*").alias("n_tokens"),
             F.min("pos").alias("first_pos"),
-            F.sum(F.col("id").cast("bigint") * (F.col("pos") % 65536 + 1)).alias("checksum"),
+            digest(F.sort_array(F.collect_list(F.struct("pos", "id")))["id"]).alias("digest"),
         )
     )
 
 
 # Epoch plans. Window ids come from the packed stream's size.
 
-WINDOW_IDS = f"""with {kept_sql('base', SHARE)},
+WINDOW_IDS = f"""with {kept_sql('base', WHOLE)},
 ids as (
   select cast(unnest(range(cast(greatest((sum(n_tokens) - 1) // {WINDOW}, 0) as bigint))) as bigint) as window_id from kept
 ),
@@ -224,19 +222,10 @@ sharded as (
 
 
 def window_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of the complete windows, from the positions of kept documents alone: no ids are gathered."""
-    kept = mixture.with_positions(build(spark, d, "base").kept)
-    n = kept.agg(packing.window_count(F.sum("n_tokens"), WINDOW).alias("n")).scalar()
-    edges = kept.select(
-        F.explode(
-            F.sequence(
-                F.expr(f"(start + {WINDOW - 1}) div {WINDOW}"),
-                F.expr(f"(start + n_tokens + {WINDOW - 1}) div {WINDOW}"),
-            )
-        ).alias("window_id"),
-        (F.col("start") + F.col("n_tokens")).alias("end"),
-    )
-    return edges.where((F.col("window_id") * WINDOW < F.col("end")) & (F.col("window_id") < n)).select("window_id")
+    """Ids of the complete windows: they follow from the number of tokens, so no text or id is moved."""
+    kept = build(spark, d, "base", share=WHOLE, stage_kept=False, narrow=True).kept
+    n = kept.agg(packing.window_count(F.sum("n_tokens"), WINDOW).alias("n")).first()["n"]
+    return spark.range(n or 0).withColumnRenamed("id", "window_id")
 
 
 def md5_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -297,18 +286,18 @@ def plan_numbers(spark, d):
 @query(
     "plan_window_lookup",
     f"""{PACKED}, sums as (
-          select window_id, cast(sum(id * (pos - window_id * {WINDOW} + 1)) as bigint) as checksum
+          select window_id, md5(string_agg(cast(id as varchar), ',' order by pos)) as digest
           from complete group by window_id),
         shuffled as (
-          select window_id, checksum,
+          select window_id, digest,
             row_number() over (order by md5('7-0-' || cast(window_id as bigint)), window_id) - 1 as idx from sums)
-        select idx, cast(window_id as bigint) as window_id, checksum from shuffled""",
+        select idx, cast(window_id as bigint) as window_id, digest from shuffled""",
 )
 def plan_window_lookup(spark, d):
     packed = stage(windows(spark, d).select("window_id", "ids"), "windows")
     plan = epochs.shuffle_epochs(packed.select("window_id"), 1, seed=7, hash_name="md5")
     found = epochs.lookup_windows(plan, packed)
-    return found.select("idx", "window_id", checksum(F.col("ids")).alias("checksum"))
+    return found.select("idx", "window_id", digest(F.col("ids")).alias("digest"))
 
 
 # Tokenizer

@@ -30,22 +30,26 @@ def corpus_line() -> Column:
     return F.concat_ws(" ", "head", "tail")
 
 
-def tokenizer_corpus(raw: DataFrame, caps: list[tuple[str, int | None]] | None = None) -> DataFrame:
-    """``(src_pos, source, ord, line)``: the first rows of each source, sources in the given order.
+def tokenizer_corpus(
+    raw: DataFrame, caps: list[tuple[str, int | None]] | None = None, all_configs: bool = False
+) -> DataFrame:
+    """``(src_pos, source, ord, line)``: the rows of each source, sources in the given order.
 
-    Of multi-config sources only the first config is used.
+    All rows unless ``caps`` names a number for a source; pass ``TOKENIZER_CORPUS`` for the usual numbers. Of
+    multi-config sources only the first config is used unless ``all_configs``.
     """
-    caps = TOKENIZER_CORPUS if caps is None else caps
+    caps = [(s, None) for s, _ in TOKENIZER_CORPUS] if caps is None else caps
     positions = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(caps) for x in (s, i)])
     cap = None
     for source, n in caps:
         if n is not None:
             is_source = F.col("source") == source
             cap = F.when(is_source, n) if cap is None else cap.when(is_source, n)
-    picked = raw.where(F.col("source").isin([s for s, _ in caps])).where(
-        F.col("head").isNotNull() & (F.col("ord") < (1 << CONFIG_SHIFT))
-    )
-    cap = F.lit(None).cast("bigint") if cap is None else cap.cast("bigint")
-    return first_n_per_part(picked, ["source"], "ord", cap).select(
+    picked = raw.where(F.col("source").isin([s for s, _ in caps]) & F.col("head").isNotNull())
+    if not all_configs:
+        picked = picked.where(F.col("ord") < (1 << CONFIG_SHIFT))
+    if cap is not None:
+        picked = first_n_per_part(picked, ["source"], "ord", cap.cast("bigint"))
+    return picked.select(
         positions[F.col("source")].alias("src_pos"), "source", "ord", one_line(corpus_line()).alias("line")
     )

@@ -22,12 +22,3 @@ def write_text(path: str, text: str) -> None:
     f.create_dir(p.rsplit("/", 1)[0], recursive=True)
     with f.open_output_stream(p) as out:
         out.write(text.encode())
-
-
-def size_in_bytes(path: str) -> int:
-    """Bytes of one file, or of all files under a folder."""
-    f, p = filesystem(path)
-    info = f.get_file_info(p)
-    if info.is_file:
-        return info.size
-    return sum(i.size or 0 for i in f.get_file_info(fs.FileSelector(p, recursive=True)))

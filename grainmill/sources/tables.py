@@ -7,19 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.operators.recipes import CONFIG_SHIFT
-from grainmill.sources.files import size_in_bytes
 
-TEXT_SCHEMA = T.StructType([
-    T.StructField("ord", T.LongType()), T.StructField("text", T.StringType()),
-])
-QA_SCHEMA = T.StructType([
-    T.StructField("ord", T.LongType()), T.StructField("query", T.StringType()),
-    T.StructField("response", T.StringType()),
-])
-QUESTION_SCHEMA = T.StructType([
-    T.StructField("ord", T.LongType()), T.StructField("question", T.StringType()),
-    T.StructField("answer", T.StringType()),
-])
 CHOICE_SCHEMA = T.StructType([
     T.StructField("ord", T.LongType()), T.StructField("question", T.StringType()),
     T.StructField("choices", T.StructType([T.StructField("text", T.ArrayType(T.StringType()))])),
@@ -96,23 +84,10 @@ TABLE_SCHEMAS = {
     "benchmark": "item_id bigint, text string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
-ROW_GROUP_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Redistribute the rows of an input too small to have a row group per task.
-
-    A row group is the unit of a Parquet scan, so all work up to the first shuffle on a small file runs
-    in one task. Inputs that fill every task are left as they are.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if size_in_bytes(path) < tasks * ROW_GROUP_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
-    return spread(df, path) if name == "documents" else df
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def plain_source() -> Column:
@@ -185,7 +160,7 @@ def batch_log(spark: SparkSession, sf_dir: str, runs: int = 2, epoch_len: int =
 
 
 EVENT_TYPES = ["view", "click", "signup", "purchase", "error"]
-DOMAINS = ["math", "code", "grammar", "science", "logic"]
+DOMAINS = ["history", "geometry", "music", "weather", "chess"]
 SLOTS = 9  # one greedy generation and eight samples per problem
 
 
