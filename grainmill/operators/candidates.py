@@ -1,7 +1,8 @@
 """Candidate scores ``(grp, item, score)``: top-k, softmax and draws, per group.
 
-A group may hold most of the rows, so none is ever gathered: thresholds and normalizers come from
-aggregates over distinct scores and are joined back.
+A group may hold most of the rows, so rows never meet by group alone. Maxima and sums are aggregates that combine
+before the shuffle; a threshold comes from the best rows of each (group, salt); and what is found for a group goes back
+to its rows by broadcast if there are few groups, which is counted, or else by a join on (group, salt).
 """
 
 from __future__ import annotations
@@ -9,45 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.constants import TEMPERATURE, TOP_K
+from grainmill.session import stage_counted
 
+SALTS = 64
+BROADCAST_GROUPS = 100_000  # groups whose two or three numbers may be broadcast, a few MB
 
-def _score_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("grp", "score").agg(F.count("*").alias("n"))
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")
+
+
+def _back(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``groups``, one row for each ``grp``."""
+    groups, n = stage_counted(groups, "groups")
+    if n <= BROADCAST_GROUPS:
+        return df.join(F.broadcast(groups), "grp")
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", _salt()).join(copies, ["grp", "__salt"]).drop("__salt")
 
 
 def kth_score(df: DataFrame, k: int = TOP_K) -> DataFrame:
     """``(grp, kth)``: the k-th largest score counting repeats, or the smallest of a short group.
 
-    Only a group's k largest distinct scores can matter; the rank filter trims to those in every task
-    before rows are brought together.
+    Each (group, salt) gives its k best rows, so at most SALTS * k rows of a group meet.
     """
-    w = Window.partitionBy("grp").orderBy(F.desc("score"))
-    best = _score_counts(df).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    above = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        best.withColumn("above", above)
-        .where(F.col("above") < k)
-        .groupBy("grp")
-        .agg(F.min("score").alias("kth"))
-    )
+    best = F.row_number().over(Window.partitionBy("grp", "__salt").orderBy(F.desc("score")))
+    few = df.select("grp", "score", _salt().alias("__salt")).withColumn("r", best).where(F.col("r") <= k)
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score")))
+    return few.withColumn("r", place).where(F.col("r") <= k).groupBy("grp").agg(F.min("score").alias("kth"))
 
 
 def top_k(df: DataFrame, k: int = TOP_K) -> DataFrame:
     """Rows scoring at least the k-th largest score of their group; ties with it all stay."""
-    return df.join(kth_score(df, k), "grp").where(F.col("score") >= F.col("kth")).drop("kth")
+    return _back(df, kth_score(df, k)).where(F.col("score") >= F.col("kth")).drop("kth")
 
 
 def softmax(df: DataFrame, temperature: float = 1.0) -> DataFrame:
     """Adds ``p``, the softmax of score / temperature within the group."""
-    counts = _score_counts(df)
-    top = counts.groupBy("grp").agg(F.max("score").alias("top"))
+    topped = _back(df, df.groupBy("grp").agg(F.max("score").alias("top")))
     weight = F.exp((F.col("score") - F.col("top")) / temperature)
-    norm = (
-        counts.join(top, "grp")
-        .groupBy("grp", "top")
-        .agg(F.sum(F.col("n") * weight).alias("z"))
-    )
-    return df.join(norm, "grp").withColumn("p", weight / F.col("z")).drop("top", "z")
+    norm = topped.groupBy("grp").agg(F.sum(weight).alias("z"))
+    return _back(topped, norm).withColumn("p", weight / F.col("z")).drop("top", "z")
 
 
 def _uniform(seed: int, hash_name: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.functions.text import one_line, prompt, prompt_with_step, strip
+from grainmill.functions.text import prompt, prompt_with_step, strip
 from grainmill.operators import mixture, recipes
 from grainmill.operators.codec import ByteCodec
 from grainmill.operators.ordering import first_n_per_part, prefix_sums
@@ -35,7 +35,10 @@ def scan_split(spark, d):
        from benchmark where item_id % 2 = 0""",
 )
 def scan_config(spark, d):
-    arc = tables.multiple_choice(spark, d).where(F.col("config") == "ARC-Challenge")
+    """The benchmark written in folders by config, and one config scanned: the other folder is not read."""
+    path = scratch_path(spark, "configs")
+    tables.multiple_choice(spark, d).write.partitionBy("config").parquet(path)
+    arc = tables.scan(spark, path, config="ARC-Challenge")
     return arc.select("ord", "question", tables.choices_text().alias("choices"))
 
 
@@ -83,16 +86,23 @@ def mixture_weights(spark, d):
 
 @query(
     "corpus_documents",
-    f"select doc_id, {sql_strip('text')} || chr(10) as value from documents where {sql_strip('text')} <> ''",
+    f"""select value, count(*) as n from (
+          select unnest(string_split({sql_strip('text')} || chr(10), chr(10))) as value from documents
+          where {sql_strip('text')} <> '') group by value""",
 )
 def corpus_documents(spark, d):
-    docs = corpus_text.stripped_texts(tables.table(spark, d, "documents"))
-    return docs.select("doc_id", F.concat("text", F.lit("\n")).alias("value"))
+    """The text corpus as written, by line: each document's lines and the blank line after it."""
+    path = scratch_path(spark, "corpus")
+    corpus_text.write_documents(tables.table(spark, d, "documents"), path)
+    return spark.read.text(path, lineSep="\n").groupBy("value").agg(F.count("*").alias("n"))
 
 
-@query("corpus_lines", "select doc_id, replace(text, chr(10), ' ') as value from documents")
+@query("corpus_lines", "select replace(text, chr(10), ' ') as value, count(*) as n from documents group by value")
 def corpus_lines(spark, d):
-    return tables.table(spark, d, "documents").select("doc_id", one_line(F.col("text")).alias("value"))
+    """The corpus written with a document on each line, and read back."""
+    path = scratch_path(spark, "lines")
+    corpus_text.write_lines(tables.table(spark, d, "documents"), path, "text")
+    return spark.read.text(path, lineSep="\n").groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -195,17 +205,21 @@ def eval_prompt(spark, d):
 
 @query(
     "registered_source",
-    f"""select source, count(*) as n_docs, cast(sum(strlen('Title: ' || {sql_strip('text')})) as bigint) as n_bytes
-        from documents where length({sql_strip('text')}) >= 300 group by source""",
+    f"""select 'titles' as source, count(*) as n_docs, cast(sum(strlen('Title: ' || {sql_strip('text')})) as bigint) as n_bytes
+        from documents where length({sql_strip('text')}) >= 300""",
 )
 def registered_source(spark, d):
     """A source added by name, with its own formatter and filter."""
     rule = recipes.SourceRule(lambda h, t: F.concat(F.lit("Title: "), strip(h)), recipes.at_least(300))
-    docs = tables.table(spark, d, "documents").select("source", F.col("text").alias("head"), F.lit(None).cast("string").alias("tail"))
-    kept = docs.where(rule.keep(F.col("head"), F.col("tail")))
+    before = recipes.RECIPES["base"]
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("head"))
+    try:
+        recipes.register_source("base", "titles", rule)
+        prepared = recipes.prepare(tables.raw_rows(docs, "titles", "head"), "base")
+    finally:
+        recipes.RECIPES["base"] = before  # the registry is shared by all queries of the process
     return (
-        kept.select("source", rule.text(F.col("head"), F.col("tail")).alias("text"))
-        .groupBy("source")
+        prepared.groupBy("source")
         .agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("n_bytes"))
     )
 

@@ -167,3 +167,18 @@ def test_progress_seconds_and_resumed_epochs(spark):
     got = trainlog.progress_rows(log, every=1, accum=2).orderBy("step").collect()
     assert [(r["epoch"], r["batch"], r["step"], r["secs"]) for r in got] == [(0, 1, 1, 1.0), (0, 3, 2, 3.0), (1, 1, 3, 2.0), (1, 3, 4, 6.0)]
     assert got[-1]["mean_seen"] == 3.0
+
+
+def test_hot_groups_do_not_meet_by_group_alone(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BROADCAST_GROUPS", 0)
+    rows = [(1 if i % 3 else 2, i, (i * 7919 % 10007) / 7.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp bigint, item bigint, score double")
+    kept = candidates.top_k(df, 25)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [grp#" not in plan or "__salt" in plan.split("SortMergeJoin", 1)[1].split("\n")[0]
+    for g in (1, 2):
+        want = sorted((s for q, _, s in rows if q == g), reverse=True)[24]
+        got = {r["item"] for r in kept.where(F.col("grp") == g).collect()}
+        assert got == {i for q, i, s in rows if q == g and s >= want}
+    p = candidates.softmax(df, 20.0).groupBy("grp").agg(F.sum("p").alias("p")).collect()
+    assert all(abs(r["p"] - 1) < 1e-9 for r in p)
