@@ -14,17 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.llm import arrays as A
+from grainmill.llm.common import hidden
 from grainmill.llm.components import components
 from grainmill.session import stage, stage_counted
 
 SHINGLE = 5
 SIGNATURE = 128
 TREES = 10
-LEAF = 40  # documents a node may hold to be compared exhaustively
-DEPTH = 16
+LEAF = 24  # documents a node may hold to be compared exhaustively
+DEPTH = 8
+DENSE = 0.7  # mean estimate between a node and its pivot from which on branching would not part its documents
+CROWD = 6  # documents of a dense node, where most pairs are links, that are compared with each other
 LIKELY = 0.6  # estimates below are no candidates: four standard errors under the threshold
 CLEAR = 0.82  # estimates above are nearly always links
 SURE = 0.9  # estimates above are links to a pivot, but for confirmation
@@ -82,16 +85,24 @@ def alike(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(SIGNATURE))
 
 
-def _branches(node: Column, tokens: Column) -> Column:
-    """Child nodes of a document: the node's hash selects one token, and a second one in a third of the nodes."""
+def _branches(node: Column, tokens: Column, steps: int = 1) -> Column:
+    """Child nodes of a document, ``steps`` tokens further down: the node's hash selects which tokens.
+
+    A pair as similar as a link shares a step with probability 3/4, so a node has 4/3 children a step on average.
+    """
     pick = lambda k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(SIGNATURE)).cast("int")
-    child = lambda i: F.xxhash64(node, i, F.get(tokens, i))
-    two = (F.pmod(F.xxhash64(node, F.lit(-3)), F.lit(3)) == 0) & (pick(-1) != pick(-2))
-    return F.when(two, F.array(child(pick(-1)), child(pick(-2)))).otherwise(F.array(child(pick(-1))))
+    path = lambda way: F.xxhash64(node, *[x for k in range(steps) for x in (pick(way * 8 + k), F.get(tokens, pick(way * 8 + k)))])
+    second = F.pmod(F.xxhash64(node, F.lit(-3)), F.lit(1000)) < int(1000 * ((4 / 3) ** steps - 1))
+    return F.when(second, F.array(path(0), path(1))).otherwise(F.array(path(0)))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike."""
+    """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike.
+
+    A large node whose members are alike on average does not get smaller by branching. It is cut into random groups of
+    about CROWD, and what is left DEPTH levels down into groups of about LEAF, each compared within itself, and all
+    with the pivot, so that the number of pairs grows with the number of documents whatever the groups of copies.
+    """
     thin = signed.select("id", F.expr("transform(tokens, x -> cast((x & 255) - 128 as tinyint))").alias("bytes"))
     thin = stage(thin, "sketches")
     roots = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -104,28 +115,31 @@ def candidates(signed: DataFrame) -> DataFrame:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(
             F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("id"))).alias("first"))
         sizes = sizes.where("size > 1").select("node", "size", F.col("first.id").alias("pivot"))
-        placed = members.join(sizes, "node")
-        small = placed.where(F.col("size") <= LEAF).select("node", "id")
-        found.append(_estimated(_within(small), thin))
-
-        large = placed.where(F.col("size") > LEAF).select("node", "id", "pivot", "size")
-        star = large.join(thin, "id").join(
-            thin.select(F.col("id").alias("pivot"), F.col("bytes").alias("pivot_bytes")), "pivot"
-        ).select("node", "id", "pivot", "size", alike(F.col("bytes"), F.col("pivot_bytes")).alias("est"))
+        placed = stage(members.join(sizes, "node").join(thin, "id"), "placed")
+        small = placed.where(F.col("size") <= LEAF).select("node", "id", "bytes")
+        pivots = placed.where("id = pivot").select("node", F.col("bytes").alias("pivot_bytes"))
+        star = placed.where(F.col("size") > LEAF).join(pivots, "node").withColumn(
+            "est", alike(F.col("bytes"), F.col("pivot_bytes"))).drop("pivot_bytes")
         star, n = stage_counted(star, "stars")
         if not n:
+            found.append(stage(_within(small), "alike"))
             break
-        found.append(_ordered(star.where(F.col("est") >= LIKELY), "id", "pivot", "est"))
-        open_ = star.where(F.col("est") < SURE).groupBy("node").agg(F.count(F.lit(1)).alias("open"))
-        done = open_.where(F.col("open") <= LEAF) if depth < DEPTH else open_
-        rest = star.where(F.col("est") < SURE).join(done.select("node"), "node", "left_semi")
-        cross = rest.select("node", F.col("id").alias("a")).join(star.select("node", F.col("id").alias("b")), "node")
-        found.append(_estimated(_ordered(cross.where("a <> b"), "a", "b"), thin))
-        mixed = open_.where(F.col("open") > LEAF).select("node")
-        members = star.join(mixed, "node", "left_semi").select("node", "id").join(signed.select("id", "tokens"), "id").select(
-            "id", F.explode(_branches(F.col("node"), F.col("tokens"))).alias("node"))
+        nodes = stage(star.groupBy("node").agg(
+            F.count_if(F.col("est") < SURE).alias("open"), F.avg("est").alias("mean")).where("open > 0"), "open-nodes")
+        few, dense = F.col("open") <= LEAF, (F.col("mean") >= DENSE) if depth < DEPTH else F.lit(True)
+        rest = star.where(F.col("est") < SURE).join(nodes.where(few).select("node"), "node", "left_semi")
+        crowd = star.join(nodes.where(~few & dense).select("node", "mean"), "node")
+        width = F.when(F.col("mean") >= DENSE, CROWD).otherwise(LEAF)
+        group = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / width))
+        grouped = crowd.select(F.xxhash64("node", group).alias("node"), "id", "bytes")
+        clear = _ordered(star.where(F.col("est") >= LIKELY), "id", "pivot", "est")
+        near = _within(small.unionByName(grouped)).unionByName(_across(rest, star)).unionByName(clear)
+        found.append(stage(near.distinct(), "alike"))
         if depth == DEPTH:
             break
+        members = star.join(nodes.where(~few & ~dense).select("node"), "node", "left_semi").select("node", "id").join(
+            signed.select("id", "tokens"), "id"
+        ).select("id", F.explode(_branches(F.col("node"), F.col("tokens"), 2)).alias("node"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -136,16 +150,18 @@ def _ordered(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more)
 
 
-def _within(small: DataFrame) -> DataFrame:
-    other = small.select("node", F.col("id").alias("b"))
-    return small.withColumnRenamed("id", "a").join(other, "node").where("a < b").select("a", "b")
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Estimated pairs of different documents that share a node; signatures come with the documents, not the pairs."""
+    y = right.select("node", F.col("id").alias("b"), F.col("bytes").alias("y"))
+    met = left.select("node", F.col("id").alias("a"), F.col("bytes").alias("x")).join(y, "node")
+    est = alike(F.col("x"), F.col("y")).alias("est")
+    return _ordered(met.where("a <> b").select("a", "b", est).where(F.col("est") >= LIKELY), "a", "b", "est")
 
 
-def _estimated(pairs: DataFrame, thin: DataFrame) -> DataFrame:
-    left = thin.select(F.col("id").alias("a"), F.col("bytes").alias("x"))
-    right = thin.select(F.col("id").alias("b"), F.col("bytes").alias("y"))
-    est = alike(F.col("x"), F.col("y")).alias("est")
-    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", est).where(F.col("est") >= LIKELY)
+def _within(small: DataFrame) -> DataFrame:
+    y = small.select("node", F.col("id").alias("b"), F.col("bytes").alias("y"))
+    met = small.select("node", F.col("id").alias("a"), F.col("bytes").alias("x")).join(y, "node").where("a < b")
+    return met.select("a", "b", alike(F.col("x"), F.col("y")).alias("est")).where(F.col("est") >= LIKELY)
 
 
 def _sets(ident: str, text: str):
@@ -213,7 +229,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = stage(candidates(stage(lead, "leaders")), "candidates")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(texts.join(ends, "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary"), "sets")
+    # The list of documents grows with the corpus, so it is not broadcast at any size.
+    sets = stage(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary"), "sets")
 
     # A forest: each document with its smallest partner among those that are clearly alike, or else with the likeliest.
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
@@ -243,9 +260,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: those whose identifier is their component's, and those without one.
 
-    Of rows that share an identifier one stays. Identifiers are joined, so a text moves once.
+    Of rows that share an identifier one stays, that with the smallest hash of its text.
     """
-    groups = near_groups(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("id_that_stays")).distinct()
-    met = F.col(id_col).cast("bigint").eqNullSafe(F.col("id_that_stays"))
-    kept = docs.join(groups, met, "left_semi")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    mine, turn = hidden(docs, "id", "turn")
+    stays = near_groups(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("stays")).distinct()
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn(mine, F.col(id_col).cast("bigint"))
+    met = keyed.join(stays, keyed[mine] == stays["stays"], "left_semi")
+    first = Window.partitionBy(mine).orderBy(F.xxhash64(text_col))
+    one = met.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(mine, turn)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
