@@ -18,8 +18,9 @@ from grainmill.session import stage, stage_counted
 
 EDITS = 2
 MIN_CHARS = 24  # shorter lines are compared for equality only
-CROWDED_BITS = 45  # of 64 that lines under a key set; some 80 lines, from which on the key is refined
-CROWDED = 100  # the same for refined keys, which are counted
+COMMON = 10_000  # a line with a share of 1 / COMMON of all lines is common; there are at most so many
+CROWDED_BITS = 26  # of 64 that lines under a key set; some 33 lines, from which on the key is refined
+CROWDED = 32  # the same for refined keys, which are counted
 LEVELS = 3  # refinements of crowded keys
 BAND = 2 * EDITS + 1
 
@@ -31,57 +32,56 @@ def _let(value: Column, body) -> Column:
 
 # ---- segments --------------------------------------------------------------------------------------------------
 
-def _segment(length: Column, i: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment ``i`` of a line of that length; the last segments are longer."""
-    size = F.floor(length / (EDITS + 1)).cast("int")
-    longer = length - size * (EDITS + 1)
-    short = F.lit(EDITS + 1) - longer
-    start = size * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-    return start.cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+def _moves() -> list[tuple[int, int, int, bool]]:
+    """(characters the other line is shorter, segment, move, indexed) of all keys of a line.
 
-
-def _piece(line: Column, base: list[Column], length: Column, i: int, start: Column, size: Column, rest: bool) -> Column:
-    key = F.xxhash64(*base, length, F.lit(i), line.substr(start, size)).alias("key")
-    if not rest:
-        return F.struct(key)
-    left = F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, F.length(line)))
-    return F.struct(key, left.alias("rest"))
+    With ``i`` segments before it that all hold an edit, a segment moves by at most ``i`` places, and the same counts
+    from the end; so nine substrings, besides the line's own segments, are enough for two edits.
+    """
+    own = [(0, i, 0, True) for i in range(EDITS + 1)]
+    return own + [
+        (less, i, move, False)
+        for less in range(EDITS + 1) for i in range(EDITS + 1)
+        for move in range(max(-i, less - EDITS + i), min(i, less + EDITS - i) + 1)
+        if less or move  # an unmoved segment of a line as long is an index key, and the index meets itself
+    ]
 
 
-def index_keys(line: Column, base: list[Column] = [], rest: bool = False) -> Column:  # noqa: B006
-    """Keys of the segments under which a line is indexed; with ``rest`` also the line without the segment."""
-    length = F.length(line)
-    return F.array(*[_piece(line, base, length, i, *_segment(length, i), rest) for i in range(EDITS + 1)])
+def _key_structs(line: Column, chars: Column, moves: list, base: list[Column], rest: bool) -> Column:
+    """(key, indexed) and, with ``rest``, rest: the line without the substring. NULL where there is no substring.
 
+    A line of n characters is cut into EDITS + 1 segments, of which the last ones are longer by one.
+    """
+    given = F.array(*[
+        F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(m).alias("m"), F.lit(x).alias("x")) for d, i, m, x in moves
+    ])
 
-def probe_keys(line: Column, base: list[Column] = [], rest: bool = False) -> Column:  # noqa: B006
-    """Keys of the substrings that a segment of a line at most EDITS shorter can match.
+    def one(t: Column) -> Column:
+        length = chars - t["d"]
+        size = F.call_function("div", length, F.lit(EDITS + 1)).cast("int")
+        short = size * (EDITS + 1) + (EDITS + 1) - length
+        start = size * t["i"] + F.greatest(t["i"] - short, F.lit(0)) + 1 + t["m"]
+        size = size + F.when(t["i"] >= short, 1).otherwise(0)
+        fields = [F.xxhash64(*base, length, t["i"], line.substr(start, size)).alias("key"), t["x"].alias("indexed")]
+        if rest:
+            fields.append(F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, chars)).alias("rest"))
+        return F.when(t["x"] | ((length >= EDITS + 1) & (start >= 1)), F.struct(*fields))
 
-    A segment before which fewer than ``i`` edits lie moves by less than that many places, and the same counts from
-    the end, so twelve substrings are enough for two edits.
-    """
-    out = []
-    for less in range(EDITS + 1):
-        length = F.length(line) - less
-        for i in range(EDITS + 1):
-            start, size = _segment(length, i)
-            back = EDITS - i
-            low, high = max(-i, less - back), min(i, less + back)
-            out += [
-                F.when((length >= EDITS + 1) & (start + shift >= 1), _piece(line, base, length, i, start + shift, size, rest))
-                for shift in range(low, high + 1)
-            ]
-    return F.array(*out)
+    return F.transform(given, one)
 
 
-def _keys(lines: DataFrame, keys: Column) -> DataFrame:
-    return lines.select("line_id", F.explode(keys).alias("k")).where("k is not null").select("k.*", "line_id")
+def _keys(lines: DataFrame, base: list[Column] = [], rest: bool = False) -> DataFrame:  # noqa: B006
+    """(key, indexed) and, with ``rest``, rest, and line_id: all keys of ``lines`` (line_id, line, chars)."""
+    each = _key_structs(F.col("line"), F.col("chars"), _moves(), base, rest)
+    return lines.select("line_id", F.explode(each).alias("k")).where("k is not null").select("k.*", "line_id")
 
 
-def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """Pairs of different lines under one key."""
-    met = index.select("key", F.col("line_id").alias("x")).join(probe.select("key", F.col("line_id").alias("y")), "key")
-    return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _met(keys: DataFrame, partitions: int) -> DataFrame:
+    """Pairs of an indexed line and another under the same key. All rows of a key are dealt to one partition, once."""
+    once = keys.repartition(partitions, "key").groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"))
+    left = once.where("indexed").select("key", F.col("line_id").alias("x"))
+    met = left.join(once.select("key", F.col("line_id").alias("y"), F.col("indexed").alias("both")), "key")
+    return met.where("x < y or (x > y and not both)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def crowded_keys(lines: DataFrame) -> tuple[DataFrame, int]:
@@ -90,31 +90,28 @@ def crowded_keys(lines: DataFrame) -> tuple[DataFrame, int]:
     Lines are told apart by six bits of their identifiers, one bit of a number for each; copies of a line count once.
     """
     seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_id", F.lit(64)).cast("int")))
-    counted = _keys(lines, index_keys(F.col("line"))).groupBy("key").agg(seen.alias("seen"))
+    own = _key_structs(F.col("line"), F.col("chars"), [m for m in _moves() if m[3]], [], False)
+    keys = lines.select("line_id", F.explode(own["key"]).alias("key"))
+    counted = keys.groupBy("key").agg(seen.alias("seen"))
     return stage_counted(counted.where(F.bit_count("seen") >= CROWDED_BITS).select("key"), "crowded")
 
 
-def crowded_pairs(lines: DataFrame, crowded: DataFrame) -> list[DataFrame]:
+def crowded_pairs(lines: DataFrame, crowded: DataFrame, partitions: int) -> list[DataFrame]:
     """Pairs of lines that share a crowded key and, with it, a key of what is left of them."""
-    line, found = F.col("line"), []
-    sides = [
-        stage(_keys(lines, keys(line, [], True)).join(crowded, "key", "left_semi").distinct(), "shared")
-        for keys in (index_keys, probe_keys)
-    ]
+    ids = stage(_keys(lines).join(crowded, "key", "left_semi").select("line_id").distinct(), "crowded-lines")
+    rows, found = _keys(lines.join(ids, "line_id", "left_semi"), rest=True).join(crowded, "key", "left_semi"), []
     for level in range(1, LEVELS + 1):
-        rest, base = F.col("rest"), [F.col("key")]
-        sides = [
-            stage(_keys(rows, keys(rest, base, True)), "refined") for rows, keys in zip(sides, (index_keys, probe_keys))
-        ]
-        index, probe = sides
-        counts = index.groupBy("key").agg(F.countDistinct("line_id").alias("n")).where(F.col("n") > CROWDED).select("key")
-        crowded, n = stage_counted(counts, "crowded")
+        left = stage(rows.select("line_id", "key", F.col("rest").alias("line"), F.length("rest").alias("chars")), "shared")
+        again = left.withColumn("line_id", F.struct("line_id", "key").alias("line_id"))
+        rows = stage(
+            _keys(again, [F.col("line_id.key")], True).withColumn("line_id", F.col("line_id.line_id")), "refined")
+        counts = rows.where("indexed").groupBy("key").agg(F.countDistinct("line_id").alias("n"))
+        crowded, n = stage_counted(counts.where(F.col("n") > CROWDED).select("key"), "crowded")
         last = level == LEVELS or not n
-        met = _met(index if last else index.join(crowded, "key", "left_anti"), probe)
-        found.append(stage(met.distinct(), "pairs"))
+        found.append(stage(_met(rows if last else rows.join(crowded, "key", "left_anti"), partitions).distinct(), "pairs"))
         if last:
             break
-        sides = [rows.join(crowded, "key", "left_semi") for rows in sides]
+        rows = rows.join(crowded, "key", "left_semi")
     return found
 
 
@@ -156,7 +153,9 @@ def banded_distance(a: Column, b: Column) -> Column:
                 far = F.shiftright(acc, bits) + 1 - F.call_function("shiftright", d0, ahead + EDITS).bitwiseAND(1)
                 return F.shiftleft(far, bits) + F.shiftleft(new_vp, BAND) + new_vn
 
-            return _let(eq.bitwiseOR(vn), carried).cast("int")
+            # The sum never falls along the diagonal: past EDITS the rest of the columns cannot matter.
+            done = F.shiftright(acc, bits) + ahead > EDITS
+            return F.when(done, acc).otherwise(_let(eq.bitwiseOR(vn), carried).cast("int"))
 
         total = F.aggregate(F.sequence(F.lit(0), n - 1), start, column)
         return F.when(n == 0, m).otherwise(F.shiftright(total, bits) + ahead)
@@ -206,8 +205,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = docs.columns
     place = F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    source = docs.select(place.alias("place"), F.struct(*names).alias("doc"))
-    text = F.col(f"doc.`{text_col}`")
+    others = [c for c in names if c not in (id_col, text_col)]
+    # The identifier travels in the place, so that without other columns one shuffle of the text serves all readers.
+    source = docs.select(
+        place.alias("place"), F.col(text_col).alias("text"), *([F.struct(*others).alias("rest")] if others else []))
+    text = F.col("text")
     with_word = F.length(F.btrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r"))) > 0
     every = source.select("place", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(with_word)
     keyed = every.select(
@@ -231,14 +233,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "line_id", "line", F.struct("place", "pos").alias("first"))
 
     long_lines = first.where(F.col("chars") >= MIN_CHARS).select("line_id", "first")
-    compared = every.select(F.xxhash64("line").alias("line_id"), "line").where(F.length("line") >= MIN_CHARS)
+    # Copies of a common line would crowd its keys, so all but the first leave; the others are few enough to stay.
+    total = first.agg(F.sum("n")).first()[0] or 0
+    common = first.where(F.col("n") > max(1, total // COMMON)).select(F.col("line_id").alias("common"), "first")
+    compared = every.select(
+        F.xxhash64("line").alias("line_id"), "line", F.length("line").alias("chars"), F.struct("place", "pos").alias("at")
+    ).where(F.col("chars") >= MIN_CHARS).join(F.broadcast(common), F.col("line_id") == F.col("common"), "left").where(
+        F.col("common").isNull() | (F.col("at") == F.col("first"))
+    ).select("line_id", "line", "chars")
     crowded, n_crowded = crowded_keys(compared)
-    lines = text_of(long_lines).select("line_id", "line")
-    index, probe = (_keys(lines, keys(F.col("line"))) for keys in (index_keys, probe_keys))
-    pairs = _met(index.join(crowded, "key", "left_anti") if n_crowded else index, probe)
-    for more in crowded_pairs(compared, crowded) if n_crowded else []:
+    keys, partitions = _keys(compared), shuffle_partitions(spark)
+    pairs = _met(keys.join(crowded, "key", "left_anti") if n_crowded else keys, partitions)
+    for more in crowded_pairs(compared, crowded, partitions) if n_crowded else []:
         pairs = pairs.unionByName(more)
-    pairs = pairs.distinct()
+    pairs = stage(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
     texts = text_of(long_lines.join(ends, "line_id", "left_semi"))
     side = lambda end: texts.select(
@@ -258,8 +266,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     none = F.array().cast("array<int>")
     new_text = F.when(F.col("removed").isNull(), text).otherwise(
         _let(F.struct(parts.alias("l"), F.col("removed").alias("r")), lambda x: F.array_join(_without(x["l"], x["r"]), "\n")))
+    own = {text_col: new_text, id_col: F.col("place.id")}
     return joined.select(
-        *[new_text.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in names],
+        *[own[c].alias(c) if c in own else F.col(f"rest.`{c}`").alias(c) for c in names],
         F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
         F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"),
     )
