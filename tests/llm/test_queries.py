@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_operators import _near_by_force
 from __spark_entry__ import oracle_sql, queries
 from grainmill.llm.queries import QUERIES, SQL
 
@@ -48,10 +49,14 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
+        before, docs = docs, stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         counts.append(docs.count())
-    assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
+        if name == "near_dedup":
+            given = before.orderBy("doc_id").collect()
+            least, _ = _near_by_force([r.text for r in given])
+            assert {r.doc_id for r in docs.collect()} == {given[i].doc_id for i in set(least)}
+    assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == counts[-1] and last.where(~F.col("round_trip")).count() == 0
