@@ -3,9 +3,11 @@
 A document is the set of its word shingles; minwise hashing turns it into SIGNATURE tokens. Each of TREES independent
 trees sends a document down the paths of tokens its nodes select. A node of few documents compares all of them. A
 larger one compares all with one member, its pivot: those that are surely alike are linked to it and need no more here,
-and if only few are not, these are compared with the whole node. Otherwise the node branches again. Comparisons are
-estimates from signatures; links are confirmed on the full sets, first a forest of them, then those between the
-components that are left, so that a group of thousands of near copies costs a few comparisons for each of its members.
+and if only few are not, these are compared with the whole node. Otherwise the node branches again, or if its documents are so alike
+that branching would not part them, it is a family: these are compared on the full sets, in blocks. Comparisons are
+otherwise estimates from signatures; links are confirmed on the full sets, first a forest of them, then those between
+the components that are left, so that a group of thousands of near copies costs a few comparisons for each of its
+members. A family that links do not hold together is compared in full, all its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ TREES = 10
 LEAF = 24  # documents a node may hold to be compared exhaustively
 DEPTH = 8
 DENSE = 0.7  # mean estimate between a node and its pivot from which on branching would not part its documents
-CROWD = 6  # documents of a dense node, where most pairs are links, that are compared with each other
+BLOCK = 1024  # documents of a family that are compared in one task
+BLOCK_SHINGLES = 1 << 20  # and their shingles
+HUBS = 16  # documents of a family, about, that are in each of its blocks, so that links hold blocks together
+COLUMNS = 2048  # shingles multiplied at once
 LIKELY = 0.6  # estimates below are no candidates: four standard errors under the threshold
 CLEAR = 0.82  # estimates above are nearly always links
 SURE = 0.9  # estimates above are links to a pivot, but for confirmation
@@ -96,12 +101,12 @@ def _branches(node: Column, tokens: Column, steps: int = 1) -> Column:
     return F.when(second, F.array(path(0), path(1))).otherwise(F.array(path(0)))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike.
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike; and families.
 
-    A large node whose members are alike on average does not get smaller by branching. It is cut into random groups of
-    about CROWD, and what is left DEPTH levels down into groups of about LEAF, each compared within itself, and all
-    with the pivot, so that the number of pairs grows with the number of documents whatever the groups of copies.
+    A large node whose members are alike on average does not get smaller by branching; nor does what is left DEPTH
+    levels down. Their members (pivot, id) are returned, if any. A pivot has the smallest hash of its node in every
+    tree, so that the nodes of one family mostly have one pivot and are compared once.
     """
     thin = signed.select("id", F.expr("transform(tokens, x -> cast((x & 255) - 128 as tinyint))").alias("bytes"))
     thin = stage(thin, "sketches")
@@ -109,11 +114,11 @@ def candidates(signed: DataFrame) -> DataFrame:
     members = signed.select("id", "tokens", roots.alias("tree")).select(
         "id", F.explode(_branches(F.xxhash64("tree", F.lit(5)), F.col("tokens"))).alias("node")
     )
-    found = []
+    found, families = [], []
     for depth in range(1, DEPTH + 1):
         members = stage(members, "nodes")
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(
-            F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("id"))).alias("first"))
+            F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("first"))
         sizes = sizes.where("size > 1").select("node", "size", F.col("first.id").alias("pivot"))
         placed = stage(members.join(sizes, "node").join(thin, "id"), "placed")
         small = placed.where(F.col("size") <= LEAF).select("node", "id", "bytes")
@@ -128,12 +133,9 @@ def candidates(signed: DataFrame) -> DataFrame:
             F.count_if(F.col("est") < SURE).alias("open"), F.avg("est").alias("mean")).where("open > 0"), "open-nodes")
         few, dense = F.col("open") <= LEAF, (F.col("mean") >= DENSE) if depth < DEPTH else F.lit(True)
         rest = star.where(F.col("est") < SURE).join(nodes.where(few).select("node"), "node", "left_semi")
-        crowd = star.join(nodes.where(~few & dense).select("node", "mean"), "node")
-        width = F.when(F.col("mean") >= DENSE, CROWD).otherwise(LEAF)
-        group = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / width))
-        grouped = crowd.select(F.xxhash64("node", group).alias("node"), "id", "bytes")
+        families.append(star.join(nodes.where(~few & dense).select("node"), "node", "left_semi").select("pivot", "id"))
         clear = _ordered(star.where(F.col("est") >= LIKELY), "id", "pivot", "est")
-        near = _within(small.unionByName(grouped)).unionByName(_across(rest, star)).unionByName(clear)
+        near = _within(small).unionByName(_across(rest, star)).unionByName(clear)
         found.append(stage(near.distinct(), "alike"))
         if depth == DEPTH:
             break
@@ -143,7 +145,14 @@ def candidates(signed: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+    if not families:
+        return pairs, None
+    family = families[0]
+    for more in families[1:]:
+        family = family.unionByName(more)
+    family, n = stage_counted(family.distinct(), "families")
+    return pairs, family if n else None
 
 
 def _ordered(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
@@ -211,6 +220,95 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _linked(left: list[np.ndarray], right: list[np.ndarray], same: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a left and a right set are similar or ``same``: the sets as rows of 0 and 1, multiplied."""
+    none = np.zeros(0, np.uint64)
+    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+    apart = np.concatenate([a, *[x for x, twice in zip(right, same.any(axis=0)) if not twice]])
+    values, times = np.unique(apart, return_counts=True)
+    shared = np.intersect1d(np.intersect1d(a, b), values[times > 1], assume_unique=True)
+
+    def entries(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        cols = np.searchsorted(shared, flat)
+        hit = cols < len(shared)
+        hit[hit] = shared[cols[hit]] == flat[hit]
+        order = np.argsort(cols[hit], kind="stable")
+        return rows[hit][order], cols[hit][order]
+
+    (rows_a, cols_a), (rows_b, cols_b) = entries(left, a), entries(right, b)
+    both = np.zeros((len(left), len(right)))
+    for c in range(0, len(shared), COLUMNS):
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for m, rows, cols in ((x, rows_a, cols_a), (y, rows_b, cols_b)):
+            lo, hi = np.searchsorted(cols, [c, c + COLUMNS])
+            m[rows[lo:hi], cols[lo:hi] - c] = 1
+        both += x @ y.T
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return (100 * both >= percent * (sizes - both)) | same
+
+
+def _forest(met: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (left, right) of ``met`` that hold together whatever all of its pairs do."""
+    free, out = (np.ones(met.shape[0], bool), np.ones(met.shape[1], bool)), []
+    for start in range(met.shape[0]):
+        if not free[0][start]:
+            continue
+        free[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, at = todo.pop()
+            new = np.flatnonzero((met[:, at] if side else met[at]) & free[1 - side])
+            free[1 - side][new] = False
+            out.extend((int(k), at) if side else (at, int(k)) for k in new)
+            todo.extend((1 - side, int(k)) for k in new)
+    return out
+
+
+def _compare(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    ids = [np.array(t.column("id").to_pylist(), np.int64) for t in (left, right)]
+    sets = [[np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()] for t in (left, right)]
+    edges = _forest(_linked(*sets, ids[0][:, None] == ids[1][None, :], percent))
+    pairs = [(int(ids[0][i]), int(ids[1][j])) for i, j in edges if ids[0][i] != ids[1][j]]
+    return pa.table({k: pa.array([p[at] for p in pairs], pa.int64()) for at, k in enumerate("ab")})
+
+
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """Members and number of blocks of each family of (pivot, id, n)."""
+    n = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    return rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.ceil(n).cast("int").alias(name))
+
+
+def _in_blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold together what is linked within one block of a family, or over its hubs."""
+    hub = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(3)), F.col("size")) < HUBS)
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    placed = family.join(_sized(family, "blocks"), "pivot").select("pivot", "id", F.explode(
+        F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
+    return placed.join(sets, "id").groupBy("pivot", "block").applyInArrow(
+        lambda t: _compare(t, t, percent), "a bigint, b bigint")
+
+
+def _strangers(family: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of those outside the largest component of a family with all its members, each block with each."""
+    of = family.join(parts, family["id"] == parts["node"], "left").select(
+        "pivot", "id", "n", F.coalesce("component", "id").alias("part"))
+    of = stage(of, "family-parts")
+    most = of.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(
+        F.max(F.struct("k", "part")).alias("most"))
+    out = stage(of.join(most, "pivot").where(F.col("part") != F.col("most.part")).select("pivot", "id", "n"), "strangers")
+    grid = _sized(out, "rows").drop("size").join(_sized(family, "cols").drop("size"), "pivot")
+    spread = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+    own = lambda over: F.pmod(F.xxhash64("id", F.lit(7)), F.col(over)).cast("int")
+    x = out.join(grid, "pivot").select("pivot", "id", own("rows").alias("row"), spread("cols").alias("col"))
+    y = family.join(grid, "pivot").select("pivot", "id", spread("rows").alias("row"), own("cols").alias("col"))
+    y = stage(y, "grid").join(sets, "id").select(*[F.col(c).alias(f"{c}_at") for c in ("pivot", "row", "col", "id", "shingles")])
+    return stage(x, "grid").join(sets, "id").groupBy("pivot", "row", "col").cogroup(
+        y.groupBy("pivot_at", "row_at", "col_at")).applyInArrow(
+            lambda a, b: _compare(a, b.rename_columns([c.removesuffix("_at") for c in b.column_names]), percent),
+            "a bigint, b bigint")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -225,10 +323,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = signed.where("n > 0 and id is not null")
     classes = alive.groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class"))
     classed = stage(alive.select("id", "key_a", "key_b", "n").join(classes, ["key_a", "key_b", "n"]).select("id", "class"), "classes")
-    lead = alive.join(classed.where("id = class").select("id").distinct(), "id", "left_semi").select("id", "tokens")
+    lead = alive.join(classed.where("id = class").select("id").distinct(), "id", "left_semi").select("id", "n", "tokens")
 
-    pairs = stage(candidates(stage(lead, "leaders")), "candidates")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    lead = stage(lead, "leaders")
+    pairs, family = candidates(lead)
+    pairs = stage(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    ends = (ends.unionByName(family.select("id")) if family else ends).distinct()
     # The list of documents grows with the corpus, so it is not broadcast at any size.
     sets = stage(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(_sets("id", "text"), "id bigint, shingles binary"), "sets")
 
@@ -236,13 +337,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
     best = each.groupBy("a").agg(F.max(F.struct(F.least("est", F.lit(CLEAR)).alias("e"), (-F.col("b")).alias("b"))).alias("best"))
     forest = stage(_ordered(best.select("a", (-F.col("best.b")).alias("b")), "a", "b").distinct(), "forest")
-    links = stage(confirmed(forest, sets, percent), "links")
+    links = confirmed(forest, sets, percent)
+    if family:
+        sizes = lead.groupBy("id").agg(F.max("n").alias("n"))
+        family = stage(family.join(sizes, "id").select("pivot", "id", "n"), "families")
+        links = links.unionByName(_in_blocks(family, sets, percent))
+    links = stage(links, "links")
     parts = components(links)
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
         F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
     ).select("a", "b").join(forest, ["a", "b"], "left_anti")
-    more = stage(confirmed(apart, sets, percent), "links")
+    more = confirmed(apart, sets, percent)
+    if family:
+        more = more.unionByName(_strangers(family, parts, sets, percent))
+    more = stage(more, "links")
 
     lead_of = classed.groupBy("id").agg(F.min("class").alias("lead"))
     shared = classed.join(lead_of, "id").select(F.col("class").alias("a"), F.col("lead").alias("b")).where("a <> b")

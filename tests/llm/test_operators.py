@@ -279,6 +279,33 @@ def test_near_groups_by_force(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [1024, 90])
+def test_links_in_a_family_just_under_the_threshold(spark, monkeypatch, block):
+    """Copies of one template that are no links at 0.72, and among them pairs that are, at 0.8."""
+    monkeypatch.setattr(chosen_path, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(1500)]
+
+    def filled(slots):
+        words = list(base)
+        for s in slots:
+            words[5 * s] = slots[s]
+        return " ".join(words)
+
+    texts = []
+    for i in range(230):
+        slots = {s: f"n{rng.random()}" for s in rng.sample(range(300), 26)}
+        texts.append(filled(slots))
+        if i % 10 == 0:
+            shared = dict(list(slots.items())[:10])
+            other = rng.sample([s for s in range(300) if s not in slots], 16)
+            texts.append(filled(shared | {s: f"n{rng.random()}" for s in other}))
+    want, _ = _near_by_force(texts)
+    assert 23 <= len(texts) - len(set(want)) < 60
+    got = {r.doc_id: r.component_id for r in chosen_path.near_groups(_texts(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_banded_distance(spark):
     rng = random.Random(4)
     pairs = []
