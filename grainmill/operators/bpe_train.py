@@ -2,12 +2,17 @@
 
 The corpus is read once, for pre-token counts. From then on a word is a string with one character per
 symbol (symbol id + 0x100), so a merge is a plain string ``replace`` and the pairs of a word are its
-two-character substrings. Each round is one job that ranks all pairs; only the best few reach the
-driver, which decides how many of them can be merged before the next look.
+two-character substrings. A word table of bounded size is merged on the driver, where a merge recounts
+only the words that hold its pair. A larger one stays in Spark: each round is one job that ranks all
+pairs; only the best few reach the driver, which decides how many of them can be merged before the next look.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainmill.constants import MIN_FREQUENCY, VOCAB_SIZE
@@ -18,8 +23,11 @@ from grainmill.session import stage, stage_counted
 CANDIDATES = 256  # best pairs looked at per round; a batch never needs more
 WORDS_PER_TASK = 8_000
 RESTAGE = 256  # merges between two rewrites of the word table to the shared folder
+DRIVER_SYMBOLS = 10_000_000  # symbols of all distinct words, up to which they are merged on the driver
+DRIVER_WORD = 1_000  # and of the longest word
 _BASE = 0x100
-MAX_VOCAB = 0xD800 - _BASE  # one character per symbol, below the surrogates
+_GAP, _GAP_SIZE = 0xD800, 0x800  # the surrogates, which are no characters
+MAX_VOCAB = 0x110000 - _GAP_SIZE - _BASE  # one character per symbol
 
 
 def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -32,7 +40,13 @@ def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _symbol(i: int) -> str:
-    return chr(_BASE + i)
+    at = _BASE + i
+    return chr(at if at < _GAP else at + _GAP_SIZE)
+
+
+def _id(symbol: str) -> int:
+    at = ord(symbol)
+    return (at if at < _GAP else at - _GAP_SIZE) - _BASE
 
 
 def _as_symbols(w: Column) -> Column:
@@ -103,6 +117,52 @@ def _safe_batch(ranked: list, spelled, known: dict[str, int], room: int, one_by_
     return out
 
 
+def _merge_here(words: list[tuple[str, int]], min_frequency: int, full: Callable[[], bool], merge: Callable[[str], str]) -> None:
+    """Calls ``merge`` for the most frequent pair, which gives its symbol, until ``full`` or pairs are rare.
+
+    Counts are kept from merge to merge; the heap's entries of counts that have changed since are passed over.
+    """
+    texts, times = [w for w, _ in words], [n for _, n in words]
+    counts: dict[str, int] = defaultdict(int)
+    holders: dict[str, list[int]] = defaultdict(list)
+    for k, w in enumerate(texts):
+        for i in range(len(w) - 1):
+            counts[w[i : i + 2]] += times[k]
+            holders[w[i : i + 2]].append(k)
+    heap = [(-n, pair) for pair, n in counts.items()]
+    heapify(heap)
+    while heap and not full():
+        n, pair = heappop(heap)
+        if counts.get(pair) != -n:
+            continue
+        if -n < min_frequency:
+            break
+        symbol = merge(pair)
+        changed = set()
+        for k in set(holders.pop(pair)):
+            old = texts[k]
+            new = old.replace(pair, symbol)
+            if new == old:
+                continue
+            texts[k] = new
+            before = [old[i : i + 2] for i in range(len(old) - 1)]
+            for p in before:
+                counts[p] -= times[k]
+            known = set(before)
+            for p in (new[i : i + 2] for i in range(len(new) - 1)):
+                counts[p] += times[k]
+                if p not in known or p == pair:
+                    holders[p].append(k)
+            changed.update(before)
+            changed.update(new[i : i + 2] for i in range(len(new) - 1))
+        for p in changed:
+            if counts[p]:
+                heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
+                holders.pop(p, None)
+
+
 def _round_session(spark: SparkSession, tasks: int) -> SparkSession:
     """Settings of its own for the many short rounds: their shuffles are small and even, so re-planning
     each stage costs more than the stage."""
@@ -122,24 +182,37 @@ def train(
 ) -> Vocabulary:
     """Merge the most frequent pair (ties: smaller ids) until the vocabulary is full or pairs are rare.
 
-    ``log`` collects the batch size of every round.
+    ``log`` collects the batch size of every round. With it or ``one_by_one``, training is by rounds at any size.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size is at most {MAX_VOCAB}")
     spark = lines.sparkSession
     counts = word_counts(lines, line).select(_as_symbols(F.col("w")).alias("w"), "cnt")
     counted, n_words = stage_counted(counts.where(F.length("w") >= 2), "bpe-words")
-    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
-    rounds = _round_session(spark, tasks)
-    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
-    held: list[DataFrame] = []
-    since_stage = 0
     pieces = Vocabulary().pieces
     known = {p: i for i, p in enumerate(pieces)}
     merges: list[tuple[str, str]] = []
 
     def parts(pair: str) -> tuple[str, str]:
-        return pieces[ord(pair[0]) - _BASE], pieces[ord(pair[1]) - _BASE]
+        return pieces[_id(pair[0])], pieces[_id(pair[1])]
+
+    def merge(pair: str) -> str:
+        left, right = parts(pair)
+        merges.append((left, right))
+        if left + right not in known:
+            known[left + right] = len(pieces)
+            pieces.append(left + right)
+        return _symbol(known[left + right])
+
+    size = counted.agg(F.sum(F.length("w")).alias("all"), F.max(F.length("w")).alias("longest")).first()
+    if log is None and not one_by_one and (size["all"] or 0) <= DRIVER_SYMBOLS and (size["longest"] or 0) <= DRIVER_WORD:
+        _merge_here([(r["w"], r["cnt"]) for r in counted.collect()], min_frequency, lambda: len(pieces) >= vocab_size, merge)
+        return Vocabulary(merges)
+    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
+    rounds = _round_session(spark, tasks)
+    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
+    held: list[DataFrame] = []
+    since_stage = 0
 
     while len(pieces) < vocab_size:
         ranked = [r for r in _ranked_pairs(words).collect() if r["cnt"] >= min_frequency]
@@ -148,12 +221,7 @@ def train(
             break
         applied = []
         for pair in batch:
-            left, right = parts(pair)
-            merges.append((left, right))
-            if left + right not in known:
-                known[left + right] = len(pieces)
-                pieces.append(left + right)
-            applied.append((pair, _symbol(known[left + right])))
+            applied.append((pair, merge(pair)))
         if log is not None:
             log.append(len(batch))
         since_stage += len(batch)

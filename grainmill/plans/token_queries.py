@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from grainmill.constants import WINDOW
+from grainmill.constants import VOCAB_SIZE, WINDOW
 from grainmill.functions.arrays import append_token, cut_at_stop, last_n
 from grainmill.functions.text import one_line
 from grainmill.operators import bpe_train, codec, epochs, mixture, packing, recipes
@@ -17,7 +17,6 @@ from grainmill.sources import tables
 from grainmill.sources.token_shards import read_shards, write_shards
 from grainmill.sources.vocab_files import load_vocabulary, merge_table, save_vocabulary, vocab_table
 
-VOCAB = 300
 WORLD = 3
 
 
@@ -345,16 +344,10 @@ def pair_counts(spark, d):
     return bpe_train.pair_counts(words)
 
 
-_trained: dict[tuple[str, str], Vocabulary] = {}
-
-
 def trained(spark: SparkSession, d: str) -> Vocabulary:
-    """The vocabulary learnt from all documents, once per session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _trained:
-        lines = tables.table(spark, d, "documents").select(one_line(F.col("text")).alias("line"))
-        _trained[key] = bpe_train.train(lines, VOCAB)
-    return _trained[key]
+    """The vocabulary learnt from all documents as they are now."""
+    lines = tables.table(spark, d, "documents").select(one_line(F.col("text")).alias("line"))
+    return bpe_train.train(lines, VOCAB_SIZE)
 
 
 @query("train_bpe")

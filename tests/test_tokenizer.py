@@ -71,6 +71,24 @@ def test_restaging_changes_nothing(spark, learnt, documents, monkeypatch):
     assert bpe_train.train(documents[0], 340).merges == learnt[2].merges[: 340 - 261]
 
 
+def test_registered_queries_learn_the_default_vocabulary(spark, documents, tmp_path):
+    from grainmill.plans import token_queries
+
+    _, merges = library(tmp_path, documents[1], 8004)
+    assert len(merges) > 39
+    got = token_queries.train_bpe(spark, SF).orderBy("rank").collect()
+    assert [(r["left"], r["right"]) for r in got] == merges
+
+
+@pytest.mark.parametrize("on_driver", [True, False])
+def test_symbols_pass_over_the_surrogates(spark, tmp_path, monkeypatch, on_driver):
+    monkeypatch.setattr(bpe_train, "_BASE", 0xD800 - 270)
+    if not on_driver:
+        monkeypatch.setattr(bpe_train, "DRIVER_SYMBOLS", 0)
+    _, merges = library(tmp_path, ODD, 290)
+    assert bpe_train.train(as_lines(spark, ODD), 290).merges == merges
+
+
 def test_training_stops_at_rare_pairs(spark):
     assert bpe_train.train(as_lines(spark, ["abc"]), 300).merges == []
     assert bpe_train.train(as_lines(spark, ["ab cd"] * 3), 300).merges[:2] == [("a", "b"), ("c", "d")]
