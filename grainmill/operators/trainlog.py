@@ -80,11 +80,10 @@ def epoch_summary(log: DataFrame) -> DataFrame:
 
 
 def _numbered_epochs(log: DataFrame, accum: int) -> DataFrame:
-    """:func:`epoch_totals` plus ``steps_before``, the run's optimizer steps before each epoch."""
-    totals = stage(epoch_totals(log, accum), "epoch-totals")
-    return prefix_sums(
-        totals, ["run"], ["epoch"], {"steps_before": F.col("epoch_steps")}
-    )
+    """:func:`epoch_totals` plus ``steps_before``, the run's optimizer steps before each epoch. One row per epoch meets in a window."""
+    before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(epoch_totals(log, accum), "epoch-totals").withColumn(
+        "steps_before", F.coalesce(F.sum("epoch_steps").over(before), F.lit(0)))
 
 
 def global_steps(log: DataFrame, accum: int = GRAD_ACCUM, epochs: DataFrame | None = None) -> DataFrame:

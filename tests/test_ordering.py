@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill.operators import ordering
 from grainmill.operators.mixture import budget_prefix
 from grainmill.operators.ordering import first_n_per_part, prefix_sums, row_numbers
 
@@ -46,6 +47,23 @@ def test_no_join_or_window_on_the_part_alone(spark, many_buckets):
     assert len(rows) <= 1  # the totals of ranges, one row for each range
 
 
+@pytest.mark.parametrize("keep", [None, 300])
+def test_sums_of_sums_and_text_joined_back(spark, monkeypatch, keep):
+    monkeypatch.setattr(ordering, "MIN_RANGES", 40)
+    monkeypatch.setattr(ordering, "FAN", 3)
+    rows = rows_with_a_hot_part(800)
+    df = spark.createDataFrame([(*r, f"text {r[1]}", [r[2]]) for r in rows], "p string, k bigint, v bigint, text string, a array<bigint>")
+    bound = None if keep is None else F.col("s") < keep
+    out = prefix_sums(df, ["p"], ["k"], {"s": F.col("v"), "n": F.lit(1).cast("bigint")}, keep=bound)
+    assert out.columns == [*df.columns, "s", "n"]
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    assert not any("text#" in x or "a#" in x for x in windows)  # text is in no window shuffle
+    want = {k: v for k, v in plain_prefix(rows).items() if keep is None or v[0] < keep}
+    got = out.collect()
+    assert {(r["p"], r["k"]): (r["s"], r["n"]) for r in got} == want and len(got) == len(want)
+    assert all(r["text"] == f"text {r['k']}" and r["a"] == [r["v"]] for r in got)
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "p string, k bigint")
     assert row_numbers(df, ["p"], "k").collect() == []
