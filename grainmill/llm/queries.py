@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, quality_rules, rendezvous, secret_scan, substring_dedup
+from grainmill.llm import (
+    bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, merkle, quality_rules, rendezvous, secret_scan,
+    substring_dedup,
+)
 from grainmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +236,75 @@ from documents d left join kept using (doc_id)"""
 
 
 SQL["op10_line_dedup"] = _line_sql()
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(*MANIFEST_FIELDS)
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    other = merkle.leaf([more if c == "n_chars" else F.col(c) for c in MANIFEST_FIELDS])
+    manifest = merkle.build(docs, "lang", "doc_id", MANIFEST_FIELDS, extra=F.when(altered, other))
+    return merkle.witnesses(manifest).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("witness")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("extra", "leaf"), F.col("witness")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql() -> str:
+    field = lambda x: f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')"
+    leaf = lambda more: "sha256(" + " || ".join(field(c if c != "n_chars" else c + more) for c in MANIFEST_FIELDS) + ")"
+    # crc32 by its polynomial, over at most 20 decimal digits
+    crc = """list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)::ubigint[]),
+        lambda v, i: xor(v >> 1, if(v & 1 = 1, 3988292384::ubigint, 0::ubigint))))"""
+    return f"""with recursive leaves as (
+  select row_number() over () as rid, doc_id, lang, {leaf('')} as leaf,
+    case when xor({crc}, 4294967295::ubigint) % 7 = 0 then {leaf(' + 1')} end as altered from documents),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf, rid) - 1 as pos,
+    count(*) over (partition by lang) as n from leaves),
+tree as (
+  select lang, 0 as level, pos, n, leaf as digest from placed
+  union all
+  select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos))
+  from tree where n > 1 group by lang, level, pos // 2, n),
+subs as (
+  select lang, digest as subroot, level as height, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n
+  from tree where n = 1),
+tops as (
+  select 0 as level, pos, n, subroot as digest from subs
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos))
+  from tops where n > 1 group by level, pos // 2, n),
+top as (select digest as root, level as height from tops where n = 1),
+paths as (
+  select p.rid, l.level, xor(p.pos >> l.level, 1) as sib, (p.pos >> l.level) & 1 = 1 as leftward, p.lang
+  from placed p join subs s on p.lang is not distinct from s.lang, lateral (select unnest(range(s.height)) as level) l),
+lower as (
+  select a.rid, a.level, a.leftward, coalesce(t.digest, '') as digest from paths a
+  left join tree t on t.lang is not distinct from a.lang and t.level = a.level and t.pos = a.sib),
+upper as (
+  select s.lang, s.height + l.level as level, (s.pos >> l.level) & 1 = 1 as leftward, coalesce(t.digest, '') as digest
+  from subs s, top, lateral (select unnest(range(top.height)) as level) l
+  left join tops t on t.level = l.level and t.pos = xor(s.pos >> l.level, 1)),
+witness as (
+  select rid, level, leftward, digest from lower
+  union all
+  select p.rid, u.level, u.leftward, u.digest from placed p join upper u on p.lang is not distinct from u.lang),
+proofs as (select rid, sha256(string_agg(digest, '' order by level)) as proof, max(level) as last from witness group by rid),
+fold as (
+  select rid, 0::bigint as level, coalesce(altered, leaf) as acc from placed
+  union all
+  select f.rid, f.level + 1, sha256(case when w.leftward then w.digest || f.acc else f.acc || w.digest end)
+  from fold f join witness w on w.rid = f.rid and w.level = f.level),
+folded as (select rid, arg_max(acc, level) as folded_root from fold group by rid)
+select p.doc_id, p.leaf, s.subroot, top.root, coalesce(proof, sha256('')) as proof_sha256, folded_root,
+  folded_root = top.root as verified
+from placed p join subs s on p.lang is not distinct from s.lang join folded using (rid) left join proofs using (rid), top"""
+
+
+SQL["op12_merkle"] = _merkle_sql()
