@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm import (
-    bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, merkle, quality_rules, rendezvous, secret_scan,
-    substring_dedup,
+    bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, merkle, phrase_prints, quality_rules, rendezvous,
+    secret_scan, substring_dedup,
 )
 from grainmill.llm.common import documents
 
@@ -308,3 +308,12 @@ from placed p join subs s on p.lang is not distinct from s.lang join folded usin
 
 
 SQL["op12_merkle"] = _merkle_sql()
+
+
+@query
+def op13_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_prints.compare_with_edits(documents(spark, sf_dir).select("doc_id", "text"))
+    written = lambda c: F.lower(F.hex(c))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", written("print").alias("fingerprint"),
+        written("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
