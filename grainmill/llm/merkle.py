@@ -185,7 +185,7 @@ def witnesses(manifest: Manifest) -> DataFrame:
     from the leaf to the root: the sibling and whether it stands left; '' where the node is hashed alone.
     """
     leaves = _whole(manifest.depths)
-    top = manifest.depths[-1].select("part", F.col("root").alias("digest"))
+    top = manifest.depths[-1].where("pos = 0").select("part", F.col("root").alias("digest"))
     placed = prefix_sums(
         top.select(F.lit(0).alias("all"), "part"), ["all"], ["part"], {"pos": F.lit(1).cast("bigint")}
     ).drop("all").join(top, "part").withColumnRenamed("part", "name")
