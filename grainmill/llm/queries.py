@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm import (
-    bpe_codec, chosen_path, content_sort, fair_mix, katz, line_dedup, merkle, phrase_prints, quality_rules, rendezvous,
-    secret_scan, substring_dedup,
+    bpe_codec, chosen_path, content_sort, fair_mix, hard_negatives, katz, line_dedup, merkle, phrase_prints,
+    quality_rules, rendezvous, secret_scan, substring_dedup,
 )
 from grainmill.llm.common import documents
 
@@ -238,6 +238,35 @@ from documents d left join kept using (doc_id)"""
 SQL["op10_line_dedup"] = _line_sql()
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.expr("if(vec_id % 7 = 0, (cast(label as bigint) + 1) % 10, label)")
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
+
+
+SQL["op11_hard_negatives"] = """with t as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.rid, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from t a join t b on a.rid <> b.rid where a.vec_id % 100 = 0
+),
+positives as (
+  select * from scored where same
+  qualify row_number() over (partition by rid order by score desc, vec_id nulls last) <= 5
+)
+select p.anchor_id, p.vec_id as positive_id,
+  cast(row_number() over (partition by p.rid, p.vec_id, p.score order by n.score desc, n.vec_id nulls last) as int) as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on n.rid = p.rid and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10"""
+
+
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
