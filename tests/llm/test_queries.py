@@ -22,13 +22,14 @@ def _rows(names, rows):
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql()) and "pipeline" in queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cur = db.execute(SQL[name])
     names = [c[0] for c in cur.description]
     got = QUERIES[name](spark, SF)
