@@ -1,17 +1,19 @@
 """Training a byte-level BPE vocabulary as Spark jobs.
 
-The corpus is read once, for pre-token counts. From then on a word is a string with one character per
-symbol (symbol id + 0x100), so a merge is a plain string ``replace`` and the pairs of a word are its
-two-character substrings. A word table of bounded size is merged on the driver, where a merge recounts
-only the words that hold its pair. A larger one stays in Spark: each round is one job that ranks all
-pairs; only the best few reach the driver, which decides how many of them can be merged before the next look.
+The corpus is read once, for pre-token counts. From then on a word is a string with one character per symbol (symbol id
++ 0x100), so a merge is a plain string ``replace`` and the pairs of a word are its two-character substrings. Words stay
+in Spark at any size. All pairs are counted once; after that a round, one job, applies a batch of merges and returns
+what changes: for each pair the difference that the words holding a merged pair make, and for the pairs that are likely
+next the symbols around them. The driver keeps one count for each pair of symbols, which the vocabulary bounds, and
+follows from the symbols around a pair how a merge changes other counts, exactly or as an upper bound. A batch goes on
+as long as the most frequent pair is known for certain, so it holds the merges that one at a time would also find.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush, nsmallest
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,11 +22,10 @@ from grainmill.functions.text import pretokens
 from grainmill.operators.vocabulary import BYTE_IDS, N_SPECIAL, Vocabulary
 from grainmill.session import stage, stage_counted
 
-CANDIDATES = 256  # best pairs looked at per round; a batch never needs more
+AROUND = 192  # pairs whose neighbours a round counts, the next to be merged most likely
+RANKED = 4096  # most frequent pairs a batch chooses from
 WORDS_PER_TASK = 8_000
-RESTAGE = 256  # merges between two rewrites of the word table to the shared folder
-DRIVER_SYMBOLS = 10_000_000  # symbols of all distinct words, up to which they are merged on the driver
-DRIVER_WORD = 1_000  # and of the longest word
+RESTAGE = 16  # rounds between two rewrites of the word table to the shared folder
 _BASE = 0x100
 _GAP, _GAP_SIZE = 0xD800, 0x800  # the surrogates, which are no characters
 MAX_VOCAB = 0x110000 - _GAP_SIZE - _BASE  # one character per symbol
@@ -65,102 +66,110 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_pairs(words: DataFrame) -> DataFrame:
-    """Best pairs ``(pair, cnt, triple)``; ``triple`` bounds what merging the pair can create.
-
-    A pair made by merging ``ab`` occurs only where ``abx`` or ``xab`` did, so its count is at most the
-    largest such triple count.
-    """
-    return (
-        words.selectExpr("explode(regexp_extract_all(w, '(?s)(?=(...?))', 1)) as g", "cnt")
-        .groupBy("g")
-        .agg(F.sum("cnt").alias("cnt"))
-        .selectExpr("g", "cnt", "if(length(g) = 3, cnt, 0) as whole")
-        .selectExpr(
-            "explode(array(struct(left(g, 2) as pair, cnt, whole as triple), "
-            "struct(substring(g, 2, 2) as pair, 0L as cnt, whole as triple))) as s"
-        )
-        .where("length(s.pair) = 2")
-        .groupBy("s.pair")
-        .agg(F.sum("s.cnt").alias("cnt"), F.max("s.triple").alias("triple"))
-        .orderBy(F.desc("cnt"), "pair")
-        .limit(CANDIDATES)
-    )
+def _grams(w: str, n: int) -> str:
+    return f"regexp_extract_all({w}, '(?s)(?=({'.' * n}))', 1)"
 
 
 def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """``(w, v, cnt)``: words before and after the merges, those of one symbol left out."""
     # One expression whatever the batch size, so the generated code is compiled once.
     steps = ", ".join(f"struct('{pair}' as p, '{symbol}' as s)" for pair, symbol in merges)
-    return words.selectExpr(f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s)) as w", "cnt")
+    after = f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s))" if merges else "w"
+    return words.where("length(w) >= 2").selectExpr("w", f"{after} as v", "cnt")
 
 
-def _safe_batch(ranked: list, spelled, known: dict[str, int], room: int, one_by_one: bool) -> list[str]:
-    """The longest prefix of the ranking that merging one at a time would also pick, in this order.
+def _changes(applied: DataFrame, around: list[str]) -> DataFrame:
+    """``(g, n)``: for two symbols the change of their pair's count, for three their count after the merges.
 
-    No member's left symbol is another's right symbol, so no merge takes a symbol from another member's
-    pair and all counts stay as ranked. A member must outnumber every pair the earlier ones could
-    create; on a tie the new pair might win, so the batch stops there. A merge that spells an existing
-    piece goes alone, since it adds to counts already there.
+    Only words that a merge has changed are looked at for pairs. Triples are those that hold a pair of ``around``.
     """
-    out, lefts, rights, bound = [], set(), set(), 0
-    for r in ranked:
-        pair, old = r["pair"], spelled(r["pair"]) in known
-        clash = pair[0] in rights or pair[1] in lefts or (pair[0] == pair[1] and pair[0] in lefts | rights)
-        if out and (one_by_one or old or len(out) >= room or r["cnt"] <= bound or clash):
-            break
-        out.append(pair)
-        lefts.add(pair[0])
-        rights.add(pair[1])
-        bound = max(bound, r["triple"])
-        if old:
-            break
-    return out
-
+    wanted = ", ".join(f"'{pair}'" for pair in around)
+    near = f"filter({_grams('v', 3)}, t -> left(t, 2) in ({wanted}) or substring(t, 2, 2) in ({wanted}))"
+    counted = lambda grams, n: f"transform({grams}, g -> struct(g, {n} as n))"
+    none = "cast(array() as array<struct<g:string,n:bigint>>)"
+    return (
+        applied.selectExpr(
+            f"explode(concat(if(v = w, {none}, concat({counted(_grams('w', 2), '-cnt')}, {counted(_grams('v', 2), 'cnt')})), "
+            f"{counted(near, 'cnt')})) as s")
+        .groupBy("s.g").agg(F.sum("s.n").alias("n")).where("n <> 0")
+    )
 
-def _merge_here(words: list[tuple[str, int]], min_frequency: int, full: Callable[[], bool], merge: Callable[[str], str]) -> None:
-    """Calls ``merge`` for the most frequent pair, which gives its symbol, until ``full`` or pairs are rare.
 
-    Counts are kept from merge to merge; the heap's entries of counts that have changed since are passed over.
-    """
-    texts, times = [w for w, _ in words], [n for _, n in words]
-    counts: dict[str, int] = defaultdict(int)
-    holders: dict[str, list[int]] = defaultdict(list)
-    for k, w in enumerate(texts):
-        for i in range(len(w) - 1):
-            counts[w[i : i + 2]] += times[k]
-            holders[w[i : i + 2]].append(k)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapify(heap)
-    while heap and not full():
-        n, pair = heappop(heap)
-        if counts.get(pair) != -n:
-            continue
-        if -n < min_frequency:
-            break
-        symbol = merge(pair)
-        changed = set()
-        for k in set(holders.pop(pair)):
-            old = texts[k]
-            new = old.replace(pair, symbol)
-            if new == old:
-                continue
-            texts[k] = new
-            before = [old[i : i + 2] for i in range(len(old) - 1)]
-            for p in before:
-                counts[p] -= times[k]
-            known = set(before)
-            for p in (new[i : i + 2] for i in range(len(new) - 1)):
-                counts[p] += times[k]
-                if p not in known or p == pair:
-                    holders[p].append(k)
-            changed.update(before)
-            changed.update(new[i : i + 2] for i in range(len(new) - 1))
-        for p in changed:
-            if counts[p]:
-                heappush(heap, (-counts[p], p))
-            else:
-                del counts[p]
-                holders.pop(p, None)
+class _Ranking:
+    """Pair counts while a batch is chosen: exact ones, and upper bounds for pairs of which merges left no more known."""
+
+    def __init__(self, counts: dict[str, int], looked_at: set[str], around: dict[str, int]):
+        self.counts, self.looked_at, self.unsure = counts, looked_at, set()
+        self.heap = nsmallest(RANKED, ((-n, pair) for pair, n in counts.items()))
+        self.last = self.heap[-1] if len(self.heap) == RANKED else (0, "")  # pairs left out rank after this one
+        self.changed: dict[str, int] = {}
+        self.before: dict[str, dict[str, int]] = defaultdict(dict)
+        self.after: dict[str, dict[str, int]] = defaultdict(dict)
+        for triple, n in around.items():
+            self.before[triple[1:]][triple[0]] = n
+            self.after[triple[:2]][triple[2]] = n
+        self.ending: dict[str, list[str]] = defaultdict(list)  # symbols merged in this batch, by their right parts
+        self.starting: dict[str, list[str]] = defaultdict(list)  # and by their left parts
+
+    def count(self, pair: str) -> int:
+        return self.changed.get(pair, self.counts.get(pair, 0))
+
+    def best(self) -> tuple[str, int] | None:
+        """The most frequent pair, ties to smaller symbols; None if that is not certain."""
+        while self.heap and self.count(self.heap[0][1]) != -self.heap[0][0]:
+            heappop(self.heap)
+        if not self.heap:
+            return None
+        n, pair = self.heap[0]
+        return None if pair in self.unsure or (n, pair) > self.last else (pair, -n)
+
+    def _change(self, pair: str, by: int, sure: bool) -> None:
+        if not sure:
+            self.unsure.add(pair)
+        if sure or by > 0:  # a loss that is not certain leaves the bound as it is
+            self.changed[pair] = self.count(pair) + by
+            if self.changed[pair] > 0:
+                heappush(self.heap, (-self.changed[pair], pair))
+
+    def merge(self, pair: str, symbol: str) -> bool:
+        """Bring all counts up to what is known once ``pair`` has become ``symbol``; False if too little is known."""
+        a, b = pair
+        self.changed[pair] = 0
+        if pair not in self.looked_at or a == b and a in self.before[pair]:  # runs of a symbol pair up in one of two ways
+            return False
+        # The symbols around are those before the batch: of the pair itself if no merge has taken one of its parts,
+        # and of a neighbour if it was not one either. Otherwise their counts are upper bounds.
+        clean = a not in self.ending and b not in self.starting
+        for x, n in self.before[pair].items():
+            sure = clean and x != b and x not in self.ending
+            self._change(x + a, -n, sure)
+            self._change(x + symbol, n, sure)
+            for merged in self.ending.get(x, ()):
+                self._change(merged + a, -n, False)
+                self._change(merged + symbol, n, False)
+            if x == b:
+                self._change(symbol + symbol, n, False)
+        for y, n in self.after[pair].items():
+            sure = clean and y != a and y not in self.starting
+            self._change(b + y, -n, sure)
+            self._change(symbol + y, n, sure)
+            for merged in self.starting.get(y, ()):
+                self._change(b + merged, -n, False)
+                self._change(symbol + merged, n, False)
+            if y == a:
+                self._change(symbol + symbol, n, False)
+        self.ending[b].append(symbol)
+        self.starting[a].append(symbol)
+        return True
+
+    def likely(self, n: int) -> list[str]:
+        """The pairs with the largest counts or bounds."""
+        out: dict[str, None] = {}
+        while self.heap and len(out) < n:
+            count, pair = heappop(self.heap)
+            if self.count(pair) == -count:
+                out[pair] = None
+        return list(out)
 
 
 def _round_session(spark: SparkSession, tasks: int) -> SparkSession:
@@ -182,56 +191,65 @@ def train(
 ) -> Vocabulary:
     """Merge the most frequent pair (ties: smaller ids) until the vocabulary is full or pairs are rare.
 
-    ``log`` collects the batch size of every round. With it or ``one_by_one``, training is by rounds at any size.
+    ``log`` collects the batch size of every round; ``one_by_one`` makes each a batch of one.
     """
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size is at most {MAX_VOCAB}")
     spark = lines.sparkSession
-    counts = word_counts(lines, line).select(_as_symbols(F.col("w")).alias("w"), "cnt")
-    counted, n_words = stage_counted(counts.where(F.length("w") >= 2), "bpe-words")
+    counted, n_words = stage_counted(
+        word_counts(lines, line).select(_as_symbols(F.col("w")).alias("w"), "cnt").where(F.length("w") >= 2), "bpe-words")
+    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
+    rounds = _round_session(spark, tasks)
+    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
+    counts = {r["pair"]: r["cnt"] for r in pair_counts(words).collect()}  # 65,536 at most
     pieces = Vocabulary().pieces
     known = {p: i for i, p in enumerate(pieces)}
     merges: list[tuple[str, str]] = []
 
-    def parts(pair: str) -> tuple[str, str]:
-        return pieces[_id(pair[0])], pieces[_id(pair[1])]
-
-    def merge(pair: str) -> str:
-        left, right = parts(pair)
+    def merge(pair: str) -> tuple[str, bool]:
+        """The pair's symbol, and whether it is new."""
+        left, right = pieces[_id(pair[0])], pieces[_id(pair[1])]
         merges.append((left, right))
-        if left + right not in known:
+        new = left + right not in known
+        if new:
             known[left + right] = len(pieces)
             pieces.append(left + right)
-        return _symbol(known[left + right])
+        return _symbol(known[left + right]), new
 
-    size = counted.agg(F.sum(F.length("w")).alias("all"), F.max(F.length("w")).alias("longest")).first()
-    if log is None and not one_by_one and (size["all"] or 0) <= DRIVER_SYMBOLS and (size["longest"] or 0) <= DRIVER_WORD:
-        _merge_here([(r["w"], r["cnt"]) for r in counted.collect()], min_frequency, lambda: len(pieces) >= vocab_size, merge)
-        return Vocabulary(merges)
-    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
-    rounds = _round_session(spark, tasks)
-    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
+    looked_at, around = [], {}
     held: list[DataFrame] = []
-    since_stage = 0
-
+    n_rounds = 0
     while len(pieces) < vocab_size:
-        ranked = [r for r in _ranked_pairs(words).collect() if r["cnt"] >= min_frequency]
-        batch = _safe_batch(ranked, lambda p: "".join(parts(p)), known, vocab_size - len(pieces), one_by_one)
+        ranking, batch = _Ranking(counts, set(looked_at), around), []
+        while len(pieces) < vocab_size and not (one_by_one and batch):
+            best = ranking.best()
+            if best is None or best[1] < min_frequency:
+                break
+            symbol, new = merge(best[0])
+            batch.append((best[0], symbol))
+            if not ranking.merge(best[0], symbol) or not new:  # a piece known before adds to counts already there
+                break
         if not batch:
             break
-        applied = []
-        for pair in batch:
-            applied.append((pair, merge(pair)))
         if log is not None:
             log.append(len(batch))
-        since_stage += len(batch)
+        n_rounds += 1
+        applied = _apply(words, batch).persist()
+        looked_at = ranking.likely(AROUND) or [batch[0][0]]
+        changed = _changes(applied, looked_at).collect()
+        around = {r["g"]: r["n"] for r in changed if len(r["g"]) == 3}
+        for r in changed:
+            if len(r["g"]) == 2:
+                counts[r["g"]] = counts.get(r["g"], 0) + r["n"]
+                if not counts[r["g"]]:
+                    del counts[r["g"]]
+        words = applied.select(F.col("v").alias("w"), "cnt")
+        held.append(applied)
         while len(held) > 1:
             held.pop(0).unpersist()
-        if since_stage >= RESTAGE:
-            words, since_stage = stage(_apply(words, applied), "bpe-words"), 0
-        else:
-            words = _apply(words, applied).persist()
-            held.append(words)
+        if n_rounds % RESTAGE == 0:
+            words = stage(words, "bpe-words", reader=rounds)
+            held.pop().unpersist()
     for df in held:
         df.unpersist()
     return Vocabulary(merges)
