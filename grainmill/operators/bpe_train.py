@@ -70,12 +70,19 @@ def _grams(w: str, n: int) -> str:
     return f"regexp_extract_all({w}, '(?s)(?=({'.' * n}))', 1)"
 
 
+def _may_hold(w: str, pairs: list[str]) -> str:
+    """A cheap condition true of every word that holds one of the pairs."""
+    either = f"[{''.join(sorted({p[0] for p in pairs}))}][{''.join(sorted({p[1] for p in pairs}))}]"
+    return f"exists(array({w}), x -> x rlike '{either}')"  # in a lambda the pattern is no part of the generated code
+
+
 def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """``(w, v, cnt)``: words before and after the merges, those of one symbol left out."""
     # One expression whatever the batch size, so the generated code is compiled once.
     steps = ", ".join(f"struct('{pair}' as p, '{symbol}' as s)" for pair, symbol in merges)
-    after = f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s))" if merges else "w"
-    return words.where("length(w) >= 2").selectExpr("w", f"{after} as v", "cnt")
+    after = f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s))"
+    changed = f"if({_may_hold('w', [pair for pair, _ in merges])}, {after}, w)"
+    return words.where("length(w) >= 2").selectExpr("w", f"{changed} as v", "cnt")
 
 
 def _changes(applied: DataFrame, around: list[str]) -> DataFrame:
@@ -90,7 +97,7 @@ def _changes(applied: DataFrame, around: list[str]) -> DataFrame:
     return (
         applied.selectExpr(
             f"explode(concat(if(v = w, {none}, concat({counted(_grams('w', 2), '-cnt')}, {counted(_grams('v', 2), 'cnt')})), "
-            f"{counted(near, 'cnt')})) as s")
+            f"if({_may_hold('v', around)}, {counted(near, 'cnt')}, {none}))) as s")
         .groupBy("s.g").agg(F.sum("s.n").alias("n")).where("n <> 0")
     )
 
@@ -236,13 +243,15 @@ def train(
         n_rounds += 1
         applied = _apply(words, batch).persist()
         looked_at = ranking.likely(AROUND) or [batch[0][0]]
-        changed = _changes(applied, looked_at).collect()
-        around = {r["g"]: r["n"] for r in changed if len(r["g"]) == 3}
-        for r in changed:
-            if len(r["g"]) == 2:
-                counts[r["g"]] = counts.get(r["g"], 0) + r["n"]
-                if not counts[r["g"]]:
-                    del counts[r["g"]]
+        found = _changes(applied, looked_at).toArrow()
+        around = {}
+        for g, n in zip(found["g"].to_pylist(), found["n"].to_pylist()):
+            if len(g) == 3:
+                around[g] = n
+            elif counts.get(g, 0) + n:
+                counts[g] = counts.get(g, 0) + n
+            else:
+                del counts[g]
         words = applied.select(F.col("v").alias("w"), "cnt")
         held.append(applied)
         while len(held) > 1:

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from grainmill.constants import SPECIAL_TOKENS
 from grainmill.functions.text import pretokens, pretokens_atomic
 from grainmill.operators.vocabulary import BYTE_IDS, N_SPECIAL, Vocabulary
+from grainmill.session import stage
 
 IDS = T.ArrayType(T.IntegerType())
+FREQUENT = 10_000  # pre-tokens of a dictionary that are broadcast, at most
 CACHE_PIECES = 1_000_000  # distinct pre-tokens a task remembers before it starts over
 
 
@@ -161,9 +163,24 @@ def token_list(ids: Column, vocab: Vocabulary) -> Column:
     return F.transform(ids, lambda i: F.get(table, i))
 
 
-def word_token_counts(words: DataFrame, codec: BpeCodec) -> DataFrame:
-    """``(w, n_tokens)`` of distinct pre-tokens: enough when only token counts are wanted."""
-    return words.select("w", F.size(codec.encode_pieces(F.array("w"))).alias("n_tokens"))
+def encode_by_dictionary(docs: DataFrame, codec: BpeCodec, keys: list[str], text: str = "text") -> DataFrame:
+    """``(*keys, ids)``: every distinct pre-token is encoded once for all documents and joined back to its places.
+
+    The same ids as :meth:`BpeCodec.encode`, which keeps a dictionary for each task instead. ``keys`` tell documents
+    apart. Of the dictionary the part that makes up most places, at most FREQUENT pre-tokens, is broadcast; no other
+    pre-token fills more than a FREQUENT-th of the shuffled join.
+    """
+    placed = docs.select(*keys, F.posexplode_outer(codec.pieces(F.col(text))).alias("pos", "w"))
+    counted = placed.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    dictionary = stage(counted.select("w", "n", codec.encode_pieces(F.array("w")).alias("ids")), "piece-ids")
+    total = dictionary.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * FREQUENT > total
+    known = placed.join(F.broadcast(dictionary.where(often).select("w", "ids")), "w", "left")
+    rest = known.where("ids is null").drop("ids").join(dictionary.where(~often).select("w", "ids"), "w", "left")
+    every = known.where("ids is not null").unionByName(rest)
+    parts = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
+    return every.groupBy(*keys).agg(parts.alias("parts")).select(
+        *keys, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def audit(docs: DataFrame, codec) -> DataFrame:

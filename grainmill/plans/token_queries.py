@@ -8,14 +8,14 @@ from grainmill.constants import VOCAB_SIZE, WINDOW
 from grainmill.functions.arrays import append_token, cut_at_stop, last_n
 from grainmill.functions.text import one_line
 from grainmill.operators import bpe_train, codec, epochs, mixture, packing, recipes
-from grainmill.operators.vocabulary import Vocabulary
+from grainmill.operators.vocabulary import N_SPECIAL, Vocabulary
 from grainmill.plans.build import epoch_plan, training_windows
 from grainmill.plans.catalog import BASE, BYTE_ID, PLACED, RAW, bytes_of, kept_sql, query, rounded
 from grainmill.plans.corpus_queries import WHOLE, build
 from grainmill.session import scratch_path, stage
 from grainmill.sources import tables
 from grainmill.sources.token_shards import read_shards, write_shards
-from grainmill.sources.vocab_files import load_vocabulary, merge_table, save_vocabulary, vocab_table
+from grainmill.sources.vocab_files import learn_once, load_vocabulary, merge_table, save_vocabulary, vocab_table
 
 WORLD = 3
 
@@ -344,10 +344,11 @@ def pair_counts(spark, d):
     return bpe_train.pair_counts(words)
 
 
-def trained(spark: SparkSession, d: str) -> Vocabulary:
-    """The vocabulary learnt from all documents as they are now."""
-    lines = tables.table(spark, d, "documents").select(one_line(F.col("text")).alias("line"))
-    return bpe_train.train(lines, VOCAB_SIZE)
+def trained(spark: SparkSession, d: str, size: int = VOCAB_SIZE) -> Vocabulary:
+    """The vocabulary learnt from all documents, once for each version of their table."""
+    docs = tables.table(spark, d, "documents")
+    lines = docs.select(one_line(F.col("text")).alias("line"))
+    return learn_once(docs, str(size), lambda: bpe_train.train(lines, size))
 
 
 @query("train_bpe")
@@ -417,3 +418,148 @@ def build_report_bpe(spark, d):
 def tokenizer_audit_bpe(spark, d):
     c = codec.BpeCodec(spark, trained(spark, d), "atomic")
     return codec.audit(recipes.prepare(tables.raw_corpus(spark, d), "base"), c)
+
+
+# The same operators with a vocabulary of SMALL entries, learnt from the same documents: few enough merges for a loop in SQL.
+
+SMALL = 300
+
+
+def _symbols_sql(w: str) -> str:
+    return f"array_to_string(list_transform({bytes_of(w)}, lambda b: chr(256 + {BYTE_ID})), '')"
+
+
+def _spelled_sql(piece: str) -> str:
+    """A piece in stand-in characters; byte pieces are numbered in the order of these."""
+    stand_in = """case when c < 355 then c - 228 when c < 367 then c - 194 else c - 193 end"""
+    return f"""array_to_string(list_transform(list_transform(string_split({piece}, ''), lambda x: unicode(x)),
+      lambda c: chr(cast({stand_in} as int))), '')"""
+
+
+# Symbols are characters, symbol id + 256. A step merges the most frequent pair in all distinct pre-tokens.
+LEARNT = f"""with recursive lines as (
+  select doc_id, source, text,
+    regexp_replace(replace(text, chr(10), ' ') || chr(10), '({RE2_SPACE})({RE2_SPACE}[^\\s])', '\\1' || chr(57344) || '\\2', 'g') as line
+  from documents),
+counted as (
+  select w, count(*) as cnt
+  from (select unnest(regexp_extract_all(part, '{RE2_WORD}')) as w
+    from (select unnest(string_split(line, chr(57344))) as part from lines))
+  group by w),
+learning as (
+  select 0 as step, '' as pair, '' as symbol, '' as a, '' as b,
+    list_transform(range(256), lambda i: chr(cast(261 + i as int))) as pieces,
+    (select list({{'w': s, 'n': cnt}}) from (select {_symbols_sql('w')} as s, cnt from counted) where length(s) >= 2) as words
+  union all
+  select step + 1, pair, chr(cast(260 + place as int)), a, b, if(place > len(pieces), list_append(pieces, a || b), pieces),
+    list_transform(words, lambda x: {{'w': replace(x.w, pair, chr(cast(260 + place as int))), 'n': x.n}})
+  from (
+    select *, coalesce(nullif(list_position(pieces, a || b), 0), len(pieces) + 1) as place
+    from (
+      select *, pieces[unicode(pair[1]) - 260] as a, pieces[unicode(pair[2]) - 260] as b
+      from (
+        select step, pieces, words, (
+          select p from (
+            select substr(x.w, i, 2) as p, x.n as n from (
+              select x, unnest(range(1, length(x.w))) as i from (select unnest(l.words) as x)))
+          group by p having sum(n) >= 2 order by sum(n) desc, p limit 1) as pair
+        from learning l where len(pieces) < {SMALL - N_SPECIAL}))
+    where pair is not null)
+),
+merges as (select list({{'p': pair, 's': symbol}} order by step) as steps from learning where step > 0),
+pieces as (select pieces from learning order by step desc limit 1)"""
+
+# Every pre-token of every document, without the newline a line ends in, with its symbols after all merges.
+SMALL_ENCODED = f"""{LEARNT},
+cut as (
+  select doc_id, source, text,
+    regexp_replace(replace(text, chr(10), ' '), '({RE2_SPACE})({RE2_SPACE}[^\\s])', '\\1' || chr(57344) || '\\2', 'g') as line
+  from documents),
+parts as (select doc_id, unnest(string_split(line, chr(57344))) as part, generate_subscripts(string_split(line, chr(57344)), 1) as i from cut),
+places as (
+  select doc_id, i, unnest(ws) as w, generate_subscripts(ws, 1) as k
+  from (select doc_id, i, regexp_extract_all(part, '{RE2_WORD}') as ws from parts)),
+coded as (
+  select w, list_reduce(steps, lambda acc, x: replace(acc, x.p, x.s), {_symbols_sql('w')}) as s
+  from (select distinct w from places), merges),
+encoded as (select doc_id, string_agg(s, '' order by i, k) as s from places join coded using (w) group by doc_id),
+docs as (select d.doc_id, d.source, replace(d.text, chr(10), ' ') as text, coalesce(e.s, '') as s
+  from documents d left join encoded e using (doc_id) where d.text is not null)"""
+
+SMALL_IDS = f"""{SMALL_ENCODED}
+select doc_id, cast(length(s) as int) as n_tokens,
+  md5(array_to_string(list_transform(string_split(s, ''), lambda c: if(c = '', '', cast(unicode(c) - 256 as varchar))), ',')) as digest
+from docs"""
+
+
+def small_codec(spark: SparkSession, d: str) -> codec.BpeCodec:
+    return codec.BpeCodec(spark, trained(spark, d, SMALL))
+
+
+def _small_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", "source", one_line(F.col("text")).alias("text"))
+
+
+@query(
+    "bpe_small_merges",
+    f"""{LEARNT} select cast(step - 1 as int) as rank, {_spelled_sql('a')} as "left", {_spelled_sql('b')} as "right"
+        from learning where step > 0""",
+)
+def bpe_small_merges(spark, d):
+    path = scratch_path(spark, "vocabulary")
+    save_vocabulary(spark, trained(spark, d, SMALL), path)
+    return merge_table(spark, path)
+
+
+@query("bpe_small_ids", SMALL_IDS)
+def bpe_small_ids(spark, d):
+    ids = _small_docs(spark, d).select("doc_id", small_codec(spark, d).encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
+
+
+@query("bpe_small_ids_joined", SMALL_IDS)
+def bpe_small_ids_joined(spark, d):
+    """Encoded by a dictionary of all distinct pre-tokens, joined back."""
+    ids = codec.encode_by_dictionary(_small_docs(spark, d), small_codec(spark, d), ["doc_id"])
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
+
+
+@query(
+    "bpe_small_tokens",
+    f"""{SMALL_ENCODED}
+        select doc_id, md5(array_to_string(list_transform(string_split(s, ''),
+          lambda y: if(y = '', '', {_spelled_sql('p.pieces[unicode(y) - 260]')})), ' ')) as tokens
+        from docs, pieces p""",
+)
+def bpe_small_tokens(spark, d):
+    """The tokens of each text, spelled out."""
+    c = small_codec(spark, d)
+    pieces = codec.token_list(c.encode(F.col("text")), c.vocab)
+    return _small_docs(spark, d).select("doc_id", F.md5(F.array_join(pieces, " ")).alias("tokens"))
+
+
+@query(
+    "bpe_small_vocabulary",
+    f"""{SMALL_ENCODED},
+        used as (select c, count(*) as uses from (select unnest(string_split(s, '')) as c from docs) where c <> '' group by c)
+        select cast(i + 4 as int) as id, {_spelled_sql('pieces[i]')} as piece, coalesce(uses, 0) as uses
+        from (select pieces, unnest(range(1, len(pieces) + 1)) as i from pieces) left join used on unicode(c) = i + 260""",
+)
+def bpe_small_vocabulary(spark, d):
+    """The saved vocabulary, read back, with how often each merged or byte token is used."""
+    path = scratch_path(spark, "vocabulary")
+    save_vocabulary(spark, trained(spark, d, SMALL), path)
+    c = codec.BpeCodec(spark, load_vocabulary(spark, path))
+    used = _small_docs(spark, d).select(F.explode(c.encode(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
+    table = vocab_table(spark, path).where(F.col("id") >= N_SPECIAL)
+    return table.join(used, "id", "left").select("id", "piece", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+@query(
+    "bpe_small_audit",
+    f"""{SMALL_ENCODED} select source, cast(sum(length(s)) as bigint) as tokens, cast(sum(length(text)) as bigint) as chars,
+          round(sum(length(text)) / nullif(sum(length(s)), 0) + 1e-9, 6) as chars_per_token from docs group by source""",
+)
+def bpe_small_audit(spark, d):
+    return codec.audit(_small_docs(spark, d), small_codec(spark, d)).withColumn("chars_per_token", rounded("chars_per_token"))

@@ -8,7 +8,7 @@ from grainmill.constants import SPECIAL_TOKENS
 from grainmill.functions.text import one_line
 from grainmill.operators import bpe_train, codec
 from grainmill.operators.vocabulary import BYTE_IDS, Vocabulary
-from grainmill.sources.vocab_files import load_vocabulary, merge_table, save_vocabulary, vocab_table
+from grainmill.sources.vocab_files import learn_once, load_vocabulary, merge_table, save_vocabulary, vocab_table
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -145,12 +145,31 @@ def test_word_cache_overflow_changes_nothing(spark, learnt, documents, monkeypat
     assert got == want
 
 
-def test_token_counts_of_words_add_up(spark, learnt, documents):
+@pytest.mark.parametrize("frequent", [10_000, 3])
+def test_dictionary_encoding_gives_the_same_ids(spark, learnt, documents, monkeypatch, frequent):
+    monkeypatch.setattr(codec, "FREQUENT", frequent)
     c = codec.BpeCodec(spark, learnt[2])
-    words = documents[0].select(F.explode(c.pieces(F.col("line"))).alias("w")).groupBy("w").count()
-    by_word = words.join(codec.word_token_counts(words, c), "w").agg(F.sum(F.col("count") * F.col("n_tokens"))).first()[0]
-    by_doc = documents[0].agg(F.sum(F.size(c.encode(F.col("line"))))).first()[0]
-    assert by_word == by_doc
+    docs = documents[0].unionByName(spark.createDataFrame([(-1, ""), (-2, "the " * 5000)], "doc_id bigint, line string"))
+    got = codec.encode_by_dictionary(docs, c, ["doc_id"], "line").collect()
+    want = docs.select("doc_id", c.encode(F.col("line")).alias("ids")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {r["doc_id"]: r["ids"] for r in want} and len(got) == len(want)
+
+
+def test_vocabulary_is_learnt_once_for_a_version_of_a_table(spark, tmp_path):
+    calls = []
+
+    def learn():
+        calls.append(1)
+        return Vocabulary([("a", "b"), ("c", "d")])
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).write.parquet(path)
+    for _ in range(2):
+        assert learn_once(spark.read.parquet(path), "x", learn).merges == [("a", "b"), ("c", "d")]
+    assert len(calls) == 1
+    spark.range(6).write.mode("overwrite").parquet(path)
+    learn_once(spark.read.parquet(path), "x", learn)
+    assert len(calls) == 2
 
 
 def test_saved_files_load_back(spark, learnt, tmp_path):
@@ -158,7 +177,8 @@ def test_saved_files_load_back(spark, learnt, tmp_path):
     save_vocabulary(spark, vocab, str(tmp_path))
     assert load_vocabulary(spark, str(tmp_path)).merges == vocab.merges
     assert {(r["piece"], r["id"]) for r in vocab_table(spark, str(tmp_path)).collect()} == set(vocab.ids.items())
-    assert merge_table(spark, str(tmp_path)).count() == len(vocab.merges)
+    ranked = merge_table(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [tuple(r) for r in ranked] == [(i, a, b) for i, (a, b) in enumerate(vocab.merges)]
     assert spark.read.parquet(str(tmp_path / "vocab.parquet")).count() == len(vocab.pieces)
 
 
