@@ -1,6 +1,6 @@
 """Candidate scores ``(grp, item, score)``: top-k, softmax and draws, per group.
 
-A group may hold most of the rows, so rows never meet by group alone. Maxima and sums are aggregates that combine
+A group may hold most of the rows, so rows never meet by group alone. Sums are aggregates that combine
 before the shuffle; a threshold comes from the best rows of each (group, salt); and what is found for a group goes back
 to its rows by broadcast if there are few groups, which is counted, or else by a join on (group, salt).
 """
@@ -13,6 +13,7 @@ from grainmill.constants import TEMPERATURE, TOP_K
 from grainmill.session import stage_counted
 
 SALTS = 64
+BAND = 64  # exp of values within a band stays far from overflow
 BROADCAST_GROUPS = 100_000  # groups whose two or three numbers may be broadcast, a few MB
 
 
@@ -45,12 +46,25 @@ def top_k(df: DataFrame, k: int = TOP_K) -> DataFrame:
     return _back(df, kth_score(df, k)).where(F.col("score") >= F.col("kth")).drop("kth")
 
 
+def log_sum_exp(df: DataFrame, value: Column) -> DataFrame:
+    """``(grp, top, z)``: sum of exp(value) = z * exp(BAND * top), in one pass.
+
+    Values are summed in bands of BAND, each relative to its band's lower end, so no sum overflows or vanishes beside
+    itself. Bands of a group add up like any partial sums; a handful of them is then put on the scale of the highest.
+    """
+    band = F.floor(value / BAND)
+    per = df.select("grp", band.alias("band"), F.exp(value - band * BAND).alias("e")).groupBy("grp", "band").agg(F.sum("e").alias("e"))
+    bands = F.array_agg(F.struct("band", "e"))
+    found = per.groupBy("grp").agg(F.max("band").alias("top"), bands.alias("bands"))
+    scaled = F.aggregate("bands", F.lit(0.0), lambda acc, b: acc + b["e"] * F.exp((b["band"] - F.col("top")) * float(BAND)))
+    return found.select("grp", "top", scaled.alias("z"))
+
+
 def softmax(df: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Adds ``p``, the softmax of score / temperature within the group."""
-    topped = _back(df, df.groupBy("grp").agg(F.max("score").alias("top")))
-    weight = F.exp((F.col("score") - F.col("top")) / temperature)
-    norm = topped.groupBy("grp").agg(F.sum(weight).alias("z"))
-    return _back(topped, norm).withColumn("p", weight / F.col("z")).drop("top", "z")
+    """Adds ``p``, the softmax of score / temperature within the group: one aggregate and one join back."""
+    value = F.col("score") / temperature
+    normed = _back(df, log_sum_exp(df, value))
+    return normed.withColumn("p", F.exp(value - F.col("top") * BAND) / F.col("z")).drop("top", "z")
 
 
 def _uniform(seed: int, hash_name: str) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.constants import BATCH_SIZE, EPOCHS, GRAD_ACCUM
 from grainmill.operators.ordering import prefix_sums
 
+ROUNDS = 24  # of the keyed bijection
+
 
 def _shuffle_key(hash_name: str, seed: int) -> tuple[Column, Column]:
     """Key deciding a window's place in its epoch, and its leading 16 bits as the bucket."""
@@ -36,6 +40,33 @@ def shuffle_epochs(
     ).select("epoch", "window_id", "idx")
 
 
+def _keyed(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def place(window_id: Column, n: int, seed: int, epoch: int, rounds: int = ROUNDS) -> Column:
+    """The window's place in its epoch, by arithmetic: a bijection of [0, n) keyed by seed and epoch.
+
+    Swap or not: each round pairs x with (k - x) mod n, k from the key, and a hash of the larger of the two decides
+    whether they change places. Every round is its own inverse, so the whole is a permutation for any n.
+    """
+    keys = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(_keyed(f"{seed}-{epoch}-{r}") % n).cast("bigint").alias("k")) for r in range(rounds)])
+
+    def step(x: Column, key: Column) -> Column:
+        other = (key["k"] - x + n) % n
+        text = F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), key["r"].cast("string"), F.greatest(x, other).cast("string"))
+        return F.when(F.substring(F.md5(text), 32, 1).isin(*"13579bdf"), other).otherwise(x)
+
+    return F.aggregate(keys, window_id.cast("bigint"), step)
+
+
+def permuted_epochs(window_ids: DataFrame, n_windows: int, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+    """``(epoch, window_id, idx)`` like :func:`shuffle_epochs`, for ids 0 to ``n_windows`` - 1: no sort and no shuffle."""
+    n = max(1, n_windows)
+    indexed = F.array(*[F.struct(F.lit(e).alias("epoch"), place(F.col("window_id"), n, seed, e).alias("idx")) for e in range(epochs)])
+    return window_ids.select("window_id", F.explode(indexed).alias("e")).select("e.epoch", "window_id", "e.idx")
+
+
 def shard_ranks(indexed: DataFrame, world: int, n_windows: int) -> DataFrame:
     """Give every rank the same number of windows: the list is repeated from its start until it divides,
     and rank ``r`` takes every ``world``-th entry. Adds ``rank`` and ``slot`` (place within the rank)."""

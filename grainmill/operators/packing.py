@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.constants import WINDOW
 from grainmill.functions.arrays import shift_pair
+from grainmill.session import scratch_path
 
 
 def window_count(total: Column, window: int = WINDOW) -> Column:
@@ -67,6 +68,19 @@ def pack(docs: DataFrame, window: int = WINDOW, doc: str = "doc_no") -> DataFram
     ).where(F.size("ids") == window + 1)
 
 
+def bucketed(windows: DataFrame) -> DataFrame:
+    """The windows as a table in the shared folder, bucketed by id, so that joins on it leave them where they are."""
+    spark = windows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "windows")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    (
+        windows.repartition(n, "window_id").write.bucketBy(n, "window_id").sortBy("window_id")
+        .option("path", path).saveAsTable(name, format="parquet")
+    )
+    return spark.table(name)
+
+
 def training_pairs(windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds inputs ``x`` and next-token targets ``y``."""
     x, y = shift_pair(F.col("ids"), window)

@@ -115,13 +115,62 @@ def progress_rows(log: DataFrame, every: int = LOG_EVERY, accum: int = GRAD_ACCU
     )
 
 
-def last_attempts(log: DataFrame) -> DataFrame:
-    """The log with each batch once: of batches written again after a resume, the one with the latest ``ts``."""
+def last_attempts(log: DataFrame, written: str = "ts") -> DataFrame:
+    """The log with each batch once: of batches written again after a resume, the one written last."""
     columns = [c for c in log.columns if c not in ("run", "epoch", "batch")]
-    latest = F.max_by(F.struct(*columns), F.col("ts")).alias("last")
+    latest = F.max_by(F.struct(*columns), F.col(written)).alias("last")
     return log.groupBy("run", "epoch", "batch").agg(latest).select("run", "epoch", "batch", "last.*").select(*log.columns)
 
 
+def attempts(log: DataFrame) -> DataFrame:
+    """The log with ``attempt``, from 0 in each run, and ``resumed``, whether a line begins one.
+
+    ``log`` has ``line``, the place of each line in its run's log, without gaps. A run that resumes writes an epoch and
+    batch again that it has written before, so an attempt begins where these do not ascend from the line before.
+    """
+    before = log.select(
+        "run", (F.col("line") + 1).alias("line"), F.struct("epoch", "batch").alias("__before"))
+    flagged = log.join(before, ["run", "line"], "left").withColumn(
+        "resumed", F.coalesce(F.struct("epoch", "batch") <= F.col("__before"), F.lit(False))).drop("__before")
+    began = F.col("resumed").cast("bigint")
+    return prefix_sums(stage(flagged, "attempts"), ["run"], ["line"], {"attempt": began}).withColumn(
+        "attempt", F.col("attempt") + began)
+
+
+def resumed_steps(
+    log: DataFrame, epoch_len: int, every: int = CHECKPOINT_EVERY, accum: int = GRAD_ACCUM
+) -> DataFrame:
+    """:func:`attempts` plus ``stepped`` and ``step``, the optimizer step after each line.
+
+    An attempt goes on from the last checkpoint written before it began: a periodic one after every ``every`` steps of
+    the run's count, or one at the end of an epoch, its ``epoch_len``-th batch; from 0 if there is none. Steps are
+    counted within attempts; where each starts then follows from the attempts before it, one row for each attempt.
+    """
+    tried = attempts(log)
+    took = _takes_step(accum)
+    counted = stage(
+        prefix_sums(tried, ["run", "attempt"], ["line"], {"local": took.cast("bigint")})
+        .withColumn("stepped", took).withColumn("local", F.col("local") + took.cast("bigint")), "attempt-steps")
+    per = counted.groupBy("run", "attempt").agg(
+        F.max("local").alias("steps"), F.max(F.when(F.col("batch") == epoch_len - 1, F.col("local"))).alias("ended"))
+    # A few rows for each run: how often it was resumed.
+    tries = per.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "steps", "ended"))).alias("tries"))
+
+    def follow(state: Column, a: Column) -> Column:
+        start = state["next"]
+        periodic = F.expr(f"{every}L") * F.floor((start + a["steps"]) / F.lit(every))
+        reached = F.greatest(F.when(periodic > start, periodic), start + a["ended"], start)
+        return F.struct(
+            F.array_append(state["starts"], F.struct(a["attempt"].alias("attempt"), start.alias("start"))).alias("starts"),
+            reached.cast("bigint").alias("next"))
+
+    zero = F.struct(
+        F.array().cast("array<struct<attempt:bigint,start:bigint>>").alias("starts"), F.lit(0).cast("bigint").alias("next"))
+    starts = tries.select("run", F.explode(F.aggregate("tries", zero, follow, lambda s: s["starts"])).alias("s")).select("run", "s.*")
+    return counted.join(starts, ["run", "attempt"]).select(
+        *tried.columns, "stepped", (F.col("start") + F.col("local")).alias("step"))
+
+
 def checkpoints(
     log: DataFrame, recipe: str = "base", every: int = CHECKPOINT_EVERY, accum: int = GRAD_ACCUM
 ) -> DataFrame:

@@ -270,6 +270,65 @@ def latest_checkpoint(spark, d):
     return trainlog.latest_checkpoint(_manifest(spark, d, "base")).withColumn("loss", rounded("loss"))
 
 
+# Each run is stopped after every 700 lines, in its third epoch of 256 batches, and resumed with that epoch.
+RESUMED = """numbered as (
+  select user_id % 2 as run, value as loss, event_type = 'error' as skipped, ts,
+    row_number() over (partition by user_id % 2 order by event_id) - 1 as line
+  from events
+),
+resumed as (
+  select run, line, line // 700 as attempt, 2 * (line // 700) + line % 700 // 256 as epoch, line % 700 % 256 as batch, loss, skipped, ts
+  from numbered
+)"""
+
+
+def resumed_log(spark, d) -> DataFrame:
+    log = tables.batch_log(spark, d)
+    line = F.col("epoch") * 1024 + F.col("batch")
+    within = F.expr("line % 700")
+    return stage(log.select("run", line.alias("line"), "loss", "skipped", "ts"), "resumed-log").select(
+        "run", "line", F.expr("2 * (line div 700) + line % 700 div 256").alias("epoch"), (within % 256).alias("batch"),
+        "loss", "skipped", "ts")
+
+
+@query(
+    "resumed_steps",
+    f"""with recursive {RESUMED},
+        flagged as (
+          select *, coalesce(row(epoch, batch) <= lag(row(epoch, batch)) over (partition by run order by line), false) as began,
+            (batch + 1) % 16 = 0 and not skipped as stepped from resumed),
+        tried as (select *, sum(began::int) over (partition by run order by line) as try from flagged),
+        counted as (select *, sum(stepped::int) over (partition by run, try order by line) as local from tried),
+        per as (
+          select run, try, max(local) as steps, coalesce(max(local) filter (where batch = 255), 0) as ended
+          from counted group by run, try),
+        starts as (
+          select run, 0::hugeint as try, 0::hugeint as start from per where try = 0
+          union all
+          select s.run, s.try + 1, greatest(s.start + p.ended, s.start,
+            case when (s.start + p.steps) // 50 * 50 > s.start then (s.start + p.steps) // 50 * 50 else s.start end)
+          from starts s join per p on p.run = s.run and p.try = s.try)
+        select run, line, cast(try as bigint) as attempt, epoch, batch, stepped, cast(start + local as bigint) as step
+        from counted join starts using (run, try)""",
+)
+def resumed_steps(spark, d):
+    steps = trainlog.resumed_steps(resumed_log(spark, d), epoch_len=256, every=50)
+    return steps.select("run", "line", "attempt", "epoch", "batch", "stepped", "step")
+
+
+@query(
+    "resumed_summary",
+    f"""with {RESUMED}, log as (
+          select * from resumed qualify row_number() over (partition by run, epoch, batch order by line desc) = 1),
+        {SUMMARY} select run, epoch, seen, counted, round(mean_seen + 1e-9, 6) as mean_seen,
+          round(mean_counted + 1e-9, 6) as mean_counted from summary""",
+)
+def resumed_summary(spark, d):
+    """Epoch means over the last attempt at each batch."""
+    return trainlog.epoch_summary(trainlog.last_attempts(resumed_log(spark, d), "line")).select(
+        "run", "epoch", "seen", "counted", rounded("mean_seen"), rounded("mean_counted"))
+
+
 @query(
     "epoch_series",
     f"""{LOGS}, {SUMMARY} select run, epoch, round(mean_seen + 1e-9, 6) as loss,

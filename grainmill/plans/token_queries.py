@@ -241,6 +241,25 @@ def shuffle_epochs_xxhash(spark, d):
     return epochs.shuffle_epochs(window_ids(spark, d), seed=7)
 
 
+@query(
+    "permuted_epochs",
+    f"""{WINDOW_IDS.split("epochs as (")[0].rstrip().rstrip(",").replace("with ", "with recursive ", 1)},
+        size as (select count(*) as n from ids),
+        moving as (
+          select cast(e as int) as epoch, window_id, window_id as x, 0 as r from ids, (select unnest(range(3)) as e)
+          union all
+          select epoch, window_id, case when substr(md5('7-' || epoch || '-' || r || '-' || greatest(x, other)), 32, 1)
+              in ('1', '3', '5', '7', '9', 'b', 'd', 'f') then other else x end, r + 1
+          from (select *, (cast('0x' || substr(md5('7-' || epoch || '-' || r), 1, 15) as bigint) % n - x + n) % n as other
+            from moving, size where r < {epochs.ROUNDS}))
+        select epoch, window_id, x as idx from moving where r = {epochs.ROUNDS}""",
+)
+def permuted_epochs(spark, d):
+    """Places by a keyed bijection: arithmetic on the id alone."""
+    ids = window_ids(spark, d)
+    return epochs.permuted_epochs(ids, ids.count(), seed=7)
+
+
 @query("rank_shards", f"{WINDOW_IDS} select * from sharded")
 def rank_shards(spark, d):
     return md5_plan(spark, d).select("epoch", "window_id", "idx", "rank", "slot")
@@ -288,15 +307,17 @@ def plan_numbers(spark, d):
           select window_id, md5(string_agg(cast(id as varchar), ',' order by pos)) as digest
           from complete group by window_id),
         shuffled as (
-          select window_id, digest,
-            row_number() over (order by md5('7-0-' || cast(window_id as bigint)), window_id) - 1 as idx from sums)
-        select idx, cast(window_id as bigint) as window_id, digest from shuffled""",
+          select cast(epoch as int) as epoch, window_id, digest, row_number() over (
+            partition by epoch order by md5('7-' || epoch || '-' || cast(window_id as bigint)), window_id) - 1 as idx
+          from sums, (select unnest(range(3)) as epoch))
+        select epoch, idx, cast(window_id as bigint) as window_id, digest from shuffled""",
 )
 def plan_window_lookup(spark, d):
-    packed = stage(windows(spark, d).select("window_id", "ids"), "windows")
-    plan = epochs.shuffle_epochs(packed.select("window_id"), 1, seed=7, hash_name="md5")
+    """Three epochs of windows, which are bucketed once and not shuffled again."""
+    packed = packing.bucketed(windows(spark, d).select("window_id", "ids"))
+    plan = epochs.shuffle_epochs(packed.select("window_id"), 3, seed=7, hash_name="md5")
     found = epochs.lookup_windows(plan, packed)
-    return found.select("idx", "window_id", digest(F.col("ids")).alias("digest"))
+    return found.select("epoch", "idx", "window_id", digest(F.col("ids")).alias("digest"))
 
 
 # Tokenizer
