@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from grainmill.operators.ordering import prefix_sums
 
@@ -80,15 +80,31 @@ def source_totals(kept: DataFrame) -> DataFrame:
     )
 
 
-def build_report(budget: DataFrame, registry: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per weighted source: budget, samples, tokens, status and unfilled budget.
+def observe_sources(kept: DataFrame, sources: list[str]) -> tuple[DataFrame, Observation]:
+    """``kept``, counting samples and tokens of each source whenever it is written."""
+    observed, metrics = Observation(), []
+    for i, name in enumerate(sources):
+        own = F.col("source") == name
+        metrics += [F.count_if(own).alias(f"samples_{i}"), F.sum(F.when(own, F.col("n_tokens")).otherwise(0)).alias(f"tokens_{i}")]
+    return kept.observe(observed, *metrics), observed
+
+
+def observed_totals(spark: SparkSession, sources: list[str], observed: Observation) -> DataFrame:
+    """What :func:`observe_sources` has counted, in the shape of :func:`source_totals`."""
+    seen = observed.get
+    rows = [(name, seen[f"samples_{i}"], seen[f"tokens_{i}"] or 0) for i, name in enumerate(sources)]
+    return spark.createDataFrame(rows, "source string, samples bigint, tokens bigint").where("samples > 0")
+
+
+def build_report(budget: DataFrame, registry: DataFrame, kept: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """One row per weighted source: budget, samples, tokens, status and unfilled budget. ``totals`` are those of ``kept``.
 
     ``status`` is ``skipped`` (no rule), ``reached`` or ``exhausted``.
     """
     marked = budget.join(
         F.broadcast(registry.withColumn("is_known", F.lit(True))), "name", "left"
     )
-    totals = source_totals(kept).withColumnRenamed("source", "name")
+    totals = (source_totals(kept) if totals is None else totals).withColumnRenamed("source", "name")
     tokens = F.coalesce("tokens", F.lit(0))
     return (
         marked.join(totals, "name", "left")

@@ -40,9 +40,11 @@ class TokenBuild:
     kept: DataFrame
     append_end: bool
     codec: object
+    totals: DataFrame | None = None  # samples and tokens of each source, counted while the kept documents were written
 
     def report(self) -> DataFrame:
-        return mixture.build_report(self.budget, self.registry, self.kept)
+        """Budget, samples, tokens and status of each source, without another pass if ``kept`` was staged."""
+        return mixture.build_report(self.budget, self.registry, self.kept, self.totals)
 
     def stream(self) -> DataFrame:
         """Kept documents ``(source, ord, doc_no, start, n_tokens, ids)`` of the global token stream."""
@@ -85,10 +87,13 @@ def token_build(
         n = F.size("ids")
         if narrow:
             docs, n = docs.withColumn("n_tokens", n).drop("ids"), F.col("n_tokens")
-    kept = mixture.budget_prefix(docs, n)
+    kept, totals = mixture.budget_prefix(docs, n), None
     if stage_kept:
-        kept = stage(kept, "kept")
-    return TokenBuild(budget, recipes.registry(spark, recipe), kept, append_end, codec)
+        sources = [r["name"] for r in budget.select("name").distinct().collect()]  # those the recipe weighs
+        counted, observed = mixture.observe_sources(kept, sources)
+        kept = stage(counted, "kept")
+        totals = mixture.observed_totals(spark, sources, observed)
+    return TokenBuild(budget, recipes.registry(spark, recipe), kept, append_end, codec, totals)
 
 
 def training_windows(build: TokenBuild, window: int = WINDOW) -> DataFrame:

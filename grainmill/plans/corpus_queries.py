@@ -382,7 +382,7 @@ def budget_join(spark, d):
           cast(cum_before as bigint) as cum_before, docs_before from kept""",
 )
 def budget_prefix(spark, d):
-    kept = build(spark, d, "base", stage_kept=False).kept
+    kept = build(spark, d, "base", stage_kept=False, narrow=True).kept
     return kept.select("source", "ord", "n_tokens", "cum_before", "docs_before")
 
 
@@ -392,7 +392,7 @@ def budget_prefix(spark, d):
           cast(cum_before as bigint) as cum_before, docs_before from kept""",
 )
 def budget_prefix_cpt(spark, d):
-    kept = build(spark, d, "cpt", stage_kept=False).kept
+    kept = build(spark, d, "cpt", stage_kept=False, narrow=True).kept
     return kept.select("source", "ord", "n_tokens", "cum_before", "docs_before")
 
 
@@ -415,7 +415,7 @@ def cumulative_tokens(spark, d):
         select source, ord, doc_no, cast(start as bigint) as start, n_tokens from placed""",
 )
 def mixture_order(spark, d):
-    placed = mixture.with_positions(build(spark, d, "base").kept)
+    placed = mixture.with_positions(build(spark, d, "base", narrow=True).kept)
     return placed.select("source", "ord", "doc_no", "start", "n_tokens")
 
 
@@ -436,12 +436,12 @@ CPT_KNOWN = "'tinystories', 'wikipedia', 'bookcorpus', 'metamathqa', 'gsm8k'"
 
 @query("build_report", _report_sql("base", BASE_KNOWN))
 def build_report(spark, d):
-    return build(spark, d, "base", stage_kept=False).report()
+    return build(spark, d, "base", narrow=True).report()
 
 
 @query("build_report_cpt", _report_sql("cpt", CPT_KNOWN))
 def build_report_cpt(spark, d):
-    return build(spark, d, "cpt", stage_kept=False).report()
+    return build(spark, d, "cpt", narrow=True).report()
 
 
 @query(

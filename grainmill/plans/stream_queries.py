@@ -14,12 +14,16 @@ from grainmill.sources import tables
 from grainmill.streaming import incremental
 
 
-def _text_stream(spark, d):
-    """The plain-text sources as arriving files, in the common raw shape."""
-    schema = tables.TABLE_SCHEMAS["documents"]
-    docs = tables.scan_stream(spark, d, schema, glob="documents.parquet")
-    named = docs.select(tables.plain_source().alias("name"), F.col("doc_id").alias("ord"), "text")
-    return tables.raw_rows(named, F.col("name"), "text")
+FILES = 6  # that a table arrives in
+PER_BATCH = 2
+
+
+def _raw_stream(spark, d):
+    """All sources as arriving files in the common raw shape, each source in its order."""
+    raw = tables.raw_corpus(spark, d)
+    path = scratch_path(spark, "arriving")
+    tables.write_in_order(raw, ["ord", "source"], path, FILES)
+    return tables.scan_stream(spark, path, raw.schema, files_per_batch=PER_BATCH)
 
 
 @query(
@@ -27,12 +31,12 @@ def _text_stream(spark, d):
     f"""with {RAW}, {BASE}, {ENCODED}
         select source, ord, cast(count(*) + 1 as int) as n_tokens,
           md5(string_agg(cast(id as varchar), ',' order by i) || ',4') as digest
-        from encoded where source in ('tinystories', 'openwebmath') group by source, ord""",
+        from encoded group by source, ord""",
 )
 def stream_prepare(spark, d):
     out = scratch_path(spark, "prepared")
     incremental.write_prepared(
-        _text_stream(spark, d), "base", ByteCodec(), out, scratch_path(spark, "prepared-log")
+        _raw_stream(spark, d), "base", ByteCodec(), out, scratch_path(spark, "prepared-log")
     ).awaitTermination()
     ids = spark.read.schema("source string, ord bigint, ids array<int>").parquet(out)
     return ids.select("source", "ord", F.size("ids").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
@@ -40,18 +44,15 @@ def stream_prepare(spark, d):
 
 @query(
     "stream_budget",
-    f"""with {kept_sql('base', SHARE)} select source, ord, n_tokens from kept
-        where source in ('tinystories', 'openwebmath')""",
+    f"""with {kept_sql('base', SHARE)} select source, ord, n_tokens from kept""",
 )
 def stream_budget(spark, d):
-    budgets = recipe_budgets(spark, d, "base").where("name in ('tinystories', 'openwebmath')")
-    docs = recipes.prepare(_text_stream(spark, d), "base").select(
+    budgets = recipe_budgets(spark, d, "base")
+    docs = recipes.prepare(_raw_stream(spark, d), "base").select(
         "source", "ord", (F.octet_length("text") + 1).cast("bigint").alias("n_tokens")
     )
     out = scratch_path(spark, "budgeted")
-    incremental.write_within_budget(
-        docs, budgets, out, scratch_path(spark, "budget-state"), scratch_path(spark, "budget-log")
-    ).awaitTermination()
+    incremental.fill_budgets(docs, budgets, out, scratch_path(spark, "budget-state"), scratch_path(spark, "budget-log"))
     return incremental.read_batches(spark, out, docs.schema).select("source", "ord", "n_tokens")
 
 
@@ -66,8 +67,9 @@ def stream_budget(spark, d):
        from log group by run, epoch""",
 )
 def stream_loss(spark, d):
-    schema = tables.TABLE_SCHEMAS["events"]
-    log = tables.scan_stream(spark, d, schema, glob="events.parquet").select(
+    events, path = tables.table(spark, d, "events"), scratch_path(spark, "arriving")
+    tables.write_in_order(events, ["event_id"], path, FILES)
+    log = tables.scan_stream(spark, path, events.schema, files_per_batch=PER_BATCH).select(
         (F.col("user_id") % 2).alias("run"), F.expr("event_id div 1024").alias("epoch"),
         F.col("value").alias("loss"), (F.col("event_type") == "error").alias("skipped"),
     )

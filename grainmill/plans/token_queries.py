@@ -432,7 +432,7 @@ def decode_bpe_atomic(spark, d):
 
 @query("build_report_bpe")
 def build_report_bpe(spark, d):
-    return build(spark, d, "base", codec.BpeCodec(spark, trained(spark, d)), stage_kept=False).report()
+    return build(spark, d, "base", codec.BpeCodec(spark, trained(spark, d)), narrow=True).report()
 
 
 @query("tokenizer_audit_bpe")

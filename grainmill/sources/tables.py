@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.operators.recipes import CONFIG_SHIFT
+from grainmill.session import stage
 
 CHOICE_SCHEMA = T.StructType([
     T.StructField("ord", T.LongType()), T.StructField("question", T.StringType()),
@@ -43,6 +44,13 @@ def scan_stream(
     return reader.parquet(path)
 
 
+def write_in_order(df: DataFrame, keys: list[str], path: str, files: int) -> None:
+    """``df`` as files that arrive one after the other, in the order of the keys: an incremental scan reads them so."""
+    ranged = stage(df.repartitionByRange(files, *keys).withColumn("__file", F.spark_partition_id()), "in-order")
+    for i in range(files):
+        ranged.where(F.col("__file") == i).drop("__file").coalesce(1).write.mode("append").parquet(path)
+
+
 def all_splits(splits: dict[str, DataFrame]) -> DataFrame:
     """Every split, in the given order, with ``split`` and ``split_pos``."""
     tagged = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,6 +11,8 @@ from grainmill.functions.arrays import append_token
 from grainmill.operators.mixture import budget_prefix
 from grainmill.operators.recipes import RECIPES, prepare
 
+POLL_SECONDS = 0.2
+
 
 def prepared_ids(raw: DataFrame, recipe: str, codec) -> DataFrame:
     """Formatted, filtered and encoded documents ``(source, ord, ids)``; works on streams and tables."""
@@ -36,15 +40,29 @@ def _read_state(spark: SparkSession, path: str, batch_id: int, schema: str) -> D
     return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id - 1}")
 
 
+def fill_budgets(docs: DataFrame, budgets: DataFrame, out: str, state: str, checkpoint: str) -> bool:
+    """:func:`write_within_budget` until every budget is full or all files that have arrived are read.
+
+    True if every budget is full; the query then ends, and files that have not been read by then are never opened.
+    """
+    full = Event()
+    query = write_within_budget(docs, budgets, out, state, checkpoint, full)
+    while not query.awaitTermination(POLL_SECONDS):
+        if full.is_set():
+            query.stop()
+    return full.is_set()
+
+
 def write_within_budget(
-    docs: DataFrame, budgets: DataFrame, out: str, state: str, checkpoint: str
+    docs: DataFrame, budgets: DataFrame, out: str, state: str, checkpoint: str, full: Event | None = None
 ) -> StreamingQuery:
     """Keep documents ``(source, ord, n_tokens, ...)`` in arrival order until their source's budget is full.
 
     State is two numbers per source, tokens and documents kept so far. A micro-batch is cut with the
     same prefix sum as the batch operator, against what is left of each budget, so a source that fills
     a batch is still spread over tasks. Output and state go to a folder per batch id and are
-    overwritten if the batch is retried, which makes each batch count once.
+    overwritten if the batch is retried, which makes each batch count once. Once all budgets are full, ``full`` is set
+    and what a batch holds is no longer read.
     """
     schema = "source string, tokens bigint, docs bigint"
     names = budgets.select(F.col("name").alias("source"), "budget")
@@ -58,6 +76,11 @@ def write_within_budget(
             .withColumn("docs", F.coalesce("docs", F.lit(0)))
             .select("source", "tokens", "docs", (F.col("budget") - F.col("tokens")).alias("budget"))
         )
+        if left.where("docs = 0 or budget > 0").isEmpty():
+            left.select("source", "tokens", "docs").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+            if full is not None:
+                full.set()
+            return
         open_now = batch.join(F.broadcast(left), "source").where("docs = 0 or budget > 0")
         kept = budget_prefix(open_now.select(*batch.columns, "budget"), F.col("n_tokens"))
         kept.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -72,6 +95,8 @@ def write_within_budget(
             (F.col("docs") + F.coalesce("d", F.lit(0))).alias("docs"),
         )
         after.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        if full is not None and after.join(names, "source").where("docs = 0 or tokens < budget").isEmpty():
+            full.set()
 
     return (
         docs.writeStream.foreachBatch(cut)

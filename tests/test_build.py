@@ -132,3 +132,11 @@ def test_query_equals_its_sql(spark, duck, name):
         assert rows == _rows(names, cur.fetchall())
     else:
         assert rows
+
+
+@pytest.mark.parametrize("recipe", ["base", "cpt"])
+def test_totals_observed_while_writing_equal_a_pass_over_the_rows(spark, recipe):
+    raw = tables.raw_corpus(spark, SF)
+    seen, counted = (token_build(raw, recipe, 200_000, stage_kept=s) for s in (True, False))
+    assert seen.totals is not None and counted.totals is None
+    assert sorted(map(tuple, seen.report().collect())) == sorted(map(tuple, counted.report().collect()))

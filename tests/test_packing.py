@@ -106,3 +106,28 @@ def test_written_plan_holds_every_window_in_slot_order(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "plan"))
     assert back.count() == plan.count() == 12
     assert {r["rank"] for r in back.select("rank").collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 1000])
+def test_arithmetic_places_are_permutations(spark, n):
+    ids = spark.range(n).withColumnRenamed("id", "window_id")
+    got = epochs.permuted_epochs(ids, n, epochs=3, seed=5).collect()
+    per = {e: [r["idx"] for r in sorted(got, key=lambda r: r["window_id"]) if r["epoch"] == e] for e in range(3)}
+    assert all(sorted(p) == list(range(n)) for p in per.values())
+    if n == 1000:
+        other = [r["idx"] for r in epochs.permuted_epochs(ids, n, epochs=1, seed=6).orderBy("window_id").collect()]
+        assert len({tuple(p) for p in [*per.values(), other]}) == 4
+        moved = sum(abs(a - i) > 100 for i, a in enumerate(per[0]))
+        assert moved > 600  # 810 expected of a random order
+
+
+def test_bucketed_windows_are_not_shuffled_again(spark):
+    windows = spark.range(500).select(F.col("id").alias("window_id"), F.array(F.col("id").cast("int")).alias("ids"))
+    table = packing.bucketed(windows)
+    plan = epochs.shuffle_epochs(table.select("window_id"), 3, seed=1)
+    found = epochs.lookup_windows(plan.hint("merge"), table)
+    above = found._jdf.queryExecution().executedPlan().toString().split("Scan parquet")
+    shuffles = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "ids#" in x]
+    assert len(above) > 1 and not shuffles
+    rows = found.collect()
+    assert len(rows) == 1500 and all(r["ids"] == [r["window_id"]] for r in rows)

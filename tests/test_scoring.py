@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -182,3 +183,36 @@ def test_hot_groups_do_not_meet_by_group_alone(spark, monkeypatch):
         assert got == {i for q, i, s in rows if q == g and s >= want}
     p = candidates.softmax(df, 20.0).groupBy("grp").agg(F.sum("p").alias("p")).collect()
     assert all(abs(r["p"] - 1) < 1e-9 for r in p)
+
+
+def test_softmax_of_values_far_apart(spark):
+    rows = [("a", 1, 1e4), ("a", 2, 1e4 - 1), ("a", 3, -1e4), ("b", 1, -5e3), ("c", 1, 0.0), ("c", 2, 0.0), ("c", 3, -63.9)]
+    df = spark.createDataFrame(rows, "grp string, item bigint, score double")
+    got = {(r["grp"], r["item"]): r["p"] for r in candidates.softmax(df).collect()}
+    assert got["a", 1] == pytest.approx(1 / (1 + math.exp(-1))) and got["a", 3] == 0.0
+    assert got["b", 1] == pytest.approx(1.0) and got["c", 1] == pytest.approx(0.5)
+
+
+def test_resumed_runs_go_on_from_the_last_checkpoint(spark):
+    r = random.Random(3)
+    length, accum, every = 20, 4, 3
+    rows, want = [], []
+    for run in range(3):
+        line, saved, epoch = 0, 0, 0
+        for attempt in range(5):
+            step = saved  # as a training loop resumes
+            for i in range(r.choice([1, 7, 30, 45, 64])):
+                e, b = epoch + i // length, i % length
+                skipped = r.random() < 0.1
+                stepped = (b + 1) % accum == 0 and not skipped
+                step += stepped
+                if stepped and step % every == 0 or b == length - 1:
+                    saved = step
+                rows.append((run, line, e, b, r.random(), skipped))
+                want.append((run, line, attempt, step, stepped))
+                line += 1
+            epoch = e if r.random() < 0.7 else max(0, e - 1)
+    log = spark.createDataFrame(rows, "run bigint, line bigint, epoch bigint, batch bigint, loss double, skipped boolean").repartition(3)
+    got = trainlog.resumed_steps(log.withColumn("ts", F.current_timestamp()), length, every, accum)
+    assert sorted((g["run"], g["line"], g["attempt"], g["step"], g["stepped"]) for g in got.collect()) == want
+    assert trainlog.resumed_steps(log.withColumn("ts", F.current_timestamp()).limit(0), length).count() == 0

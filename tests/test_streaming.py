@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,31 @@ def test_budgeted_stream_equals_batch(spark, tmp_path, budget):
     assert sorted(map(tuple, got.select("source", "ord", "n_tokens").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_files_after_the_last_budget_is_full_are_not_opened(spark, tmp_path):
+    batch = recipes.prepare(text_files(spark, tmp_path / "in"), "base")
+    for i in range(3):  # reading any of these fails
+        time.sleep(0.05)
+        (tmp_path / "in" / f"part-99999-{i}.snappy.parquet").write_bytes(b"no parquet file")
+    budgets = spark.createDataFrame([("tinystories", 900), ("gsm8k", 400), ("openwebmath", 1)], "name string, budget bigint")
+    docs = recipes.prepare(stream(spark, tmp_path / "in", RAW), "base").select(
+        "source", "ord", F.octet_length("text").cast("bigint").alias("n_tokens"))
+    out = str(tmp_path / "out")
+    assert incremental.fill_budgets(docs, budgets, out, str(tmp_path / "state"), str(tmp_path / "log"))
+    want = budget_prefix(batch.join(budgets.withColumnRenamed("name", "source"), "source"), F.octet_length("text"))
+    got = incremental.read_batches(spark, out, docs.schema).select("source", "ord", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("source", "ord", "n_tokens").collect()))
+
+
+def test_a_budget_that_stays_open_reads_all_files(spark, tmp_path):
+    text_files(spark, tmp_path / "in")
+    budgets = spark.createDataFrame([("tinystories", 1), ("gsm8k", 10**9)], "name string, budget bigint")
+    docs = recipes.prepare(stream(spark, tmp_path / "in", RAW), "base").select(
+        "source", "ord", F.octet_length("text").cast("bigint").alias("n_tokens"))
+    out = str(tmp_path / "out")
+    assert not incremental.fill_budgets(docs, budgets, out, str(tmp_path / "state"), str(tmp_path / "log"))
+    assert incremental.read_batches(spark, out, docs.schema).where("source = 'gsm8k'").count() == 80
+
+
 def test_loss_stream_ends_at_the_epoch_summary(spark, tmp_path):
     r = random.Random(4)
     rows = [(i % 2, i // 40, i // 2 % 20, r.random(), r.random() < 0.2, i // 30) for i in range(120)]
