@@ -3,8 +3,9 @@
 Every document gets a few integer measures. For each (language, source) a mergeable quantile sketch of every measure is
 kept: counts of values rounded down to SIGNIFICANT leading bits, so a quantile is off by less than 1/32 of itself.
 Counts of any two parts of the corpus add up to the sketch of both, exactly and in any order. Fences come from the
-quartiles of a document's own group, of its language or of all documents, whichever is the first with enough members,
-and are joined back to filter.
+median and lower quartile of a document's own group, which junk in less than half of it does not move, of its language
+or of all documents, whichever is the first with enough members. A group's fences stay within those of its language at
+twice the spread, so that a bad source does not excuse itself. They are joined back to filter.
 """
 
 from __future__ import annotations
@@ -12,22 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.llm.common import hidden, words
-from grainmill.session import stage_counted
+from grainmill.session import stage, stage_counted
 
 WINDOW = 8
 SIGNIFICANT = 6
-MIN_GROUP = 200  # documents a sketch needs before its quartiles are used
-SPREAD = 6  # a fence lies so many quartile distances outside the quartiles
+MIN_GROUP = 50  # documents a sketch needs before its quartiles are used
+SPREAD = 4  # a fence lies so many distances from median to lower quartile away from the median
 BROADCAST_GROUPS = 20_000  # fences of so many groups, about 1 MB, may be broadcast
 SALTS = 32  # beyond that, each group's fences are copied to so many keys
 
-# Measure -> (lower fence used, upper fence used, least distance from the quartile to the fence).
+# Measure -> (lower fence used, upper fence used, least distance counted from median to lower quartile).
 MEASURES = {
-    "word_length": (True, True, 200),  # hundredths of a character
-    "symbol_rate": (False, True, 50),  # symbols per 1,000 characters of words
-    "dup_line_rate": (False, True, 600),  # repeated lines per 1,000 lines
-    "repeat_rate": (False, True, 250),  # words in repeated windows per 1,000 words
-    "stutter_rate": (False, True, 200),  # words equal to the next one per 1,000 words
+    "word_length": (True, True, 20),  # hundredths of a character
+    "symbol_rate": (False, True, 10),  # symbols per 1,000 characters of words
+    "dup_line_rate": (False, True, 80),  # repeated lines per 1,000 lines
+    "repeat_rate": (False, True, 50),  # words in repeated windows per 1,000 words
+    "stutter_rate": (False, True, 15),  # words equal to the next one per 1,000 words
 }
 
 
@@ -110,21 +111,21 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, members, {measure}_q1, {measure}_q3) from merged sketches."""
+    """(keys, members, {measure}_q1, {measure}_q2) from merged sketches."""
     merged = sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     placed = merged.select(*keys, "measure", "value", upto.alias("upto"), F.sum("n").over(group).alias("total"))
     found = [F.max("total").alias("members")]
     for m in MEASURES:
-        for q in (1, 3):
+        for q in (1, 2):
             at = F.when((F.col("measure") == m) & (F.col("upto") * 4 >= F.col("total") * q), F.col("value"))
             found.append(F.min(at).alias(f"{m}_q{q}"))
     return placed.groupBy(*keys).agg(*found)
 
 
-def fences(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, {measure}_low, {measure}_high) with the finest sketch that has MIN_GROUP members."""
+def fences(sketch: DataFrame, lang: str, source: str, names_of: dict[str, str], min_group: int = MIN_GROUP) -> DataFrame:
+    """(lang, source) and the fences, named by ``names_of``, from the finest sketch that has ``min_group`` members."""
     own = quartiles(sketch, [lang, source])
     names = [c for c in own.columns if c not in (lang, source)]
     by_lang = quartiles(sketch, [lang]).select(F.col(lang).alias("of_lang"), F.struct(*names).alias("wide"))
@@ -132,34 +133,42 @@ def fences(sketch: DataFrame, lang: str, source: str) -> DataFrame:
     joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("of_lang")), "left")
     out = []
     for m, (low, high, least) in MEASURES.items():
-        def pick(q: str) -> Column:
+        def wide(q: str) -> Column:
             overall = F.lit(everything[f"{m}_{q}"] if everything else 0)
-            return (
-                F.when(F.col("members") >= MIN_GROUP, F.col(f"{m}_{q}"))
-                .when(F.col("wide.members") >= MIN_GROUP, F.col(f"wide.{m}_{q}")).otherwise(overall)
-            )
+            return F.when(F.col("wide.members") >= min_group, F.col(f"wide.{m}_{q}")).otherwise(overall)
 
-        reach = F.greatest((pick("q3") - pick("q1")) * SPREAD, F.lit(least))
+        def own_or_wide(q: str) -> Column:
+            return F.when(F.col("members") >= min_group, F.col(f"{m}_{q}")).otherwise(wide(q))
+
+        reach = lambda of: F.greatest(of("q2") - of("q1"), F.lit(least)) * SPREAD
         if low:
-            out.append((pick("q1") - reach).alias(f"{m}_low"))
+            out.append(F.greatest(own_or_wide("q2") - reach(own_or_wide), wide("q2") - 2 * reach(wide)).alias(names_of[f"{m}_low"]))
         if high:
-            out.append((pick("q3") + reach).alias(f"{m}_high"))
+            out.append(F.least(own_or_wide("q2") + reach(own_or_wide), wide("q2") + 2 * reach(wide)).alias(names_of[f"{m}_high"]))
     return joined.select(lang, source, *out)
 
 
 def apply_rules(
-    docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = False
+    docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = False,
+    min_group: int = MIN_GROUP,
 ) -> DataFrame:
     """All columns of ``docs`` (the text only with ``keep_text``), the counts of :func:`base_counts`, and kept.
 
+    With ``keep_text`` texts are read and counted twice, for the sketches and for the filter, instead of written to the
+    shared folder once more; otherwise the counts are.
+
     NULL or empty text has no words and fails. NULL languages and sources form groups of their own. An empty table
     gives no rows. Columns of ``docs`` named like a count are replaced.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "base_failed", "kept")
     lang, source = hidden(docs, "lang", "source")
     measured = base_counts(docs, text_col).withColumns({lang: F.col(lang_col), source: F.col(source_col)})
-    measured, _ = stage_counted(measured if keep_text else measured.drop(text_col), "measured")
-    table, groups = stage_counted(fences(sketches(measured, [lang, source]), lang, source), "fences")
+    if not keep_text:
+        measured = stage(measured.drop(text_col), "measured")
+    edges = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    names_of = dict(zip(edges, hidden(measured, *edges)))
+    counted = stage(sketches(measured, [lang, source]), "sketches")
+    table, groups = stage_counted(fences(counted, lang, source, names_of, min_group), "fences")
     key_l, key_s, salt = hidden(measured, "key_l", "key_s", "salt")
     table = table.withColumnsRenamed({lang: key_l, source: key_s})
     met = measured[lang].eqNullSafe(F.col(key_l)) & measured[source].eqNullSafe(F.col(key_s))
@@ -173,8 +182,8 @@ def apply_rules(
     for m, value in _measures().items():
         low, high, _ = MEASURES[m]
         if low:
-            inside &= value >= F.col(f"{m}_low")
+            inside &= value >= F.col(names_of[f"{m}_low"])
         if high:
-            inside &= value <= F.col(f"{m}_high")
+            inside &= value <= F.col(names_of[f"{m}_high"])
     own = [c for c in table.columns if c not in (salt,)]
     return joined.withColumn("kept", inside).drop(*own, lang, source)

@@ -8,10 +8,75 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm import hard_negatives, merkle, phrase_prints
+from grainmill.llm import hard_negatives, merkle, phrase_prints, quality_rules
 from grainmill.llm.queries import MANIFEST_FIELDS
 from test_operators import LONG, ROWS, SCHEMA
 
+# Quality rules
+
+
+def _kept_by_force(counted, min_group):
+    """Whether each row is kept, from its counts: fences of the group, else of its language, else of all."""
+    div = lambda a, b: a // b if b else 0
+    down = lambda x: x >> max(0, len(bin(x)) - 2 - 6) << max(0, len(bin(x)) - 2 - 6)
+    rates = lambda r: (
+        div(r.word_chars * 100, r.n_words), div(r.n_symbols * 1000, r.word_chars), div(r.n_dup_lines * 1000, r.n_lines),
+        div(r.n_repeat_words * 1000, r.n_words), div(r.n_stutters * 1000, r.n_words))
+
+    def quarter(values, q):
+        values = sorted(map(down, values))
+        return next(v for i, v in enumerate(values, 1) if i * 4 >= len(values) * q)
+
+    out = []
+    for r in counted:
+        inside = not r.base_failed
+        wide = [x for x in counted if x.lang == r.lang]
+        wide = wide if len(wide) >= min_group else counted
+        own = [x for x in counted if (x.lang, x.source) == (r.lang, r.source)]
+        own = own if len(own) >= min_group else wide
+        for k, (m, (low, high, least)) in enumerate(quality_rules.MEASURES.items()):
+            def edge(group, sign, times):
+                mid = quarter([rates(x)[k] for x in group], 2)
+                return mid + sign * times * quality_rules.SPREAD * max(mid - quarter([rates(x)[k] for x in group], 1), least)
+
+            inside &= not low or rates(r)[k] >= max(edge(own, -1, 1), edge(wide, -1, 2))
+            inside &= not high or rates(r)[k] <= min(edge(own, 1, 1), edge(wide, 1, 2))
+        out.append(inside)
+    return out
+
+
+def _prose(r, n, alphabet):
+    return " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("min_group", [1, 30, 10**6])
+def test_fences_and_verdicts_match_brute_force(spark, min_group):
+    r = random.Random(6)
+    rows = []
+    for i in range(220):
+        text = _prose(r, r.choice([5, 40, 60]), "abcdefgh")
+        text = r.choice([text, text, text, text.replace("a", "#"), text + "\nsame line\nsame line\nsame line", "a " * 50 + text])
+        rows.append((i, text, r.choice(["en", "de", None]), r.choice("xy"), "clash", 1))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, symbol_rate_high string, __word_length_low int")
+    for keep_text in (False, True):
+        got = sorted(quality_rules.apply_rules(df, keep_text=keep_text, min_group=min_group).collect(), key=lambda g: g.doc_id)
+        assert [g.kept for g in got] == _kept_by_force(got, min_group)
+        assert {g.symbol_rate_high for g in got} == {"clash"} and 0 < sum(g.kept for g in got) < len(got)
+
+
+def test_a_source_with_a_third_of_junk_loses_it(spark):
+    r = random.Random(7)
+    line = lambda: _prose(r, 8, "abcdefghijklmnop")
+    rows = []
+    for i in range(1000):
+        lines = [line() for _ in range(40)]
+        if i < 300:  # 19 of 40 lines repeated
+            lines[20:39] = lines[:19]
+        rows.append((i, "\n".join(lines), "en", "hot"))
+    kept = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(8))
+    assert {g.doc_id for g in kept.where("kept").collect()} == set(range(300, 1000))
+
+
 # Hard negatives
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, id string, row string, score string"
