@@ -14,7 +14,7 @@ from grainmill.plans.catalog import BASE, BYTE_ID, PLACED, RAW, bytes_of, kept_s
 from grainmill.plans.corpus_queries import WHOLE, build
 from grainmill.session import scratch_path, stage
 from grainmill.sources import tables
-from grainmill.sources.token_shards import read_shards, write_shards
+from grainmill.sources.token_shards import read_shards, shard_stream, write_shards
 from grainmill.sources.vocab_files import learn_once, load_vocabulary, merge_table, save_vocabulary, vocab_table
 
 WORLD = 3
@@ -183,14 +183,9 @@ FILE_SQL = f"""{PACKED} select cast(pos // 65536 as bigint) as block, count(*) a
     from stream group by pos // 65536"""
 
 
-@query("token_file", FILE_SQL)
-def token_file(spark, d):
-    """The token stream written as int32 shards and scanned back in byte ranges."""
-    path = scratch_path(spark, "shards")
-    write_shards(build(spark, d, "base", share=WHOLE).stream(), path)
+def _blocks(tokens: DataFrame) -> DataFrame:
     return (
-        read_shards(spark, path)
-        .groupBy(F.expr("pos div 65536").alias("block"))
+        tokens.groupBy(F.expr("pos div 65536").alias("block"))
         .agg(
             F.count("*").alias("n_tokens"),
             F.min("pos").alias("first_pos"),
@@ -199,6 +194,31 @@ def token_file(spark, d):
     )
 
 
+@query("token_file", FILE_SQL)
+def token_file(spark, d):
+    """The token stream written as int32 shards and scanned back in byte ranges."""
+    path = scratch_path(spark, "shards")
+    write_shards(build(spark, d, "base", share=WHOLE).stream(), path)
+    return _blocks(read_shards(spark, path))
+
+
+@query("token_file_stream", FILE_SQL)
+def token_file_stream(spark, d):
+    """The token stream added in three parts, each read as it arrives."""
+    stream = build(spark, d, "base", share=WHOLE).stream()
+    path, out, log = (scratch_path(spark, x) for x in ("shards", "arrived", "arrived-log"))
+    n = stream.agg(F.max("doc_no")).first()[0] or 0
+    for i in range(3):
+        part = stream.where((F.col("doc_no") >= n * i // 3) & ((F.col("doc_no") < n * (i + 1) // 3) | F.lit(i == 2)))
+        first = part.agg(F.min("start")).first()[0] or 0
+        write_shards(part.withColumn("start", F.col("start") - first), path, extend=True)
+        (
+            shard_stream(spark, path).writeStream.format("parquet").option("checkpointLocation", log)
+            .trigger(availableNow=True).start(out).awaitTermination()
+        )
+    return _blocks(spark.read.schema("pos bigint, id int").parquet(out))
+
+
 # Epoch plans. Window ids come from the packed stream's size.
 
 WINDOW_IDS = f"""with {kept_sql('base', WHOLE)},

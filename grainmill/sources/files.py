@@ -6,6 +6,8 @@ from pyarrow import fs
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("s3a://"):  # Spark's name for what Arrow calls s3
+        path = "s3" + path[3:]
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.sources.token_shards import read_shards, write_shards
+from grainmill.sources.token_shards import read_shards, write_shards, shard_stream
 
 
 def make_docs(spark, seed, n=60):
@@ -63,3 +63,20 @@ def test_a_second_write_is_refused_or_replaces(spark, tmp_path):
     listed = {s["file"] for s in json.loads((path / "manifest.json").read_text())}
     assert {f.name for f in path.glob("*.bin")} == listed
     assert back.rdd.getNumPartitions() == len(listed)
+
+
+def test_shards_added_in_batches_equal_the_batch_read(spark, tmp_path):
+    path, out, log = (str(tmp_path / x) for x in ("shards", "out", "log"))
+    total = 0
+    for part in range(3):
+        ids = [list(range(total + 10 * k, total + 10 * k + 10)) for k in range(5 + part)]
+        docs = spark.createDataFrame([(10 * k, x, k) for k, x in enumerate(ids)], "start bigint, ids array<int>, doc_no bigint")
+        write_shards(docs, path, shard_tokens=16, extend=True)
+        total += 10 * len(ids)
+        shard_stream(spark, path, range_tokens=5).writeStream.format("parquet").option("checkpointLocation", log).trigger(
+            availableNow=True).start(out).awaitTermination()
+        arrived = spark.read.schema("pos bigint, id int").parquet(out).orderBy("pos").collect()
+        assert [tuple(r) for r in arrived] == [(i, i) for i in range(total)]
+    assert sorted(map(tuple, read_shards(spark, path, range_tokens=7).collect())) == [(i, i) for i in range(total)]
+    with pytest.raises(Exception, match="token stream"):
+        write_shards(docs, path)
