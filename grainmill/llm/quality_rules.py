@@ -163,7 +163,12 @@ def apply_rules(
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "base_failed", "kept")
     lang, source = hidden(docs, "lang", "source")
     measured = base_counts(docs, text_col).withColumns({lang: F.col(lang_col), source: F.col(source_col)})
-    if not keep_text:
+    bar = None
+    if keep_text:
+        # Not deterministic, so that the filter stays above the counts instead of being written out in terms of the text.
+        (bar,) = hidden(measured, "bar")
+        measured = measured.withColumn(bar, F.rand(0))
+    else:
         measured = stage(measured.drop(text_col), "measured")
     edges = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
     names_of = dict(zip(edges, hidden(measured, *edges)))
@@ -179,6 +184,8 @@ def apply_rules(
         spread = measured.withColumn(f"{salt}2", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)))
         joined = spread.join(copies, met & (F.col(f"{salt}2") == F.col(salt))).drop(salt, f"{salt}2")
     inside = ~F.col("base_failed")
+    if bar:
+        inside &= F.col(bar) >= 0  # always
     for m, value in _measures().items():
         low, high, _ = MEASURES[m]
         if low:
@@ -186,4 +193,4 @@ def apply_rules(
         if high:
             inside &= value <= F.col(names_of[f"{m}_high"])
     own = [c for c in table.columns if c not in (salt,)]
-    return joined.withColumn("kept", inside).drop(*own, lang, source)
+    return joined.withColumn("kept", inside).drop(*own, lang, source, *([bar] if bar else []))

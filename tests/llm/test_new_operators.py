@@ -289,3 +289,39 @@ def test_dictionary_restarts_on_long_texts(monkeypatch):
 def test_crc_of_identifiers(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string")).alias("c")).collect()
     assert all(g.c == zlib.crc32(str(g.id).encode()) for g in got)
+
+
+# Pipeline stages
+
+
+@pytest.fixture(scope="module")
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "line_dedup", "near_dedup", "fair_mix", "bpe_codec"])
+def test_stages_of_an_empty_table(spark, stages, name):
+    empty = spark.createDataFrame([], SCHEMA)
+    out = stages[name](spark, empty, "")
+    assert out.collect() == []
+    assert name == "bpe_codec" or out.columns == empty.columns
+
+
+def test_stages_of_edge_rows(spark, stages):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    run = lambda name: stages[name](spark, docs, "").collect()
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=str)
+    every = sorted((r[0] for r in ROWS), key=str)
+    assert ids(run("quality_rules")) == [7]  # the others have under 20 words, repeat themselves or hold no text
+    lines = run("line_dedup")
+    assert ids(lines) == every and all((r.text is None) == (r.n_chars is None) or r.text is not None for r in lines)
+    assert {r.text for r in lines if r.doc_id == 1} == {ROWS[0][1]}
+    # 2 is nearly 1 and 6 has the text of 5; rows without identifier stay
+    assert ids(run("near_dedup")) == sorted([1, 3, 4, 5, 7, 8, 9, 10, None, None], key=str)
+    served = {r.doc_id for r in run("fair_mix")}
+    assert served <= set(every) and not served & {3, 4, 8}
+    coded = run("bpe_codec")
+    assert ids(coded) == every and all(r.round_trip for r in coded)
+    assert {r.n_tokens for r in coded if r.doc_id in (3, 4)} == {0}
