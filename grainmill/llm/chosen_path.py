@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.llm import arrays as A
-from grainmill.llm.common import hidden
+from grainmill.llm.common import ROWS_A_TASK, gathered, hidden
 from grainmill.llm.components import components
 from grainmill.session import stage, stage_counted
 
@@ -27,7 +27,7 @@ SHINGLE = 5
 SIGNATURE = 128
 TREES = 10
 LEAF = 24  # documents a node may hold to be compared exhaustively
-DEPTH = 8
+STEPS = (1, 4, 4, 4)  # tokens that the levels of a tree add to a path
 DENSE = 0.7  # mean estimate between a node and its pivot from which on branching would not part its documents
 BLOCK = 1024  # documents of a family that are compared in one task
 BLOCK_SHINGLES = 1 << 20  # and their shingles
@@ -36,7 +36,8 @@ COLUMNS = 2048  # shingles multiplied at once
 LIKELY = 0.6  # estimates below are no candidates: four standard errors under the threshold
 CLEAR = 0.82  # estimates above are nearly always links
 SURE = 0.9  # estimates above are links to a pivot, but for confirmation
-PAIRS_A_TASK = 64  # pairs of one document that are confirmed together
+SETS_A_TASK = 2000  # pairs whose full sets are worth a task
+PAIRS_A_TASK = 64  # pairs of one document that are confirmed in one group
 
 SIGNED = "id bigint, n bigint, key_a bigint, key_b bigint, tokens array<int>"
 
@@ -90,69 +91,78 @@ def alike(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(SIGNATURE))
 
 
-def _branches(node: Column, tokens: Column, steps: int = 1) -> Column:
+def _branches(node: Column, tokens: Column, steps: int) -> Column:
     """Child nodes of a document, ``steps`` tokens further down: the node's hash selects which tokens.
 
     A pair as similar as a link shares a step with probability 3/4, so a node has 4/3 children a step on average.
     """
     pick = lambda k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(SIGNATURE)).cast("int")
     path = lambda way: F.xxhash64(node, *[x for k in range(steps) for x in (pick(way * 8 + k), F.get(tokens, pick(way * 8 + k)))])
-    second = F.pmod(F.xxhash64(node, F.lit(-3)), F.lit(1000)) < int(1000 * ((4 / 3) ** steps - 1))
-    return F.when(second, F.array(path(0), path(1))).otherwise(F.array(path(0)))
+    whole, part = divmod((4 / 3) ** steps, 1)
+    ways = [path(way) for way in range(int(whole))]
+    one_more = F.pmod(F.xxhash64(node, F.lit(-3)), F.lit(1000)) < int(1000 * part)
+    return F.when(one_more, F.array(*ways, path(int(whole)))).otherwise(F.array(*ways))
+
+
+def _sketch(tokens: Column) -> Column:
+    """One byte of each signature token."""
+    return F.transform(tokens, lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
 
 
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, est) with a < b: pairs that some tree brings together and whose signatures are alike; and families.
 
-    A large node whose members are alike on average does not get smaller by branching; nor does what is left DEPTH
-    levels down. Their members (pivot, id) are returned, if any. A pivot has the smallest hash of its node in every
-    tree, so that the nodes of one family mostly have one pivot and are compared once.
+    ``signed`` is a stored table of id, tokens and bytes, their sketch. A large node whose members are alike on average
+    does not get smaller by branching; nor does what the last level leaves. Their members (pivot, id) are returned, if
+    any. A pivot has the smallest hash of its node in every tree, so that the nodes of one family mostly have one pivot
+    and are compared once. Levels only place documents in nodes; small nodes of all levels are compared together.
     """
-    thin = signed.select("id", F.expr("transform(tokens, x -> cast((x & 255) - 128 as tinyint))").alias("bytes"))
-    thin = stage(thin, "sketches")
     roots = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     members = signed.select("id", "tokens", roots.alias("tree")).select(
-        "id", F.explode(_branches(F.xxhash64("tree", F.lit(5)), F.col("tokens"))).alias("node")
-    )
-    found, families = [], []
-    for depth in range(1, DEPTH + 1):
-        members = stage(members, "nodes")
+        "id", F.explode(_branches(F.xxhash64("tree", F.lit(5)), F.col("tokens"), STEPS[0])).alias("node"))
+    small, stars, few_nodes, dense_nodes, n_stars = [], [], [], [], 0
+    for after in [*STEPS[1:], None]:
+        members, n = stage_counted(members, "nodes")
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(
             F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("first"))
         sizes = sizes.where("size > 1").select("node", "size", F.col("first.id").alias("pivot"))
-        placed = stage(members.join(sizes, "node").join(thin, "id"), "placed")
-        small = placed.where(F.col("size") <= LEAF).select("node", "id", "bytes")
+        placed = members.join(sizes, "node").join(signed.select("id", "bytes"), "id")
+        placed, n = stage_counted(gathered(placed, n), "placed")
+        small.append(placed.where(F.col("size") <= LEAF).select("node", "id", "bytes"))
         pivots = placed.where("id = pivot").select("node", F.col("bytes").alias("pivot_bytes"))
         star = placed.where(F.col("size") > LEAF).join(pivots, "node").withColumn(
             "est", alike(F.col("bytes"), F.col("pivot_bytes"))).drop("pivot_bytes")
-        star, n = stage_counted(star, "stars")
+        star, n = stage_counted(gathered(star, n), "stars")
         if not n:
-            found.append(stage(_within(small), "alike"))
             break
-        nodes = stage(star.groupBy("node").agg(
-            F.count_if(F.col("est") < SURE).alias("open"), F.avg("est").alias("mean")).where("open > 0"), "open-nodes")
-        few, dense = F.col("open") <= LEAF, (F.col("mean") >= DENSE) if depth < DEPTH else F.lit(True)
-        rest = star.where(F.col("est") < SURE).join(nodes.where(few).select("node"), "node", "left_semi")
-        families.append(star.join(nodes.where(~few & dense).select("node"), "node", "left_semi").select("pivot", "id"))
+        nodes = star.groupBy("node").agg(F.count_if(F.col("est") < SURE).alias("open"), F.avg("est").alias("mean"))
+        nodes = stage(gathered(nodes.where("open > 0"), n), "open-nodes")
+        few, dense = F.col("open") <= LEAF, (F.col("mean") >= DENSE) if after else F.lit(True)
+        stars.append(star)
+        n_stars += n
+        few_nodes.append(nodes.where(few).select("node"))
+        dense_nodes.append(nodes.where(~few & dense).select("node"))
+        if after:
+            left = star.join(nodes.where(~few & ~dense).select("node"), "node", "left_semi").select("node", "id")
+            members = gathered(left, n).join(signed.select("id", "tokens"), "id").select(
+                "id", F.explode(_branches(F.col("node"), F.col("tokens"), after)).alias("node"))
+    met, family = _within(_union(small)), None
+    if stars:
+        star = _union(stars)
+        rest = star.where(F.col("est") < SURE).join(_union(few_nodes), "node", "left_semi")
         clear = _ordered(star.where(F.col("est") >= LIKELY), "id", "pivot", "est")
-        near = _within(small).unionByName(_across(rest, star)).unionByName(clear)
-        found.append(stage(near.distinct(), "alike"))
-        if depth == DEPTH:
-            break
-        members = star.join(nodes.where(~few & ~dense).select("node"), "node", "left_semi").select("node", "id").join(
-            signed.select("id", "tokens"), "id"
-        ).select("id", F.explode(_branches(F.col("node"), F.col("tokens"), 2)).alias("node"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
-    if not families:
-        return pairs, None
-    family = families[0]
-    for more in families[1:]:
-        family = family.unionByName(more)
-    family, n = stage_counted(family.distinct(), "families")
-    return pairs, family if n else None
+        met = met.unionByName(_across(rest, star)).unionByName(clear)
+        dense = star.join(_union(dense_nodes), "node", "left_semi").select("pivot", "id").distinct()
+        family, n = stage_counted(gathered(dense, n_stars), "families")
+        family = family if n else None
+    return met.groupBy("a", "b").agg(F.max("est").alias("est")), family
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _ordered(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
@@ -200,8 +210,8 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar. Each pair is checked where the set of its busier document lies."""
+def confirmed(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of at most ``n`` pairs (a, b) whose full sets are similar. Each pair is checked where the set of its busier document lies."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     busy = ends.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     both = pairs.join(busy.select(F.col("id").alias("a"), F.col("deg").alias("deg_a")), "a").join(
@@ -211,13 +221,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.when(left, F.col("a")).otherwise(F.col("b")).alias("hub"),
         F.when(left, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("deg_a", "deg_b").alias("deg"),
     ).withColumn("slot", F.pmod(F.xxhash64("other"), F.ceil(F.col("deg") / PAIRS_A_TASK)).cast("int")).drop("deg")
-    hubbed = stage(hubbed, "pairs")
+    hubbed, n = stage_counted(gathered(hubbed, n), "pairs")
     asked = hubbed.join(sets.withColumnRenamed("id", "other"), "other")
     hubs = hubbed.select(F.col("hub").alias("at"), F.col("slot").alias("part")).distinct()
     hubs = hubs.join(sets.select(F.col("id").alias("at"), F.col("shingles").alias("shingles_at")), "at")
-    return asked.groupBy("hub", "slot").cogroup(hubs.groupBy("at", "part")).applyInArrow(
-        _confirm(percent), "a bigint, b bigint"
-    )
+    good = asked.groupBy("hub", "slot").cogroup(hubs.groupBy("at", "part")).applyInArrow(
+        _confirm(percent), "a bigint, b bigint")
+    return gathered(good, n * (ROWS_A_TASK // SETS_A_TASK))
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], same: np.ndarray, percent: int) -> np.ndarray:
@@ -289,19 +299,23 @@ def _in_blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         lambda t: _compare(t, t, percent), "a bigint, b bigint")
 
 
-def _strangers(family: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _strangers(family: DataFrame, n: int, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of those outside the largest component of a family with all its members, each block with each."""
     of = family.join(parts, family["id"] == parts["node"], "left").select(
         "pivot", "id", "n", F.coalesce("component", "id").alias("part"))
-    of = stage(of, "family-parts")
+    of = stage(gathered(of, n), "family-parts")
     most = of.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(
         F.max(F.struct("k", "part")).alias("most"))
-    out = stage(of.join(most, "pivot").where(F.col("part") != F.col("most.part")).select("pivot", "id", "n"), "strangers")
+    out = of.join(most, "pivot").where(F.col("part") != F.col("most.part")).select("pivot", "id", "n")
+    out, n_out = stage_counted(gathered(out, n), "strangers")
+    if not n_out:
+        return out.select(F.col("id").alias("a"), F.col("id").alias("b"))
     grid = _sized(out, "rows").drop("size").join(_sized(family, "cols").drop("size"), "pivot")
     spread = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
     own = lambda over: F.pmod(F.xxhash64("id", F.lit(7)), F.col(over)).cast("int")
     x = out.join(grid, "pivot").select("pivot", "id", own("rows").alias("row"), spread("cols").alias("col"))
     y = family.join(grid, "pivot").select("pivot", "id", spread("rows").alias("row"), own("cols").alias("col"))
+    x, y = gathered(x, n_out * (1 + n // BLOCK)), gathered(y, n * (1 + n_out // BLOCK))
     y = stage(y, "grid").join(sets, "id").select(*[F.col(c).alias(f"{c}_at") for c in ("pivot", "row", "col", "id", "shingles")])
     return stage(x, "grid").join(sets, "id").groupBy("pivot", "row", "col").cogroup(
         y.groupBy("pivot_at", "row_at", "col_at")).applyInArrow(
@@ -319,15 +333,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows. Other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(texts.mapInArrow(_sign("id", "text"), SIGNED), "signatures")
+    signed, n_rows = stage_counted(texts.mapInArrow(_sign("id", "text"), SIGNED), "signatures")
     alive = signed.where("n > 0 and id is not null")
     classes = alive.groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class"))
-    classed = stage(alive.select("id", "key_a", "key_b", "n").join(classes, ["key_a", "key_b", "n"]).select("id", "class"), "classes")
-    lead = alive.join(classed.where("id = class").select("id").distinct(), "id", "left_semi").select("id", "n", "tokens")
+    classed = alive.select("id", "key_a", "key_b", "n").join(classes, ["key_a", "key_b", "n"]).select("id", "class")
+    classed = stage(gathered(classed, n_rows), "classes")
+    lead = alive.join(classed.where("id = class").select("id").distinct(), "id", "left_semi").select(
+        "id", "n", "tokens", _sketch(F.col("tokens")).alias("bytes"))
 
-    lead = stage(lead, "leaders")
+    lead = stage(gathered(lead, n_rows), "leaders")
     pairs, family = candidates(lead)
-    pairs = stage(pairs, "candidates")
+    pairs, n_pairs = stage_counted(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     ends = (ends.unionByName(family.select("id")) if family else ends).distinct()
     # The list of documents grows with the corpus, so it is not broadcast at any size.
@@ -336,26 +352,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A forest: each document with its smallest partner among those that are clearly alike, or else with the likeliest.
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
     best = each.groupBy("a").agg(F.max(F.struct(F.least("est", F.lit(CLEAR)).alias("e"), (-F.col("b")).alias("b"))).alias("best"))
-    forest = stage(_ordered(best.select("a", (-F.col("best.b")).alias("b")), "a", "b").distinct(), "forest")
-    links = confirmed(forest, sets, percent)
+    forest = _ordered(best.select("a", (-F.col("best.b")).alias("b")), "a", "b").distinct()
+    forest, n_forest = stage_counted(gathered(forest, n_pairs), "forest")
+    links = confirmed(forest, n_forest, sets, percent)
     if family:
         sizes = lead.groupBy("id").agg(F.max("n").alias("n"))
-        family = stage(family.join(sizes, "id").select("pivot", "id", "n"), "families")
-        links = links.unionByName(_in_blocks(family, sets, percent))
-    links = stage(links, "links")
-    parts = components(links)
+        n_family = family.count()
+        family = stage(gathered(family.join(sizes, "id").select("pivot", "id", "n"), n_family), "families")
+        links = links.unionByName(gathered(_in_blocks(family, sets, percent), n_family * (ROWS_A_TASK // SETS_A_TASK)))
+    links, n_links = stage_counted(links, "links")
+    parts = components(links, n_links)
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
         F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
     ).select("a", "b").join(forest, ["a", "b"], "left_anti")
-    more = confirmed(apart, sets, percent)
+    more = confirmed(apart, n_pairs, sets, percent)
     if family:
-        more = more.unionByName(_strangers(family, parts, sets, percent))
-    more = stage(more, "links")
+        more = more.unionByName(_strangers(family, n_family, parts, sets, percent))
+    more, n_more = stage_counted(more, "links")
 
     lead_of = classed.groupBy("id").agg(F.min("class").alias("lead"))
     shared = classed.join(lead_of, "id").select(F.col("class").alias("a"), F.col("lead").alias("b")).where("a <> b")
-    linked = components(links.unionByName(more).unionByName(shared))
+    linked = components(links.unionByName(more).unionByName(shared), n_links + n_more + n_rows)
     whole = lead_of.join(linked.withColumnRenamed("node", "lead"), "lead", "left").select(
         F.col("id").alias("of"), F.coalesce("component", "lead").alias("component"))
     out = signed.select("id", "n").join(whole, F.col("id") == F.col("of"), "left")

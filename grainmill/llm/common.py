@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_A_TASK = 20_000  # narrow rows that are worth a task
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, narrow and of some ``rows`` rows, in as many tasks as these rows need; never more than it has."""
+    return df.coalesce(max(1, -(-int(rows) // ROWS_A_TASK)))
+
+
 def hidden(df: DataFrame, *names: str) -> list[str]:
     """Column names for own use that no column of ``df`` has, whatever it is called."""
     taken = {c.lower() for c in df.columns}
