@@ -1,21 +1,24 @@
 """Training a byte-level BPE vocabulary as Spark jobs.
 
-The corpus is read once, for pre-token counts. From then on a word is a string with one character per symbol (symbol id
-+ 0x100), so a merge is a plain string ``replace`` and the pairs of a word are its two-character substrings. Words stay
-in Spark at any size. All pairs are counted once; after that a round, one job, applies a batch of merges and returns
-what changes: for each pair the difference that the words holding a merged pair make, and for the pairs that are likely
-next the symbols around them. The driver keeps one count for each pair of symbols, which the vocabulary bounds, and
-follows from the symbols around a pair how a merge changes other counts, exactly or as an upper bound. A batch goes on
-as long as the most frequent pair is known for certain, so it holds the merges that one at a time would also find.
+The corpus is read once, for pre-token counts. From then on words lie in blocks, rows of a table: the symbol ids of some
+hundred thousand words one after the other, and their counts. A block is merged and counted as numpy arrays, and only the
+words that hold a merged pair are touched. Words stay in Spark at any size. All pairs are counted once; after that a round,
+one job, applies a batch of merges and returns what changes: for each pair the difference that the words holding a merged
+pair make, and for the pairs that are likely next the symbols around them. The driver keeps one count for each pair of
+symbols, which the vocabulary bounds, and follows from the symbols around a pair how a merge changes other counts, exactly
+or as an upper bound. A batch goes on as long as the most frequent pair is known for certain, so it holds the merges that
+one at a time would also find.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Iterator
 from heapq import heappop, heappush, nsmallest
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.constants import MIN_FREQUENCY, VOCAB_SIZE
 from grainmill.functions.text import pretokens
@@ -25,10 +28,15 @@ from grainmill.session import stage, stage_counted
 AROUND = 192  # pairs whose neighbours a round counts, the next to be merged most likely
 RANKED = 4096  # most frequent pairs a batch chooses from
 WORDS_PER_TASK = 8_000
+WORDS_PER_BLOCK = 400_000  # on average, at most
+BLOCK_SYMBOLS = 8_000_000  # from which on a block is closed
 RESTAGE = 16  # rounds between two rewrites of the word table to the shared folder
 _BASE = 0x100
 _GAP, _GAP_SIZE = 0xD800, 0x800  # the surrogates, which are no characters
 MAX_VOCAB = 0x110000 - _GAP_SIZE - _BASE  # one character per symbol
+_BITS = 21  # of a symbol in a key; three fit in a number
+_END = -1  # stands before the first word of a block and after each
+BLOCKS = "symbols binary, counts binary, keys array<bigint>, n array<bigint>"
 
 
 def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -50,12 +58,6 @@ def _id(symbol: str) -> int:
     return (at if at < _GAP else at - _GAP_SIZE) - _BASE
 
 
-def _as_symbols(w: Column) -> Column:
-    """UTF-8 bytes of ``w``, one symbol character each."""
-    latin = F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
-    return F.translate(latin, "".join(map(chr, range(256))), "".join(_symbol(BYTE_IDS[b]) for b in range(256)))
-
-
 def pair_counts(words: DataFrame) -> DataFrame:
     """``(pair, cnt)``: adjacent symbol pairs of ``(w, cnt)`` words, overlaps included."""
     pairs = F.regexp_extract_all("w", F.lit("(?s)(?=(..))"), F.lit(1))
@@ -66,40 +68,150 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def _grams(w: str, n: int) -> str:
-    return f"regexp_extract_all({w}, '(?s)(?=({'.' * n}))', 1)"
+# ---- blocks of words ---------------------------------------------------------------------------------------------
+
+def _keys(*symbols: np.ndarray) -> np.ndarray:
+    """One number for the symbols of a pair or a triple; they are numbered from 1 in it, so pairs are no triples."""
+    key = np.zeros(len(symbols[0]), np.int64)
+    for s in symbols:
+        key = (key << _BITS) + s + 1
+    return key
+
+
+def _grams_of(key: int) -> tuple[int, ...]:
+    mask = (1 << _BITS) - 1
+    parts = (key >> 2 * _BITS, key >> _BITS & mask, key & mask)
+    return tuple(x - 1 for x in parts if x)
+
+
+def _pair_starts(s: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in ``s`` at which a pair of ``wanted`` (rows of two symbols) starts."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    size = int(max(s.max(), wanted.max())) + 2  # the last element answers for _END
+    left, right = np.zeros(size, bool), np.zeros(size, bool)
+    left[wanted[:, 0]], right[wanted[:, 1]] = True, True
+    at = np.flatnonzero(left[s[:-1]] & right[s[1:]])
+    return at[np.isin(_keys(s[at], s[at + 1]), _keys(wanted[:, 0], wanted[:, 1]))]
 
 
-def _may_hold(w: str, pairs: list[str]) -> str:
-    """A cheap condition true of every word that holds one of the pairs."""
-    either = f"[{''.join(sorted({p[0] for p in pairs}))}][{''.join(sorted({p[1] for p in pairs}))}]"
-    return f"exists(array({w}), x -> x rlike '{either}')"  # in a lambda the pattern is no part of the generated code
+def _all_pairs(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pairs in words, overlaps included, and the counts of their words."""
+    word = np.cumsum(s == _END) - 1
+    at = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
+    return _keys(s[at], s[at + 1]), counts[word[at]]
 
 
-def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``(w, v, cnt)``: words before and after the merges, those of one symbol left out."""
-    # One expression whatever the batch size, so the generated code is compiled once.
-    steps = ", ".join(f"struct('{pair}' as p, '{symbol}' as s)" for pair, symbol in merges)
-    after = f"aggregate(array({steps}), w, (acc, m) -> replace(acc, m.p, m.s))"
-    changed = f"if({_may_hold('w', [pair for pair, _ in merges])}, {after}, w)"
-    return words.where("length(w) >= 2").selectExpr("w", f"{changed} as v", "cnt")
+def _merged(s: np.ndarray, merges: np.ndarray) -> np.ndarray:
+    """``s`` after the merges (rows of left, right and new symbol), each from left to right."""
+    for a, b, symbol in merges:
+        at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+        if a == b and len(at):  # of a run every other place
+            first = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - np.repeat(at[first], np.diff(np.append(np.flatnonzero(first), len(at))))) % 2 == 0]
+        if len(at):
+            s[at] = symbol
+            s = np.delete(s, at + 1)
+    return s
 
 
-def _changes(applied: DataFrame, around: list[str]) -> DataFrame:
-    """``(g, n)``: for two symbols the change of their pair's count, for three their count after the merges.
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.add.reduceat(n, first)
+    return keys[first][n != 0], n[n != 0]
 
-    Only words that a merge has changed are looked at for pairs. Triples are those that hold a pair of ``around``.
+
+def _split(s: np.ndarray, counts: np.ndarray, touched: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Symbols and counts of the words that are ``touched``, and of the others."""
+    held = np.concatenate([[False], np.repeat(touched, np.diff(np.flatnonzero(s == _END)))])
+    start = np.array([_END], np.int32)
+    return np.concatenate([start, s[held]]), counts[touched], np.concatenate([start, s[1:][~held[1:]]]), counts[~touched]
+
+
+def _round(s: np.ndarray, counts: np.ndarray, merges: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Symbols and counts of a block after the merges; keys and their numbers.
+
+    Of two symbols the change of their pair's count, of three their count after the merges. Triples are those that hold
+    a pair of ``around``. Words of one symbol are left out.
     """
-    wanted = ", ".join(f"'{pair}'" for pair in around)
-    near = f"filter({_grams('v', 3)}, t -> left(t, 2) in ({wanted}) or substring(t, 2, 2) in ({wanted}))"
-    counted = lambda grams, n: f"transform({grams}, g -> struct(g, {n} as n))"
-    none = "cast(array() as array<struct<g:string,n:bigint>>)"
-    return (
-        applied.selectExpr(
-            f"explode(concat(if(v = w, {none}, concat({counted(_grams('w', 2), '-cnt')}, {counted(_grams('v', 2), 'cnt')})), "
-            f"if({_may_hold('v', around)}, {counted(near, 'cnt')}, {none}))) as s")
-        .groupBy("s.g").agg(F.sum("s.n").alias("n")).where("n <> 0")
-    )
+    keys, n = [], []
+    at = _pair_starts(s, merges[:, :2])
+    if len(at):
+        touched = np.zeros(len(counts), bool)
+        touched[np.searchsorted(np.flatnonzero(s == _END), at) - 1] = True
+        changed, changed_counts, s, counts = _split(s, counts, touched)
+        before = _all_pairs(changed, changed_counts)
+        changed = _merged(changed, merges)
+        after = _all_pairs(changed, changed_counts)
+        keys += [before[0], after[0]]
+        n += [-before[1], after[1]]
+        long = np.diff(np.flatnonzero(changed == _END)) > 2
+        changed, changed_counts, _, _ = _split(changed, changed_counts, long)
+        s, counts = np.concatenate([s, changed[1:]]), np.concatenate([counts, changed_counts])
+    at = _pair_starts(s, around)
+    starts = np.zeros(len(s), bool)
+    starts[at], starts[at - 1] = True, True  # a pair never starts at 0, where _END is
+    at = np.flatnonzero(starts[:-2])
+    at = at[(s[at] >= 0) & (s[at + 2] >= 0)]
+    if len(at):
+        keys.append(_keys(s[at], s[at + 1], s[at + 2]))
+        n.append(counts[np.searchsorted(np.flatnonzero(s == _END), at) - 1])
+    none = np.zeros(0, np.int64)
+    return s, counts, *_summed(np.concatenate([none, *keys]), np.concatenate([none, *n]))
+
+
+def _block(s: np.ndarray, counts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.array([x], pa.list_(pa.int64())) for x in (keys, n)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([s.astype(np.int32).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), *lists],
+        ["symbols", "counts", "keys", "n"])
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the words (w, cnt) of a task, with the counts of all their pairs."""
+    byte_ids = np.array([*BYTE_IDS, _END], np.int32)
+
+    def closed(parts: list) -> pa.RecordBatch:
+        s = np.concatenate([np.array([_END], np.int32), *[p[0] for p in parts]])
+        counts = np.concatenate([p[1] for p in parts])
+        return _block(s, counts, *_summed(*_all_pairs(s, counts)))
+
+    parts, size = [], 0
+    for batch in batches:
+        words = batch.column("w").cast(pa.large_binary())
+        first = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[first[0] : first[-1]]
+        s = byte_ids[np.insert(data.astype(np.int64), first[1:] - first[0], 256)]
+        parts.append((s, batch.column("cnt").to_numpy()))
+        size += len(s)
+        if size >= BLOCK_SYMBOLS:
+            yield closed(parts)
+            parts, size = [], 0
+    if parts:
+        yield closed(parts)
+
+
+def _apply(blocks: DataFrame, merges: list[tuple[int, int, int]], around: list[tuple[int, int]]) -> DataFrame:
+    """The blocks after the merges, with what these change and the symbols around the pairs of ``around``."""
+    m, near = np.array(merges, np.int64).reshape(-1, 3), np.array(around, np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, counts in zip(batch.column("symbols"), batch.column("counts")):
+                yield _block(*_round(
+                    np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.int64), m, near))
+
+    return blocks.select("symbols", "counts").mapInArrow(run, BLOCKS)
+
+
+def _changes(blocks: DataFrame) -> pa.Table:
+    """``(g, n)``: the numbers of all blocks, added up."""
+    each = blocks.selectExpr("inline(arrays_zip(keys, n))").groupBy(F.col("keys").alias("g"))
+    return each.agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
 
 
 class _Ranking:
@@ -181,10 +293,13 @@ class _Ranking:
 
 def _round_session(spark: SparkSession, tasks: int) -> SparkSession:
     """Settings of its own for the many short rounds: their shuffles are small and even, so re-planning
-    each stage costs more than the stage."""
+    each stage costs more than the stage. A task reads one file of blocks, and Python gets a block at a time."""
     session = spark.newSession()
     session.conf.set("spark.sql.adaptive.enabled", "false")
-    session.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    session.conf.set("spark.sql.shuffle.partitions", str(min(tasks, spark.sparkContext.defaultParallelism)))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    session.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+    session.conf.set("spark.sql.files.openCostInBytes", "256m")
     return session
 
 
@@ -203,12 +318,13 @@ def train(
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size is at most {MAX_VOCAB}")
     spark = lines.sparkSession
-    counted, n_words = stage_counted(
-        word_counts(lines, line).select(_as_symbols(F.col("w")).alias("w"), "cnt").where(F.length("w") >= 2), "bpe-words")
-    tasks = min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1)
+    counted, n_words = stage_counted(word_counts(lines, line).where(F.octet_length("w") >= 2), "bpe-words")
+    tasks = max(min(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1), n_words // WORDS_PER_BLOCK + 1)
     rounds = _round_session(spark, tasks)
-    words = stage(counted.repartition(tasks, "w"), "bpe-words", reader=rounds)
-    counts = {r["pair"]: r["cnt"] for r in pair_counts(words).collect()}  # 65,536 at most
+    words = stage(counted.repartition(tasks, "w").mapInArrow(_to_blocks, BLOCKS), "bpe-words", reader=rounds)
+    found = _changes(words)  # 65,536 at most
+    spelled = lambda key: "".join(map(_symbol, _grams_of(key)))
+    counts = {spelled(g): n for g, n in zip(found["g"].to_pylist(), found["n"].to_pylist())}
     pieces = Vocabulary().pieces
     known = {p: i for i, p in enumerate(pieces)}
     merges: list[tuple[str, str]] = []
@@ -241,23 +357,25 @@ def train(
         if log is not None:
             log.append(len(batch))
         n_rounds += 1
-        applied = _apply(words, batch).persist()
         looked_at = ranking.likely(AROUND) or [batch[0][0]]
-        found = _changes(applied, looked_at).toArrow()
+        applied = _apply(
+            words, [(_id(p[0]), _id(p[1]), _id(symbol)) for p, symbol in batch], [(_id(p[0]), _id(p[1])) for p in looked_at]
+        ).persist()
+        found = _changes(applied)
         around = {}
-        for g, n in zip(found["g"].to_pylist(), found["n"].to_pylist()):
+        for g, n in zip(map(spelled, found["g"].to_pylist()), found["n"].to_pylist()):
             if len(g) == 3:
                 around[g] = n
             elif counts.get(g, 0) + n:
                 counts[g] = counts.get(g, 0) + n
             else:
                 del counts[g]
-        words = applied.select(F.col("v").alias("w"), "cnt")
+        words = applied
         held.append(applied)
         while len(held) > 1:
             held.pop(0).unpersist()
         if n_rounds % RESTAGE == 0:
-            words = stage(words, "bpe-words", reader=rounds)
+            words = stage(words.select("symbols", "counts"), "bpe-words", reader=rounds)
             held.pop().unpersist()
     for df in held:
         df.unpersist()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import ByteLevelBPETokenizer
@@ -66,6 +67,39 @@ def test_batches_equal_one_merge_per_round(spark):
     assert max(rounds) > 1 and sum(rounds) == len(batched.merges)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_round_of_a_block_equals_string_merges(seed):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcd"[: 2 + seed]) for _ in range(r.randrange(2, 12))) for _ in range(200)]
+    counts = [r.randrange(1, 1 << 60 if seed == 3 else 9) // len(words) + 1 for _ in words]
+    merges, around = [("a", "a", "x"), ("x", "b", "y"), ("b", "a", "z"), ("c", "d", "w")], ["xx", "ya", "bb", "ad"]
+    want, symbols = {}, [bpe_train._END]
+    add = lambda g, n: want.update({g: want.get(g, 0) + n})
+    for w, n in zip(words, counts):
+        symbols += [*map(ord, w), bpe_train._END]
+        v = w
+        for a, b, symbol in merges:
+            v = v.replace(a + b, symbol)
+        for i in range(len(w) - 1):
+            add(w[i : i + 2], -n)
+        for i in range(len(v) - 1):
+            add(v[i : i + 2], n)
+        for i in range(len(v) - 2):
+            if v[i : i + 2] in around or v[i + 1 : i + 3] in around:
+                add(v[i : i + 3], n)
+    s, left, keys, n = bpe_train._round(
+        np.array(symbols, np.int32), np.array(counts, np.int64), np.array([[*map(ord, m)] for m in merges]),
+        np.array([[*map(ord, p)] for p in around]))
+    got = {"".join(map(chr, bpe_train._grams_of(int(k)))): int(x) for k, x in zip(keys, n)}
+    assert got == {g: x for g, x in want.items() if x}
+    assert (s == bpe_train._END).sum() == len(left) + 1
+
+
+def test_blocks_of_any_size_learn_the_same(spark, documents, learnt, monkeypatch):
+    monkeypatch.setattr(bpe_train, "WORDS_PER_BLOCK", 100)
+    assert bpe_train.train(documents[0], 300).merges == learnt[2].merges[: 300 - 261]
+
+
 def test_restaging_changes_nothing(spark, learnt, documents, monkeypatch):
     monkeypatch.setattr(bpe_train, "RESTAGE", 2)
     assert bpe_train.train(documents[0], 340).merges == learnt[2].merges[: 340 - 261]
