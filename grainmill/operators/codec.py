@@ -7,6 +7,8 @@ expressions.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -20,7 +22,8 @@ from grainmill.session import stage
 
 IDS = T.ArrayType(T.IntegerType())
 FREQUENT = 10_000  # pre-tokens of a dictionary that are broadcast, at most
-CACHE_PIECES = 1_000_000  # distinct pre-tokens a task remembers before it starts over
+CACHE_PIECES = 200_000  # distinct pre-tokens a task remembers before it starts over
+CHUNK = 500_000  # pre-tokens, about, that are encoded at once, so that a batch costs little more than its ids
 
 
 def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -63,34 +66,70 @@ def _gather(lengths: np.ndarray, table: np.ndarray, picks: np.ndarray) -> tuple[
     return table[index], ends
 
 
+def _chunks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, of which ``ends`` holds the running size, of some CHUNK each; one row at least."""
+    lo = 0
+    while lo < len(ends) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _ids_of(words: pa.Array, broadcast, cache: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of an array of pre-tokens, one after the other, and where each begins; ``cache`` remembers what is merged."""
+    ranks, markers = broadcast.value
+    flat = words.dictionary_encode()
+    distinct = flat.dictionary.to_pylist()
+    if len(cache) + len(distinct) > CACHE_PIECES:
+        cache.clear()
+    runs = []
+    for w in distinct:
+        ids = cache.get(w)
+        if ids is None:
+            ids = [markers[w]] if w in markers else merge_word([BYTE_IDS[b] for b in w.encode()], ranks)
+            cache[w] = ids = array("i", ids)
+        runs.append(ids)
+    lengths = np.array([len(r) for r in runs], dtype=np.int64)
+    table = np.frombuffer(b"".join(r.tobytes() for r in runs), dtype=np.int32)
+    return _gather(lengths, table, flat.indices.to_numpy())
+
+
+def _row_ends(words: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])
+
+
 def _word_encoder(vocab_broadcast):
-    cache: dict[str, list[int]] = {}
+    cache: dict[str, array] = {}
 
     @F.arrow_udf(IDS)
     def encode(words: pa.Array) -> pa.Array:
-        ranks, markers = vocab_broadcast.value
-        flat = words.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        if len(cache) + len(distinct) > CACHE_PIECES:
-            cache.clear()
-        runs = []
-        for w in distinct:
-            ids = cache.get(w)
-            if ids is None:
-                ids = [markers[w]] if w in markers else merge_word([BYTE_IDS[b] for b in w.encode()], ranks)
-                cache[w] = ids
-            runs.append(ids)
-        lengths = np.array([len(r) for r in runs], dtype=np.int64)
-        table = np.array([i for r in runs for i in r], dtype=np.int32)
-        values, ends = _gather(lengths, table, flat.indices.to_numpy())
-        per_doc = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])
+        rows, flat, values, ends = _row_ends(words), words.flatten(), [], [np.zeros(1, np.int64)]
+        for lo, hi in _chunks(rows):
+            ids, at = _ids_of(flat.slice(rows[lo], rows[hi] - rows[lo]), vocab_broadcast, cache)
+            values.append(ids)
+            ends.append(ends[-1][-1] + at[rows[lo + 1 : hi + 1] - rows[lo]])
+        values = np.concatenate([np.zeros(0, np.int32), *values])
         return pa.ListArray.from_arrays(
-            pa.array(ends[per_doc], pa.int32()), pa.array(values, pa.int32()), mask=words.is_null()
-        )
+            pa.array(np.concatenate(ends), pa.int32()), pa.array(values, pa.int32()), mask=words.is_null())
 
     return encode
 
 
+def _use_counter(vocab_broadcast, n_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, cache = np.zeros(n_ids, np.int64), {}
+        for batch in batches:
+            words = batch.column("words")
+            rows, flat = _row_ends(words), words.flatten()
+            for lo, hi in _chunks(rows):
+                ids, _ = _ids_of(flat.slice(rows[lo], rows[hi] - rows[lo]), vocab_broadcast, cache)
+                uses += np.bincount(ids, minlength=n_ids)
+        used = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(uses[used])], ["id", "uses"])
+
+    return run
+
+
 @F.arrow_udf(IDS)
 def _byte_ids(text: pa.Array) -> pa.Array:
     raw = text.cast(pa.large_binary())
@@ -132,7 +171,8 @@ class BpeCodec:
         if special == "atomic":
             self.longest_piece = max(self.longest_piece, *(len(t) for t in SPECIAL_TOKENS))
         markers = {t: i for i, t in enumerate(SPECIAL_TOKENS)} if special == "atomic" else {}
-        self._udf = _word_encoder(spark.sparkContext.broadcast((vocab.merge_ranks, markers)))
+        self._ranks = spark.sparkContext.broadcast((vocab.merge_ranks, markers))
+        self._udf = _word_encoder(self._ranks)
 
     def pieces(self, text: Column) -> Column:
         return pretokens_atomic(text) if self.special == "atomic" else pretokens(text)
@@ -140,6 +180,12 @@ class BpeCodec:
     def encode(self, text: Column) -> Column:
         return self._udf(self.pieces(text))
 
+    def uses(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``(id, uses)``: how often each id occurs in all texts. Tasks add ids up; one row an id leaves each."""
+        counter = _use_counter(self._ranks, len(self.vocab.pieces))
+        counted = docs.select(self.pieces(F.col(text)).alias("words")).mapInArrow(counter, "id int, uses bigint")
+        return counted.groupBy("id").agg(F.sum("uses").alias("uses"))
+
     def encode_pieces(self, words: Column) -> Column:
         """Ids of an array of pre-tokens, as made by :meth:`pieces`."""
         return self._udf(words)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainmill.constants import VOCAB_SIZE, WINDOW
@@ -183,13 +187,32 @@ FILE_SQL = f"""{PACKED} select cast(pos // 65536 as bigint) as block, count(*) a
     from stream group by pos // 65536"""
 
 
+BLOCK = 65536
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens (pos, id) as slices (block, pos, ids) of one block each, wherever neighbours come one after the other."""
+    for batch in batches:
+        pos = batch.column("pos").to_numpy()
+        cut = np.flatnonzero((np.diff(pos) != 1) | (pos[1:] % BLOCK == 0)) + 1
+        edges = np.concatenate([[0], cut, [len(pos)]]) if len(pos) else np.zeros(1, np.int64)
+        first = pos[edges[:-1]]
+        ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), batch.column("id"))
+        yield pa.RecordBatch.from_arrays([pa.array(first // BLOCK), pa.array(first), ids], ["block", "pos", "ids"])
+
+
 def _blocks(tokens: DataFrame) -> DataFrame:
+    """Digests of blocks of tokens; what is shuffled are slices, not tokens."""
+    parts = F.sort_array(F.collect_list(F.struct("pos", "ids")))
     return (
-        tokens.groupBy(F.expr("pos div 65536").alias("block"))
-        .agg(
-            F.count("*").alias("n_tokens"),
-            F.min("pos").alias("first_pos"),
-            digest(F.sort_array(F.collect_list(F.struct("pos", "id")))["id"]).alias("digest"),
+        tokens.mapInArrow(_slices, "block bigint, pos bigint, ids array<int>")
+        .groupBy("block")
+        .agg(parts.alias("parts"))
+        .select(
+            "block",
+            F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.size(p["ids"])).alias("n_tokens"),
+            F.get(F.col("parts.pos"), F.lit(0)).alias("first_pos"),
+            digest(F.flatten(F.col("parts.ids"))).alias("digest"),
         )
     )
 
@@ -410,11 +433,7 @@ def loaded_vocabulary(spark, d):
     save_vocabulary(spark, trained(spark, d), path)
     loaded = load_vocabulary(spark, path)
     docs = tables.table(spark, d, "documents")
-    used = (
-        docs.select(F.explode(codec.BpeCodec(spark, loaded).encode(F.col("text"))).alias("id"))
-        .groupBy("id")
-        .agg(F.count("*").alias("uses"))
-    )
+    used = codec.BpeCodec(spark, loaded).uses(docs)
     return vocab_table(spark, path).join(used, "id", "left").select("id", "piece", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
@@ -592,7 +611,7 @@ def bpe_small_vocabulary(spark, d):
     path = scratch_path(spark, "vocabulary")
     save_vocabulary(spark, trained(spark, d, SMALL), path)
     c = codec.BpeCodec(spark, load_vocabulary(spark, path))
-    used = _small_docs(spark, d).select(F.explode(c.encode(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
+    used = c.uses(_small_docs(spark, d))
     table = vocab_table(spark, path).where(F.col("id") >= N_SPECIAL)
     return table.join(used, "id", "left").select("id", "piece", F.coalesce("uses", F.lit(0)).alias("uses"))
 
