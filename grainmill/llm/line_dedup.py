@@ -4,14 +4,16 @@ Equal lines are one line with its first place. A line is cut into EDITS + 1 segm
 edits apart, one segment of the shorter occurs in the longer near the same place. The index holds every line's segments
 under length, number and content, and every line probes it with the substrings that can match, for each length the
 other may have. Keys under which many lines are indexed are not paired: their lines are cut again, without the shared
-segment, under the key they share. Candidates are verified by a banded bit-parallel edit distance.
+segment, under the key they share. Where that leaves many lines together they are compared with the earliest of them,
+and those that are close to one are late and leave, so that a group of near lines costs a few comparisons for each.
+Candidates are verified by a banded bit-parallel edit distance.
 
 What is shuffled once is the text by document; the index and probe rows are two numbers each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.llm.common import shuffle_partitions
 from grainmill.session import stage, stage_counted
@@ -22,6 +24,8 @@ COMMON = 10_000  # a line with a share of 1 / COMMON of all lines is common; the
 CROWDED_BITS = 26  # of 64 that lines under a key set; some 33 lines, from which on the key is refined
 CROWDED = 32  # the same for refined keys, which are counted
 LEVELS = 3  # refinements of crowded keys
+PIVOTS = 4  # earliest lines under a key that all others are compared with first; then twice as many
+MOST_PIVOTS = 1024
 BAND = 2 * EDITS + 1
 
 
@@ -96,22 +100,53 @@ def crowded_keys(lines: DataFrame) -> tuple[DataFrame, int]:
     return stage_counted(counted.where(F.bit_count("seen") >= CROWDED_BITS).select("key"), "crowded")
 
 
-def crowded_pairs(lines: DataFrame, crowded: DataFrame, partitions: int) -> list[DataFrame]:
-    """Pairs of lines that share a crowded key and, with it, a key of what is left of them."""
+def crowded_pairs(lines: DataFrame, crowded: DataFrame, partitions: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Pairs of lines that share a crowded key and, with it, a key of what is left of them.
+
+    Lines under keys that are crowded at the last level, too, are not paired: they are returned as (key, line_id), if any.
+    """
     ids = stage(_keys(lines).join(crowded, "key", "left_semi").select("line_id").distinct(), "crowded-lines")
     rows, found = _keys(lines.join(ids, "line_id", "left_semi"), rest=True).join(crowded, "key", "left_semi"), []
-    for level in range(1, LEVELS + 1):
+    for _ in range(LEVELS):
         left = stage(rows.select("line_id", "key", F.col("rest").alias("line"), F.length("rest").alias("chars")), "shared")
         again = left.withColumn("line_id", F.struct("line_id", "key").alias("line_id"))
         rows = stage(
             _keys(again, [F.col("line_id.key")], True).withColumn("line_id", F.col("line_id.line_id")), "refined")
         counts = rows.where("indexed").groupBy("key").agg(F.countDistinct("line_id").alias("n"))
         crowded, n = stage_counted(counts.where(F.col("n") > CROWDED).select("key"), "crowded")
-        last = level == LEVELS or not n
-        found.append(stage(_met(rows if last else rows.join(crowded, "key", "left_anti"), partitions).distinct(), "pairs"))
-        if last:
-            break
+        found.append(stage(_met(rows.join(crowded, "key", "left_anti") if n else rows, partitions).distinct(), "pairs"))
+        if not n:
+            return found, None
         rows = rows.join(crowded, "key", "left_semi")
+    return found, stage(rows.select("key", "line_id").distinct(), "crowds")
+
+
+def late_in_crowds(crowds: DataFrame, lines: DataFrame, places: DataFrame) -> list[DataFrame]:
+    """(first) of the lines of ``crowds`` that are close to an earlier one under the same key.
+
+    Lines are compared with the earliest under their keys, then with the next ones; a line that is late is compared no
+    more, but others are with it. ``lines`` has their texts, ``places`` (line_id, first).
+    """
+    ids = crowds.select("line_id").distinct()
+    texts = stage(lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line")), "crowd-texts")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "line_id"))
+    todo = ranked = stage(crowds.join(places, "line_id").withColumn("rank", rank), "crowd-places")
+    other = texts.select(F.col("line_id").alias("x"), F.col("line").alias("line_x"))
+    found, done, step = [], 0, PIVOTS
+    while (todo.agg(F.max("rank")).first()[0] or 0) > max(done, 1):
+        pivots = ranked.where(F.col("rank").between(done + 1, done + step)).groupBy("key").agg(
+            F.collect_list(F.struct(F.col("first").alias("at"), F.col("line_id").alias("x"))).alias("pivots"))
+        asked = todo.where(F.col("rank") > done + 1).join(pivots, "key").groupBy("line_id", "first").agg(
+            F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+        met = asked.select("line_id", "first", F.explode("pivots").alias("p")).where(
+            F.col("p.at") < F.col("first")).select("line_id", "first", "p.x")
+        close = met.join(texts, "line_id").join(other, "x").where(
+            F.abs(F.length("line") - F.length("line_x")) <= EDITS).where(banded_distance(F.col("line"), F.col("line_x")) <= EDITS)
+        late = stage(close.select("line_id", "first").distinct(), "late")
+        found.append(late.select("first"))
+        done, step = done + step, min(2 * step, MOST_PIVOTS)
+        left = todo.where(F.col("rank") > done).join(late.select("line_id", "first"), ["line_id", "first"], "left_anti")
+        todo = stage(left, "crowd-places")
     return found
 
 
@@ -244,7 +279,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     crowded, n_crowded = crowded_keys(compared)
     keys, partitions = _keys(compared), shuffle_partitions(spark)
     pairs = _met(keys.join(crowded, "key", "left_anti") if n_crowded else keys, partitions)
-    for more in crowded_pairs(compared, crowded, partitions) if n_crowded else []:
+    found, crowds = crowded_pairs(compared, crowded, partitions) if n_crowded else ([], None)
+    for more in found:
         pairs = pairs.unionByName(more)
     pairs = stage(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
@@ -254,7 +290,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(
         F.abs(F.length("line_a") - F.length("line_b")) <= EDITS
     ).where(banded_distance(F.col("line_a"), F.col("line_b")) <= EDITS)
-    late = close.select(F.greatest("first_a", "first_b").alias("first")).distinct().withColumn("late", F.lit(True))
+    late = close.select(F.greatest("first_a", "first_b").alias("first"))
+    for more in late_in_crowds(crowds, compared, long_lines) if crowds else []:
+        late = late.unionByName(more)
+    late = late.distinct().withColumn("late", F.lit(True))
 
     doomed = first.join(late, "first", "left").where("late or n > 1").select(
         "line_id", "check", "first", F.coalesce("late", F.lit(False)).alias("late"))

@@ -322,6 +322,29 @@ def test_banded_distance(spark):
         assert r.d == r.e if r.e <= 2 else r.d > 2
 
 
+def test_near_lines_are_compared_with_few_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWDED_BITS", 16)
+    monkeypatch.setattr(line_dedup, "CROWDED", 12)
+    rng = random.Random(5)
+    base = "the quick brown fox jumps over the lazy dog and runs on to the hills"
+    texts = [base]
+    while len(texts) < 300:
+        line = list(base)
+        for _ in range(2):
+            line[rng.randrange(len(line))] = rng.choice("0123456789")
+        texts.append("".join(line))
+    texts = list(dict.fromkeys(texts))
+    docs = _texts(spark, texts).withColumn("line_id", F.xxhash64("text")).withColumn("line", F.col("text"))
+    lines = docs.select("line_id", "line", F.length("line").alias("chars"))
+    crowded, n = line_dedup.crowded_keys(lines)
+    assert n
+    found, crowds = line_dedup.crowded_pairs(lines, crowded, 4)
+    pairs = sum(p.count() for p in found)
+    assert crowds and pairs < 20 * len(texts), pairs
+    rows = line_dedup.dedup_lines(_texts(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == set(range(1, len(texts)))
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_line_dedup_by_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(line_dedup, "CROWDED_BITS", crowd)
