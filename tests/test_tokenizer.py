@@ -67,6 +67,15 @@ def test_batches_equal_one_merge_per_round(spark):
     assert max(rounds) > 1 and sum(rounds) == len(batched.merges)
 
 
+def test_few_rounds_and_wrong_guesses_learn_the_same(spark, documents, learnt, monkeypatch):
+    good, poor = [], []
+    assert bpe_train.train(documents[0], 420, log=good).merges == learnt[2].merges
+    assert len(good) <= 8 and sum(good) == 159, good
+    monkeypatch.setattr(bpe_train, "HEAD", 40)
+    assert bpe_train.train(documents[0], 340, log=poor).merges == learnt[2].merges[: 340 - 261]
+    assert len(poor) > 3, poor
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_a_round_of_a_block_equals_string_merges(seed):
     r = random.Random(seed)
