@@ -131,15 +131,17 @@ def _use_counter(vocab_broadcast, n_ids: int):
 
 
 @F.arrow_udf(IDS)
-def _byte_ids(text: pa.Array) -> pa.Array:
-    raw = text.cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = raw.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
-    values = np.array(BYTE_IDS, dtype=np.int32)[data[offsets[0] : offsets[-1]]]
-    return pa.ListArray.from_arrays(
-        pa.array(offsets - offsets[0], pa.int32()), pa.array(values, pa.int32()), mask=text.is_null()
-    )
+def _byte_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    table = np.array(BYTE_IDS, dtype=np.int32)
+    for text in batches:
+        raw = text.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = raw.buffers()[2]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+        for lo, hi in _chunks(offsets):
+            yield pa.ListArray.from_arrays(
+                pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()),
+                pa.array(table[data[offsets[lo] : offsets[hi]]], pa.int32()), mask=text.slice(lo, hi - lo).is_null())
 
 
 class ByteCodec:

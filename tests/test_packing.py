@@ -131,3 +131,15 @@ def test_bucketed_windows_are_not_shuffled_again(spark):
     assert len(above) > 1 and not shuffles
     rows = found.collect()
     assert len(rows) == 1500 and all(r["ids"] == [r["window_id"]] for r in rows)
+
+
+def test_byte_ids_leave_python_in_chunks(monkeypatch):
+    import pyarrow as pa
+    from grainmill.operators import codec
+
+    monkeypatch.setattr(codec, "CHUNK", 5)
+    texts = ["abc", None, "", "dé", "a" * 12, "b"]
+    parts = list(codec._byte_ids.func(iter([pa.array(["z", *texts]).slice(1), pa.array([], pa.string())])))
+    want = [None if t is None else [codec.BYTE_IDS[b] for b in t.encode()] for t in texts]
+    assert [x for p in parts for x in p.to_pylist()] == want
+    assert len(parts) > 2
