@@ -1,14 +1,14 @@
 """Line deduplication with a segment-partition edit join.
 
 Equal lines are one line with its first place. A line is cut into EDITS + 1 segments; if two lines are at most EDITS
-edits apart, one segment of the shorter occurs in the longer near the same place. The index holds every line's segments
-under length, number and content, and every line probes it with the substrings that can match, for each length the
-other may have. Keys under which many lines are indexed are not paired: their lines are cut again, without the shared
-segment, under the key they share. Where that leaves many lines together they are compared with the earliest of them,
-and those that are close to one are late and leave, so that a group of near lines costs a few comparisons for each.
-Candidates are verified by a banded bit-parallel edit distance.
-
-What is shuffled once is the text by document; the index and probe rows are two numbers each.
+edits apart, one segment of the one occurs in the other near the same place. Lines meet under the contents of their
+segments and a class of lengths. Keys under which many lines are indexed are not paired: their lines are cut again,
+without the shared segment, under the key they share and by exact lengths, and pairs whose sketches are too far apart
+are left out. Where that leaves many lines together they are compared with the earliest of them, and those that are
+close to one are late and leave, so that a group of near lines costs a few comparisons for each. Candidates are verified
+by a banded bit-parallel edit distance.
+
+What is shuffled once is the text by document; the rows under keys are two numbers each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from grainmill.llm.common import shuffle_partitions
 from grainmill.session import stage, stage_counted
 
 EDITS = 2
-MIN_CHARS = 24  # shorter lines are compared for equality only
+MIN_CHARS = 24  # shorter lines are compared for equality only; a multiple of NARROW_CLASS
+WIDE = 128  # from so many characters on, classes of lengths are wide
+NARROW_CLASS, WIDE_CLASS = 8, 64  # lengths a class holds; more than EDITS
 COMMON = 10_000  # a line with a share of 1 / COMMON of all lines is common; there are at most so many
 CROWDED_BITS = 26  # of 64 that lines under a key set; some 33 lines, from which on the key is refined
 CROWDED = 32  # the same for refined keys, which are counted
@@ -51,74 +53,128 @@ def _moves() -> list[tuple[int, int, int, bool]]:
     ]
 
 
-def _key_structs(line: Column, chars: Column, moves: list, base: list[Column], rest: bool) -> Column:
-    """(key, indexed) and, with ``rest``, rest: the line without the substring. NULL where there is no substring.
-
-    A line of n characters is cut into EDITS + 1 segments, of which the last ones are longer by one.
-    """
+def _each(lines: DataFrame, moves: list[tuple[int, int, int, bool]]) -> DataFrame:
+    """``lines`` once for each move, as d, i, m, x: rows, because functions over arrays are not compiled."""
     given = F.array(*[
         F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(m).alias("m"), F.lit(x).alias("x")) for d, i, m, x in moves
     ])
+    return lines.select("*", F.explode(given).alias("t")).select(*lines.columns, "t.*")
 
-    def one(t: Column) -> Column:
-        length = chars - t["d"]
-        size = F.call_function("div", length, F.lit(EDITS + 1)).cast("int")
-        short = size * (EDITS + 1) + (EDITS + 1) - length
-        start = size * t["i"] + F.greatest(t["i"] - short, F.lit(0)) + 1 + t["m"]
-        size = size + F.when(t["i"] >= short, 1).otherwise(0)
-        fields = [F.xxhash64(*base, length, t["i"], line.substr(start, size)).alias("key"), t["x"].alias("indexed")]
-        if rest:
-            fields.append(F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, chars)).alias("rest"))
-        return F.when(t["x"] | ((length >= EDITS + 1) & (start >= 1)), F.struct(*fields))
 
-    return F.transform(given, one)
+def _without_part(rest: bool) -> list[Column]:
+    """With ``rest``, the line without the substring at start, as rest."""
+    line, start, size = F.col("line"), F.col("start"), F.col("size")
+    cut = F.concat(line.substr(F.lit(1), start - 1), line.substr(start + size, F.length(line)))
+    return [cut.alias("rest")] if rest else []
 
 
-def _keys(lines: DataFrame, base: list[Column] = [], rest: bool = False) -> DataFrame:  # noqa: B006
-    """(key, indexed) and, with ``rest``, rest, and line_id: all keys of ``lines`` (line_id, line, chars)."""
-    each = _key_structs(F.col("line"), F.col("chars"), _moves(), base, rest)
-    return lines.select("line_id", F.explode(each).alias("k")).where("k is not null").select("k.*", "line_id")
+def _keys(lines: DataFrame, rest: bool = False) -> DataFrame:
+    """key, indexed and the columns of ``lines`` (base, line, chars, others), with ``rest`` also rest: all keys under a base.
+
+    A line of n characters is cut into EDITS + 1 segments, of which the last ones are longer by one. Keys hold the
+    length of the shorter line.
+    """
+    length = F.col("chars") - F.col("d")
+    least = F.call_function("div", length, F.lit(EDITS + 1)).cast("int")
+    short = F.col("least") * (EDITS + 1) + (EDITS + 1) - length
+    cut = _each(lines, _moves()).withColumn("least", least).withColumn("short", short)
+    start = F.col("least") * F.col("i") + F.greatest(F.col("i") - F.col("short"), F.lit(0)) + 1 + F.col("m")
+    size = F.col("least") + F.when(F.col("i") >= F.col("short"), 1).otherwise(0)
+    cut = cut.withColumn("start", start).withColumn("size", size).where(
+        F.col("x") | ((length >= EDITS + 1) & (F.col("start") >= 1)))
+    key = F.xxhash64("base", length, "i", F.col("line").substr(F.col("start"), F.col("size")))
+    return cut.select(*lines.columns, key.alias("key"), F.col("x").alias("indexed"), *_without_part(rest))
+
+
+def _wide_keys(lines: DataFrame, rest: bool = False) -> DataFrame:
+    """The same of whole lines, without a base and under fewer keys: these hold a class of lengths instead of a length.
+
+    All segments of a class are as long as its least length allows. The last one is counted from the end and does not
+    move, the ones before it from the beginning, and the i-th moves by at most i places. A line that is longer than its
+    class's least length by less than EDITS also meets the class before.
+    """
+    moves = [(d, i, m, m == 0) for d in (0, EDITS) for i in range(EDITS + 1) for m in ([0] if i == EDITS else range(-i, i + 1))]
+    chars = F.col("chars")
+    of = lambda n: n - F.when(n < WIDE, F.pmod(n, F.lit(NARROW_CLASS))).otherwise(F.pmod(n, F.lit(WIDE_CLASS)))
+    cut = _each(lines, moves).withColumn("class", of(chars - F.col("d")))
+    cut = cut.where((F.col("d") == 0) | (F.col("class") != of(chars))).where(F.col("class") >= MIN_CHARS)
+    cut = cut.withColumn("size", F.call_function("div", F.col("class"), F.lit(EDITS + 1)).cast("int"))
+    start = F.when(F.col("i") == EDITS, chars - F.col("size")).otherwise(F.col("size") * F.col("i") + F.col("m")) + 1
+    cut = cut.withColumn("start", start)
+    key = F.xxhash64("class", "i", F.col("line").substr(F.col("start"), F.col("size")))
+    return cut.select(*lines.columns, key.alias("key"), F.col("x").alias("indexed"), *_without_part(rest))
 
 
 def _met(keys: DataFrame, partitions: int) -> DataFrame:
-    """Pairs of an indexed line and another under the same key. All rows of a key are dealt to one partition, once."""
-    once = keys.repartition(partitions, "key").groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"))
-    left = once.where("indexed").select("key", F.col("line_id").alias("x"))
-    met = left.join(once.select("key", F.col("line_id").alias("y"), F.col("indexed").alias("both")), "key")
+    """Pairs of an indexed line and another under the same key, less those whose lengths or sketches, if given, differ too much.
+
+    All rows of a key are dealt to one partition, once.
+    """
+    more = [c for c in ("chars", "sketch") if c in keys.columns]
+    once = keys.repartition(partitions, "key").groupBy("key", "line_id").agg(
+        F.max("indexed").alias("indexed"), *[F.min(c).alias(c) for c in more])
+    left = once.where("indexed").select("key", F.col("line_id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in more])
+    met = left.join(once.select("key", F.col("line_id").alias("y"), F.col("indexed").alias("both"), *more), "key")
+    if more:
+        met = met.where(F.abs(F.col("chars") - F.col("chars_x")) <= EDITS).where(
+            _near(F.col("sketch"), F.col("sketch_x")))
     return met.where("x < y or (x > y and not both)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def crowded_keys(lines: DataFrame) -> tuple[DataFrame, int]:
-    """Keys under which many lines are indexed, and how many keys these are.
+def _sketch(line: Column) -> Column:
+    """For 64 kinds of pairs of neighbouring characters whether their number is odd. An edit changes at most four of the bits."""
+    one = lambda a, b: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
+    return _let(_chars(line), lambda c: F.aggregate(
+        F.sequence(F.lit(0), F.size(c)), F.lit(0).cast("bigint"),
+        lambda acc, k: acc.bitwiseXOR(one(F.get(c, k - 1), F.get(c, k)))))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether sketches are as near as those of lines at most EDITS edits apart always are."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 4 * EDITS
+
+
+def shared_keys(lines: DataFrame, partitions: int) -> DataFrame:
+    """(key, line_id, indexed, crowded) of keys that several lines have; crowded says whether many lines are indexed under it.
 
     Lines are told apart by six bits of their identifiers, one bit of a number for each; copies of a line count once.
     """
-    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_id", F.lit(64)).cast("int")))
-    own = _key_structs(F.col("line"), F.col("chars"), [m for m in _moves() if m[3]], [], False)
-    keys = lines.select("line_id", F.explode(own["key"]).alias("key"))
-    counted = keys.groupBy("key").agg(seen.alias("seen"))
-    return stage_counted(counted.where(F.bit_count("seen") >= CROWDED_BITS).select("key"), "crowded")
+    keys = _wide_keys(lines).select("key", "line_id", "indexed").repartition(partitions, "key")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_id", F.lit(64)).cast("int"))
+    counted = keys.groupBy("key").agg(
+        F.min("line_id").alias("least"), F.max("line_id").alias("most"), F.bit_or(F.when(F.col("indexed"), bit)).alias("seen"))
+    shared = counted.where("least < most and seen is not null").select(
+        "key", (F.bit_count("seen") >= CROWDED_BITS).alias("crowded"))
+    return stage(keys.join(shared.hint("shuffle_hash"), "key"), "shared-keys")
+
+
+def crowded_keys(lines: DataFrame, shared: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Keys under which many lines are indexed, and how many keys these are. ``shared``: :func:`shared_keys`, if known."""
+    shared = shared_keys(lines, shuffle_partitions(lines.sparkSession)) if shared is None else shared
+    return stage_counted(shared.where("crowded").select("key").distinct(), "crowded")
 
 
 def crowded_pairs(lines: DataFrame, crowded: DataFrame, partitions: int) -> tuple[list[DataFrame], DataFrame | None]:
     """Pairs of lines that share a crowded key and, with it, a key of what is left of them.
 
-    Lines under keys that are crowded at the last level, too, are not paired: they are returned as (key, line_id), if any.
+    Lines under keys that are crowded at the last level, too, are not paired: they are returned as (key, line_id, sketch), if any.
     """
-    ids = stage(_keys(lines).join(crowded, "key", "left_semi").select("line_id").distinct(), "crowded-lines")
-    rows, found = _keys(lines.join(ids, "line_id", "left_semi"), rest=True).join(crowded, "key", "left_semi"), []
+    found = []
+    whole = ["line_id", "n_chars", "sketch"]  # of the whole line, at all levels
+    lines = stage(lines.select(
+        "line_id", "line", "chars", F.col("chars").alias("n_chars"), _sketch(F.col("line")).alias("sketch")), "crowd-lines")
+    rows = _wide_keys(lines, True).join(crowded, "key", "left_semi")
     for _ in range(LEVELS):
-        left = stage(rows.select("line_id", "key", F.col("rest").alias("line"), F.length("rest").alias("chars")), "shared")
-        again = left.withColumn("line_id", F.struct("line_id", "key").alias("line_id"))
-        rows = stage(
-            _keys(again, [F.col("line_id.key")], True).withColumn("line_id", F.col("line_id.line_id")), "refined")
+        left = stage(rows.select(
+            *whole, F.col("key").alias("base"), F.col("rest").alias("line"), F.length("rest").alias("chars")).distinct(), "shared")
+        rows = stage(_keys(left).select("key", "indexed", "line_id", F.col("n_chars").alias("chars"), "sketch"), "refined")
         counts = rows.where("indexed").groupBy("key").agg(F.countDistinct("line_id").alias("n"))
         crowded, n = stage_counted(counts.where(F.col("n") > CROWDED).select("key"), "crowded")
         found.append(stage(_met(rows.join(crowded, "key", "left_anti") if n else rows, partitions).distinct(), "pairs"))
         if not n:
             return found, None
-        rows = rows.join(crowded, "key", "left_semi")
-    return found, stage(rows.select("key", "line_id").distinct(), "crowds")
+        rows = _keys(left, True).join(crowded, "key", "left_semi")
+    return found, stage(rows.select("key", "line_id", "sketch").distinct(), "crowds")
 
 
 def late_in_crowds(crowds: DataFrame, lines: DataFrame, places: DataFrame) -> list[DataFrame]:
@@ -135,11 +191,11 @@ def late_in_crowds(crowds: DataFrame, lines: DataFrame, places: DataFrame) -> li
     found, done, step = [], 0, PIVOTS
     while (todo.agg(F.max("rank")).first()[0] or 0) > max(done, 1):
         pivots = ranked.where(F.col("rank").between(done + 1, done + step)).groupBy("key").agg(
-            F.collect_list(F.struct(F.col("first").alias("at"), F.col("line_id").alias("x"))).alias("pivots"))
-        asked = todo.where(F.col("rank") > done + 1).join(pivots, "key").groupBy("line_id", "first").agg(
+            F.collect_list(F.struct(F.col("first").alias("at"), F.col("line_id").alias("x"), "sketch")).alias("pivots"))
+        asked = todo.where(F.col("rank") > done + 1).join(pivots, "key").groupBy("line_id", "first", "sketch").agg(
             F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-        met = asked.select("line_id", "first", F.explode("pivots").alias("p")).where(
-            F.col("p.at") < F.col("first")).select("line_id", "first", "p.x")
+        met = asked.select("line_id", "first", "sketch", F.explode("pivots").alias("p")).where(
+            F.col("p.at") < F.col("first")).where(_near(F.col("sketch"), F.col("p.sketch"))).select("line_id", "first", "p.x")
         close = met.join(texts, "line_id").join(other, "x").where(
             F.abs(F.length("line") - F.length("line_x")) <= EDITS).where(banded_distance(F.col("line"), F.col("line_x")) <= EDITS)
         late = stage(close.select("line_id", "first").distinct(), "late")
@@ -276,10 +332,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).where(F.col("chars") >= MIN_CHARS).join(F.broadcast(common), F.col("line_id") == F.col("common"), "left").where(
         F.col("common").isNull() | (F.col("at") == F.col("first"))
     ).select("line_id", "line", "chars")
-    crowded, n_crowded = crowded_keys(compared)
-    keys, partitions = _keys(compared), shuffle_partitions(spark)
-    pairs = _met(keys.join(crowded, "key", "left_anti") if n_crowded else keys, partitions)
-    found, crowds = crowded_pairs(compared, crowded, partitions) if n_crowded else ([], None)
+    partitions = shuffle_partitions(spark)
+    shared = shared_keys(compared, partitions)
+    crowded, n_crowded = crowded_keys(compared, shared)
+    pairs, found, crowds = _met(shared.where("not crowded"), partitions), [], None
+    if n_crowded:
+        ids = shared.where("crowded").select("line_id").distinct()
+        in_crowds = stage(compared.join(ids, "line_id", "left_semi").groupBy("line_id").agg(
+            F.min("line").alias("line"), F.min("chars").alias("chars")), "crowded-lines")
+        found, crowds = crowded_pairs(in_crowds, crowded, partitions)
     for more in found:
         pairs = pairs.unionByName(more)
     pairs = stage(pairs.distinct(), "pairs")
@@ -291,7 +352,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.abs(F.length("line_a") - F.length("line_b")) <= EDITS
     ).where(banded_distance(F.col("line_a"), F.col("line_b")) <= EDITS)
     late = close.select(F.greatest("first_a", "first_b").alias("first"))
-    for more in late_in_crowds(crowds, compared, long_lines) if crowds else []:
+    for more in late_in_crowds(crowds, in_crowds, long_lines) if crowds else []:
         late = late.unionByName(more)
     late = late.distinct().withColumn("late", F.lit(True))
 

@@ -345,6 +345,27 @@ def test_near_lines_are_compared_with_few_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.n_removed} == set(range(1, len(texts)))
 
 
+def test_lines_with_other_words_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWDED_BITS", 16)
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(60)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(60)] = "".join(rng.choice("ghjkqvxyz") for _ in range(5))
+        texts.append(" ".join(words))
+    texts += [texts[7] + "a", texts[8][1:], "z" + texts[9][:-1]]
+    docs = _texts(spark, texts).withColumn("line_id", F.col("doc_id").cast("bigint")).withColumn("line", F.col("text"))
+    lines = docs.select("line_id", "line", F.length("line").alias("chars"))
+    crowded, n = line_dedup.crowded_keys(lines)
+    assert n
+    found, _ = line_dedup.crowded_pairs(lines, crowded, 4)
+    assert sum(p.count() for p in found) < len(texts)
+    rows = line_dedup.dedup_lines(_texts(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == {400, 401, 402}
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_line_dedup_by_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(line_dedup, "CROWDED_BITS", crowd)
