@@ -211,24 +211,39 @@ def token_list(ids: Column, vocab: Vocabulary) -> Column:
     return F.transform(ids, lambda i: F.get(table, i))
 
 
+def _packed(numbers: Column) -> Column:
+    """Non-negative ints as bytes, four each, that sort as the arrays do."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
+def _unpacked(packed: Column) -> Column:
+    """The ints of :func:`_packed`, all but the first."""
+    n = F.call_function("div", F.octet_length(packed), F.lit(4)).cast("int")
+    none = F.array().cast(IDS)
+    each = F.transform(F.sequence(F.lit(5), n * 4, F.lit(4)), lambda k: F.conv(F.hex(F.substring(packed, k, 4)), 16, 10).cast("int"))
+    return F.when(n > 1, each).otherwise(none)
+
+
 def encode_by_dictionary(docs: DataFrame, codec: BpeCodec, keys: list[str], text: str = "text") -> DataFrame:
     """``(*keys, ids)``: every distinct pre-token is encoded once for all documents and joined back to its places.
 
     The same ids as :meth:`BpeCodec.encode`, which keeps a dictionary for each task instead. ``keys`` tell documents
     apart. Of the dictionary the part that makes up most places, at most FREQUENT pre-tokens, is broadcast; no other
-    pre-token fills more than a FREQUENT-th of the shuffled join.
+    pre-token fills more than a FREQUENT-th of the shuffled join. What is gathered for a document is a few bytes a place,
+    packed: place and ids.
     """
     placed = docs.select(*keys, F.posexplode_outer(codec.pieces(F.col(text))).alias("pos", "w"))
     counted = placed.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    dictionary = stage(counted.select("w", "n", codec.encode_pieces(F.array("w")).alias("ids")), "piece-ids")
+    encoded = counted.select("w", "n", codec.encode_pieces(F.array("w")).alias("ids"))
+    dictionary = stage(encoded.select("w", "n", _packed(F.col("ids")).alias("ids")), "piece-ids")
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * FREQUENT > total
     known = placed.join(F.broadcast(dictionary.where(often).select("w", "ids")), "w", "left")
     rest = known.where("ids is null").drop("ids").join(dictionary.where(~often).select("w", "ids"), "w", "left")
     every = known.where("ids is not null").unionByName(rest)
-    parts = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
+    parts = F.array_sort(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), "ids")))
     return every.groupBy(*keys).agg(parts.alias("parts")).select(
-        *keys, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+        *keys, F.flatten(F.transform("parts", _unpacked)).alias("ids"))
 
 
 def audit(docs: DataFrame, codec) -> DataFrame:

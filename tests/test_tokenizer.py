@@ -198,6 +198,14 @@ def test_dictionary_encoding_gives_the_same_ids(spark, learnt, documents, monkey
     assert {r["doc_id"]: r["ids"] for r in got} == {r["doc_id"]: r["ids"] for r in want} and len(got) == len(want)
 
 
+def test_packed_places_sort_and_unpack_as_arrays(spark):
+    rows = [(k, a) for k, a in enumerate([[3], [0, 1], [0], [256, 7], [2, 2**31 - 1, 65_536], [255, 9, 0]])]
+    packed = spark.createDataFrame(rows, "k int, a array<int>").withColumn("p", codec._packed(F.col("a")))
+    got = packed.orderBy("p").select("a", codec._unpacked(F.col("p")).alias("rest"), F.octet_length("p").alias("n")).collect()
+    assert [r["a"] for r in got] == sorted(a for _, a in rows)
+    assert all(r["rest"] == r["a"][1:] and r["n"] == 4 * len(r["a"]) for r in got)
+
+
 def test_vocabulary_is_learnt_once_for_a_version_of_a_table(spark, tmp_path):
     calls = []
 
