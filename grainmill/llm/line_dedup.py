@@ -337,7 +337,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     crowded, n_crowded = crowded_keys(compared, shared)
     pairs, found, crowds = _met(shared.where("not crowded"), partitions), [], None
     if n_crowded:
-        ids = shared.where("crowded").select("line_id").distinct()
+        ids = stage(shared.where("crowded").select("line_id").distinct(), "crowded-ids")  # its size is known: few are broadcast
         in_crowds = stage(compared.join(ids, "line_id", "left_semi").groupBy("line_id").agg(
             F.min("line").alias("line"), F.min("chars").alias("chars")), "crowded-lines")
         found, crowds = crowded_pairs(in_crowds, crowded, partitions)
