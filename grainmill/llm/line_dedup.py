@@ -13,7 +13,7 @@ What is shuffled once is the text by document; the rows under keys are two numbe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from grainmill.llm.common import shuffle_partitions
 from grainmill.session import stage, stage_counted
@@ -300,6 +300,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The identifier travels in the place, so that without other columns one shuffle of the text serves all readers.
     source = docs.select(
         place.alias("place"), F.col(text_col).alias("text"), *([F.struct(*others).alias("rest")] if others else []))
+    # Places read back from the shared folder have nullable fields. With others here joins would cast them, and Spark
+    # shuffle the text once more.
+    same = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema["place"].dataType])
+    source = source.withColumn("place", F.col("place").cast(same))
     text = F.col("text")
     with_word = F.length(F.btrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r"))) > 0
     every = source.select("place", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(with_word)

@@ -366,6 +366,15 @@ def test_lines_with_other_words_are_not_paired(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.n_removed} == {400, 401, 402}
 
 
+def test_line_dedup_shuffles_a_text_once(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = line_dedup.dedup_lines(_texts(session, ROWS[0][1:2] + ROWS[1][1:2]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not re.search(r"Exchange [^\n]*\n[ :+-]*Exchange [^\n]*REPARTITION_BY_NUM", plan), plan
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_line_dedup_by_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(line_dedup, "CROWDED_BITS", crowd)
