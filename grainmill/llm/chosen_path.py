@@ -27,7 +27,7 @@ SHINGLE = 5
 SIGNATURE = 128
 TREES = 10
 LEAF = 24  # documents a node may hold to be compared exhaustively
-STEPS = (1, 4, 4, 4)  # tokens that the levels of a tree add to a path
+STEPS = (2, 4, 4, 2)  # tokens that the levels of a tree add to a path; one at first would let a common passage fill nodes
 DENSE = 0.7  # mean estimate between a node and its pivot from which on branching would not part its documents
 BLOCK = 1024  # documents of a family that are compared in one task
 BLOCK_SHINGLES = 1 << 20  # and their shingles

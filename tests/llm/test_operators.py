@@ -366,6 +366,22 @@ def test_lines_with_other_words_are_not_paired(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.n_removed} == {400, 401, 402}
 
 
+def test_a_common_passage_alone_makes_few_paths_branch(spark, monkeypatch):
+    counts, kept = [], chosen_path.stage_counted
+
+    def counted(df, label):
+        out, n = kept(df, label)
+        counts.extend([n] if label == "nodes" else [])
+        return out, n
+
+    monkeypatch.setattr(chosen_path, "stage_counted", counted)
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"own{k}x{i}" for i in range(170)) for k in range(300)] + [passage + " end"] * 2
+    rows = chosen_path.near_groups(_texts(spark, texts)).collect()
+    assert sum(not r.kept for r in rows) == 1
+    assert sum(counts[1:]) < 6 * len(texts), counts
+
+
 def test_line_dedup_shuffles_a_text_once(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
