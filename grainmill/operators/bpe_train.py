@@ -348,7 +348,7 @@ class _Replay:
     """Guesses and what each changes if those before it are applied, to be taken in the order of the exact counts.
 
     New symbols have the numbers they were guessed with; ``true`` has those they got. Two merges that share no symbol
-    that way never overlap, so they make the same of every word in either order; where they are neighbours, the second
+    that way, or never meet around it, never overlap, so they make the same of every word in either order; where they are neighbours, the second
     one sees the symbol of the first or, the other way round, its nearer part.
     """
 
@@ -372,8 +372,17 @@ class _Replay:
         return symbol if symbol < self.n_pieces else self.true.get(symbol)
 
     def _apart(self, i: int, j: int) -> bool:
+        """Whether the merges never overlap; ``i`` was tried before ``j``.
+
+        If the left symbol of one is the right symbol of the other, they overlap where three symbols follow each other,
+        which the first one makes a pair of its new symbol and the third.
+        """
         (a, b, s), (c, d, t) = self.guesses[i], self.guesses[j]
-        return self.new[i] and self.new[j] and b != c and d != a and s != c and s != d and t != a and t != b
+        if not (self.new[i] and self.new[j]) or s in (c, d) or t in (a, b):
+            return False
+        if d == a:
+            return b != c and not self.changes[i].get(_key(c, s))
+        return b != c or not self.changes[i].get(_key(s, d))
 
     def take(self, pair: tuple[int, int]) -> dict[int, int] | None:
         """What the merge of the pair changes if it is next; None if that is not known. :meth:`taken` must follow."""

@@ -240,3 +240,26 @@ def test_token_list(spark, learnt):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(codec.token_list(c.encode(F.col("t")), vocab).alias("p")).first()["p"]
     assert got == lib.encode(text).tokens
+
+
+def test_guesses_that_never_meet_are_taken_in_any_order():
+    key, size = bpe_train._key, 300
+
+    def first(changes):
+        replay = bpe_train._Replay([(1, 2, 300), (3, 1, 301)], changes, size)
+        return replay.take((3, 1))
+
+    apart = [{key(1, 2): -5}, {key(3, 1): -4}]
+    assert first(apart) == {key(3, 1): -4}
+    assert first([{key(1, 2): -5, key(3, 1): -1, key(3, 300): 1}, {key(3, 1): -4}]) is None  # 3, 1, 2 follow each other
+    both = bpe_train._Replay([(1, 2, 300), (2, 1, 301)], apart[:1] + [{key(2, 1): -4}], size)
+    assert both.take((2, 1)) is None  # of 1, 2, 1, 2 nothing would tell
+
+
+@pytest.mark.parametrize("head", [30, 2000])
+def test_merges_of_short_words_over_few_letters_equal_the_library(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(bpe_train, "HEAD", head)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    lines = [" ".join(word() for _ in range(40)) for _ in range(150)]
+    assert bpe_train.train(as_lines(spark, lines), 460).merges == library(tmp_path, lines, 460)[1]
